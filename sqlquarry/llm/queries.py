@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontaminate, language_id, retrieval_packing
+from . import binary_output, decontaminate, language_id, near_dedup, retrieval_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def fold(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.report(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
@@ -41,7 +46,7 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_decontaminate, op6_retrieval_packing, op8_language_id, op10_binary_output)
+    own = (op3_near_dedup, op4_decontaminate, op6_retrieval_packing, op8_language_id, op10_binary_output)
     return {f.__name__: f for f in own}
 
 
