@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontaminate, language_id, near_dedup, retrieval_packing
+from . import binary_output, decontaminate, language_id, near_dedup, retrieval_packing, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
@@ -46,7 +50,7 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_near_dedup, op4_decontaminate, op6_retrieval_packing, op8_language_id, op10_binary_output)
+    own = (op3_near_dedup, op4_decontaminate, op6_retrieval_packing, op7_suffix_dedup, op8_language_id, op10_binary_output)
     return {f.__name__: f for f in own}
 
 
