@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontaminate, language_id, near_dedup, retrieval_packing, suffix_dedup
+from . import (
+    binary_output,
+    chat_rotation,
+    decontaminate,
+    language_id,
+    near_dedup,
+    nearest_neighbours,
+    quality_classifier,
+    retrieval_packing,
+    sharding,
+    suffix_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +30,15 @@ def fold(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text")
+
+
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.digest(chat_rotation.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "class_id")
@@ -29,6 +49,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    model = quality_classifier.fit(docs, labels)
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    found = quality_classifier.score(docs, model).drop("text")
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,14 +74,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(rows, profiles).drop("text")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_near_dedup, op4_decontaminate, op6_retrieval_packing, op7_suffix_dedup, op8_language_id, op10_binary_output)
+    own = (
+        op1_sharding,
+        op2_chat_rotation,
+        op3_near_dedup,
+        op4_decontaminate,
+        op5_quality,
+        op6_retrieval_packing,
+        op7_suffix_dedup,
+        op8_language_id,
+        op9_nearest_neighbours,
+        op10_binary_output,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding.ORACLE_SQL, "op2_chat_rotation": chat_rotation.ORACLE_SQL}
