@@ -9,12 +9,13 @@ tokenizer.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-_KEEP = 500_000
+_KEEP = 600_000
 _LOADED: dict[str, "PieceTokenizer"] = {}
 #: Pieces whose normal form and lower case are plain: printable ASCII and precomposed Latin letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
@@ -44,7 +45,17 @@ class _Ids(dict):
         self.owner = owner
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = found = self.owner.encode(piece)
+        owner = self.owner
+        if not owner.short:
+            found = owner.encode(piece)
+        elif piece.isalpha() and (piece.isascii() or _PLAIN(piece)):
+            low = piece.lower()
+            found = self[low] if low != piece else owner.word(piece)
+        elif piece[-1] in ".,;:!?" and piece[:-1].isalpha() and (piece.isascii() or _PLAIN(piece)):
+            found = self[piece[:-1]] + self[piece[-1:]] if len(piece) > 1 else owner.encode(piece)
+        else:
+            found = owner.encode(piece)
+        self[piece] = found
         return found
 
 
@@ -55,6 +66,7 @@ class PieceTokenizer:
         self.plain = Tokenizer.from_file(public_tokenizers.path(name))
         self.model = self.plain.model
         self.kind = np.dtype("<u4" if self.plain.get_vocab_size() > 0xFFFF else "<u2")
+        self.code = "I" if self.kind.itemsize == 4 else "H"
         self.specials = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.cache = _Ids(self)
         probe = "Ça l'été n'a-t-il 2024 (don't) ÿ?!"
@@ -64,13 +76,14 @@ class PieceTokenizer:
     def whole(self, text: str) -> list[int]:
         return self.plain.encode(text, add_special_tokens=False).ids
 
+    def word(self, part: str) -> bytes:
+        """The ids of one run of lower-case letters, or of another part that the model takes whole."""
+        if not part.isascii():
+            part = "".join([_LETTER[b] for b in part.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(part)]).tobytes()
+
     def direct(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for part in _CUT(piece.lower()):
-            if not part.isascii():
-                part = "".join([_LETTER[b] for b in part.encode()])
-            ids += [t.id for t in self.model.tokenize(part)]
-        return np.array(ids, dtype=self.kind).tobytes()
+        return b"".join(map(self.word, _CUT(piece.lower())))
 
     def encode(self, piece: str) -> bytes:
         if self.short and _PLAIN(piece) and not ("<" in piece and any(s in piece for s in self.specials)):
