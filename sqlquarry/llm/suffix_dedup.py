@@ -77,7 +77,7 @@ def anchors(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         last = np.append(first[1:], len(own)) - 1
         place = own[first]
-        yield h[place], place - a, first, last
+        yield mix(h[place]), place - a, first, last  # the least hashes are small numbers: spread again
 
 
 def _batches(texts: list[bytes | None], length: int) -> Iterator[tuple[int, tuple]]:
