@@ -13,10 +13,10 @@ How it stays bounded:
   most 100 times the mean number of shingles a text of those, whatever ``N`` is.  A first pass adds up a
   histogram of fixed size of hashed shingles, a second one counts exactly the shingles whose cell is full enough.
 * Copies.  Texts with the same words become one node before any grouping, so a group of exact copies costs one.
-* Buckets.  A bucket isn't expanded to pairs: its members are verified against one hub; those that aren't linked
-  to it go on, in the next round against two hubs, then four, until no bucket has two members left.  No
-  candidate is dropped: two members that are linked neither to a hub meet in a later round.
-* Hubs.  A hub's set is copied for every ``FANOUT`` of its partners, so its pairs are verified in many tasks.
+* Candidates.  A band's texts are chained to their least node only; the chains' connected components hold all
+  candidate pairs.  Within a component every pair is decided by an inverted index of its sets, in memory and with
+  nothing emitted but the links of a spanning forest; pairs that are connected already are skipped.
+* Large components are dealt to blocks of ``BLOCK_GRAMS`` shingles, and pairs of blocks are decided one by one.
 
 Defined results: a null, empty or word-less text is in no class but its own; repeated rows are exact copies
 of each other; ``class_id`` is the least id of the class, null only if its texts have no other id.
@@ -39,7 +39,7 @@ from ._text import Words, shingles
 
 _CELLS = 1 << 20
 _SHARE = 100
-FANOUT = 500
+BLOCK_GRAMS = 2_000_000
 
 
 def _sets(texts: list[bytes | None], n: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
@@ -260,29 +260,96 @@ def _features(docs: DataFrame, wanted: DataFrame, weights: Weights, key: str, te
     return asked.mapInArrow(make, schema).dropDuplicates(["node"])
 
 
-def _verify(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """(hub, node, linked) for pairs of nodes."""
-    small_batches(pairs.sparkSession, 1000)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(1 << 20)))
-    count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FANOUT).alias("ways"))
-    salted = salted.join(count, "hub").withColumn("salt", F.pmod("salt", F.col("ways"))).drop("ways")
-    copies = count.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))).select("hub", "salt")
-    hubs = copies.join(features.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("grams").alias("hub_grams")), "hub")
-    both = salted.join(features, "node").join(hubs, ["hub", "salt"])
-    schema = T.StructType([T.StructField("hub", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("linked", T.BooleanType())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what all links between sets of both sides connect (one side: between all sets)."""
+    n, both = len(sets), bool(side.any()) and not side.all()
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    total = np.array([w.sum() for _, w in sets])
+    links = []
+    if n <= 8:
+        for i in range(n):
+            for j in range(i):
+                if (not both or side[i] != side[j]) and min(total[i], total[j]) >= threshold * max(total[i], total[j]) and find(i) != find(j) and similarity(sets[i], sets[j]) >= threshold:
+                    root[find(i)] = find(j)
+                    links.append((i, j))
+        return links
+    gram = np.concatenate([g for g, _ in sets])
+    owner = np.repeat(np.arange(n), [len(g) for g, _ in sets])
+    weight = np.concatenate([w for _, w in sets])
+    _, gram = np.unique(gram, return_inverse=True)
+    many = (np.bincount(gram) > 1)[gram]
+    shared = np.bincount(owner[many], weights=weight[many], minlength=n)
+    able = shared >= threshold * total * (1 - 1e-9)
+    keep = many & able[owner]
+    gram, owner, weight = gram[keep], owner[keep], weight[keep]
+    order = np.argsort(gram, kind="stable")
+    post_owner, post_weight = owner[order], weight[order]
+    size = np.bincount(gram) if len(gram) else np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    begin = np.searchsorted(owner, np.arange(n + 1))
+    label = np.arange(n)
+    for i in np.argsort(-shared / np.maximum(total, 1e-300), kind="stable").tolist():
+        if not able[i] or (label[able] == label[i]).all():
+            continue
+        own, w = gram[begin[i] : begin[i + 1]], weight[begin[i] : begin[i + 1]]
+        count = size[own]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(first[own] - ends + count, count)
+        common = np.bincount(post_owner[at], weights=np.minimum(post_weight[at], np.repeat(w, count)), minlength=n)
+        near = common >= threshold * (total + total[i] - common)
+        near &= label != label[i]
+        if both:
+            near &= side != side[i]
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((i, j))
+    return links
+
+
+def _links(groups: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of nodes; ``groups`` has (node, root) of the candidate components."""
+    sized = groups.join(features.select("node", "n"), "node")
+    ways = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("ways"))
+    dealt = sized.join(ways, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    dealt = dealt.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+    rows = dealt.join(features, "node").select("root", "i", "j", "side", "node", "n", "grams")
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
-        for batch in batches:
-            linked, held, last = [], None, None
-            columns = (batch.column(c).to_pylist() for c in ("hub", "hub_n", "hub_grams", "n", "grams"))
-            for hub, hub_n, hub_grams, n, grams in zip(*columns, strict=True):
-                if hub != last:
-                    last, held = hub, _unpack(hub_grams, hub_n)
-                linked.append(similarity(held, _unpack(grams, n)) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("hub").cast(pa.binary()), batch.column("node").cast(pa.binary()), pa.array(linked)], schema=out)
+        now: tuple | None = None
+        nodes: list[bytes] = []
+        sides: list[bool] = []
+        sets: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[bytes, bytes]] = []
 
-    return both.select("hub", "hub_n", "hub_grams", "node", "n", "grams").mapInArrow(compare, schema)
+        def close() -> None:
+            found.extend((nodes[a], nodes[b]) for a, b in forest(sets, np.array(sides), threshold))
+
+        for batch in batches:
+            for root, i, j, side, node, n, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, i, j) != now:
+                    if nodes:
+                        close()
+                    now, nodes, sides, sets = (root, i, j), [], [], []
+                nodes.append(node)
+                sides.append(side)
+                sets.append(_unpack(grams, n))
+        if nodes:
+            close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=out)
+
+    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(decide, schema)
 
 
 def classes(
@@ -302,29 +369,13 @@ def classes(
     weights = fit_weights(docs, text=text, shingle=shingle)
     signed = stage(signatures(docs, weights, Sampler(bands, rows), key=key, text=text, shingle=shingle), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
-    members = nodes.select("node", "id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
-    members = stage(members.join(shared.select("band"), "band"), "members")
-    features = stage(_features(docs, members.select("node", "id").distinct(), weights, key, text, shingle), "features")
-    members, links, ways = members.select("band", "node"), None, 1
-    while True:
-        part = F.pmod(F.xxhash64("node", F.lit(ways)), F.lit(ways))
-        hubs = members.groupBy("band", part.alias("part")).agg(F.min("node").alias("hub")).select("band", "hub")
-        paired = members.join(hubs, "band").where("node <> hub")
-        asked = paired.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-        checked = stage(_verify(asked, features, threshold), "checked")
-        good = checked.where("linked").select("hub", "node")
-        links = good if links is None else links.union(good)
-        either = good.union(good.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
-        met = members.join(hubs, "band").join(either, ["hub", "node"], "left_semi").select("band", "node")
-        done = met.union(hubs.select("band", F.col("hub").alias("node"))).distinct()
-        rest = members.join(done, ["band", "node"], "left_anti")
-        many = rest.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-        members = stage(rest.join(many, "band"), "members")
-        if members.isEmpty():
-            break
-        ways *= 2
-    roots = components(links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    hubs = members.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("band", "hub")
+    chained = members.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = stage(components(chained), "groups")
+    wanted = groups.select("node").join(nodes.select("node", "id"), "node")
+    features = stage(_features(docs, wanted, weights, key, text, shingle), "features")
+    roots = components(_links(groups, features, threshold))
     of_node = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))
     found = of_node.select("node", "root").join(least, "root").select("node", "root", "class_id")

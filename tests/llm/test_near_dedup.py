@@ -67,6 +67,54 @@ def test_bucket_of_mutually_different_texts(spark):
     assert got[105] == 5 and got[5] == 5 and got[6] == 6
 
 
+def near_group(rng, n, most):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(120)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(most)):
+            own[rng.randrange(len(own))] = word()
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_group_in_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = list(enumerate(near_group(rng, 80, 5) + near_group(rng, 5, 4) + near_group(rng, 12, 20)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)[0]
+    for size in (2_000_000, 1500):
+        monkeypatch.setattr(near_dedup, "BLOCK_GRAMS", size)
+        got = {r["id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+        assert [got[k] for k, _ in rows] == want
+    assert 5 < len(set(want)) < 80
+
+
+def test_forest_against_all_pairs():
+    rng = random.Random(2)
+    for n in (3, 8, 40):
+        sets = []
+        for text in near_group(rng, n, 12):
+            grams = np.unique(np.array([hash(w) & 0xFFFFFFFF for w in text.split()], dtype=np.uint64))
+            sets.append((grams, np.array([1 + (g % 3) for g in grams.tolist()], dtype=float)))
+        for side in (np.zeros(n, bool), np.arange(n) % 2 == 1):
+            both = side.any()
+            want = [(i, j) for i in range(n) for j in range(i) if (not both or side[i] != side[j]) and near_dedup.similarity(sets[i], sets[j]) >= 0.8]
+            got = near_dedup.forest(sets, side, 0.8)
+            label = lambda links: [min(c) for c in groups(n, links)]
+            assert label(got) == label(want)
+
+
+def groups(n, links):
+    own = [{i} for i in range(n)]
+    for a, b in links:
+        merged = own[a] | own[b]
+        for i in merged:
+            own[i] = merged
+    return own
+
+
 def test_edges(spark):
     long = "alpha beta gamma delta epsilon zeta"
     rows = [(1, long), (1, long), (2, long.upper() + "!"), (None, long), (3, None), (4, ""), (5, ""), (6, "..."), (7, "one"), (8, "one"), (None, "solo text")]
