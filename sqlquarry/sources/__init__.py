@@ -58,6 +58,11 @@ def read_catalogue_repos(spark: SparkSession, path: str) -> DataFrame:
     return found.select("repo.name", "repo.url", F.col("f.LICENSE").alias("license"), F.col("f.PERMISSIVE").alias("permissive"))
 
 
+def decoded(content: Column) -> Column:
+    """UTF-8 text without the bytes that aren't (and without replacement marks)."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def _ends_with(path: Column, endings: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for ending in endings:
@@ -66,7 +71,7 @@ def _ends_with(path: Column, endings: tuple[str, ...]) -> Column:
 
 
 def read_sources(spark: SparkSession, folder: str, *, endings: tuple[str, ...] = SOURCE_ENDINGS, file_filter: Column | None = None) -> DataFrame:
-    """(file_path, content) of the source files below a folder; bytes that aren't UTF-8 become replacement marks.
+    """(file_path, content) of the source files below a folder; bytes that aren't UTF-8 are left out.
 
     The ending is matched as it is written. Files are filtered before their content is read.
     """
@@ -74,7 +79,7 @@ def read_sources(spark: SparkSession, folder: str, *, endings: tuple[str, ...] =
     files = files.where(_ends_with(F.col("path"), endings))
     if file_filter is not None:
         files = files.where(file_filter)
-    return files.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.col("path").alias("file_path"), decoded(F.col("content")).alias("content"))
 
 
 def read_benchmark_scripts(spark: SparkSession, folder: str, directories: tuple[str, ...]) -> DataFrame:
@@ -89,7 +94,7 @@ def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """(file_path, file_type, content) of small descriptive files directly in a folder."""
     files = spark.read.format("binaryFile").load(folder).where((F.col("length") < METADATA_BYTES) & _ends_with(F.col("path"), METADATA_ENDINGS))
     name = F.substring_index("path", "/", -1)
-    return files.select(name.alias("file_path"), names.extension(name).alias("file_type"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(name.alias("file_path"), names.extension(name).alias("file_type"), decoded(F.col("content")).alias("content"))
 
 
 def sniff_delimiter(sample: list[str]) -> str:

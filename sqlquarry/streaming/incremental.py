@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..extract.strings import extract_sql
 from ..functions import names
-from ..sources import SOURCE_ENDINGS, _ends_with
+from ..sources import SOURCE_ENDINGS, _ends_with, decoded
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -17,7 +17,7 @@ def source_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 10
     """(file_path, content) of source files below a folder as they arrive."""
     reader = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True)
     files = reader.option("maxFilesPerTrigger", files_per_batch).load(folder).where(_ends_with(F.col("path"), SOURCE_ENDINGS))
-    return files.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.col("path").alias("file_path"), decoded(F.col("content")).alias("content"))
 
 
 def mine(spark: SparkSession, folder: str, target: str, checkpoint: str, **options) -> StreamingQuery:
