@@ -41,19 +41,18 @@ def tidy(sql: Column) -> Column:
     return F.lower(strip(F.regexp_replace(sql, " +", " ")))
 
 
+_SIGN = f"(?:{'|'.join(SIGNS)})[ ()]"
+#: Two different signs, found in one pass: the first one, held fast, and one that differs from it. The fused sign begins
+#: with another one, so alone it is two.
+_TWO_SIGNS = rf"(?s)CREATE TYPEUNION[ ()]|(?>\A.*?({_SIGN}))(?=.*?(?!\1){_SIGN})"
+
+
 def looks_like_sql(text: Column, *, select_only: bool = False) -> Column:
     """Whether a text begins with one of the words and a blank, and shows two signs of SQL."""
     upper = F.upper(text)
-    head = strip(upper)
-    words = ("SELECT",) if select_only else FIRST_WORDS
-    begins = F.lit(False)
-    for word in words:
-        begins = begins | F.startswith(head, F.lit(f"{word} "))
-    found = F.lit(0)
-    for sign in SIGNS:
-        for end in " ()":
-            found = found + F.contains(upper, F.lit(sign + end)).cast("int")
-    return begins & (found >= 2)
+    words = "SELECT" if select_only else "|".join(FIRST_WORDS)
+    begins = F.regexp_like(upper, F.lit(rf"(?U)\A{_SPACE}*+(?:{words}) "))
+    return begins & F.regexp_like(upper, F.lit(_TWO_SIGNS))
 
 
 def query_type(sql: Column) -> Column:

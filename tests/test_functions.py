@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -59,6 +60,14 @@ def test_signs_of_sql(spark):
     looks = lambda t: one(spark, statements.looks_like_sql(F.col("t")), t=t)
     assert looks("select a from b") and looks("delete from t where x") and looks("create table copyright ")
     assert not looks("delete from t") and not looks("update t set a = 1 where b = 2") and not looks("selection from x")
+    assert looks("alter from from create typeunion ") and looks("create typeunion(") and not looks("select " * 9)
+    rng = random.Random(1)
+    parts = [*statements.SIGNS, *statements.FIRST_WORDS, " ", " ", "(", ")", "x", "\n"]
+    texts = [rng.choice(statements.FIRST_WORDS) + " " + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(1500)]
+    brute = lambda t: t.strip().startswith(tuple(f"{w} " for w in statements.FIRST_WORDS)) and sum(s + e in t for s in statements.SIGNS for e in " ()") >= 2
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", statements.looks_like_sql(F.col("t")).alias("r")).collect()
+    assert all(r["r"] == brute(r["t"]) for r in rows) and 50 < sum(r["r"] for r in rows) < 1400
+    assert looks("select " + "from " * 400_000 + "where ")
     kind = lambda t: one(spark, statements.query_type(F.col("t")), t=t)
     assert [kind(t) for t in ("selected", "with a", "Drop", "from x")] == ["SELECT", "WITH", "DROP", "UNKNOWN"]
 
