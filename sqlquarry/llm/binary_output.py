@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, chunks, small_batches
+from ._common import arrow_schema, chunks, map_batches, small_batches
 from ._tokens import tokenizer
 
 
@@ -152,7 +152,7 @@ def pack(
             for i in range(0, made.num_rows, 256):
                 yield made.slice(i, 256)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return map_batches(docs.select(key, text), run, schema)
 
 
 def matrix(rows: list, length: int = 4096) -> np.ndarray:

@@ -19,7 +19,7 @@ leading underscore.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import append, arrow_schema, chunks, fresh, small_batches, utf8, with_fields
+from ._common import append, arrow_schema, chunks, fresh, map_batches, small_batches, stage, utf8, with_fields
 from ._text import Words, words
 
 _SAMPLE = 8
+#: A function over Arrow batches and the schema of what it gives.
+Pass = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], T.StructType]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -207,14 +209,22 @@ def find(
     block_bytes: int = 8 << 20,
     shard_bytes: int = 8 << 20,
     names: tuple[str, str] = ("word_spans", "items"),
+    finish: Callable[[T.StructType, str, str], Pass] | None = None,
 ) -> DataFrame:
-    """``docs`` with the merged word ranges of test phrases and the sorted ids of their items."""
+    """``docs`` with the merged word ranges of test phrases and the sorted ids of their items.
+
+    ``finish`` gives a last pass over the batches, which runs in the same worker.  Between the blocks of a large
+    benchmark the spans found so far are staged, so a worker holds the phrases of one block.
+    """
     small_batches(docs.sparkSession)
     spans_name, items_name = fresh(docs, *names)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = with_fields(docs.schema, T.StructField(spans_name, T.ArrayType(span)), T.StructField(items_name, T.ArrayType(T.StringType())))
     out = docs
-    for n, phrases in enumerate(blocks(benchmark, item=item, text=item_text, window=window, block_bytes=block_bytes)):
+    own = blocks(benchmark, item=item, text=item_text, window=window, block_bytes=block_bytes)
+    phrases, n = next(own), 0
+    while True:
+        following = next(own, None)
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases, again=n > 0) -> Iterator[pa.RecordBatch]:
             made = arrow_schema(schema)
@@ -230,17 +240,22 @@ def find(
                 spans = [[{"start": a, "end": b} for a, b in merged(s)] for s, _ in got]
                 yield append(batch, made, spans, [sorted(i) for _, i in got])
 
-        out = out.mapInArrow(search, schema)
-    return out
+        if following is None and finish:
+            last, result = finish(schema, spans_name, items_name)
+            return map_batches(out, lambda batches, search=search: last(search(batches)), result)
+        out = map_batches(out, search, schema)
+        if following is None:
+            return out
+        out, phrases, n = stage(out, "spans"), following, n + 1
 
 
-def report(found: DataFrame, *, key: str = "doc_id", text: str = "text", spans: str = "word_spans", items: str = "items") -> DataFrame:
-    """The digest of ``find``'s result: words, hit words, items and their digest for each text."""
-    fields = [T.StructField(key, found.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items"))]
-    schema = T.StructType([*fields, T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
+def digest(schema: T.StructType, spans: str, items: str, *, key: str = "doc_id", text: str = "text") -> Pass:
+    """Words, hit words, items and their digest for each text."""
+    fields = [T.StructField(key, schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items"))]
+    made = T.StructType([*fields, T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = arrow_schema(schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = arrow_schema(made)
         for batch in batches:
             texts = utf8(batch.column(text))
             count = []
@@ -252,20 +267,20 @@ def report(found: DataFrame, *, key: str = "doc_id", text: str = "text", spans:
             arrays += [pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hit])]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
 
-    return found.select(key, text, spans, items).mapInArrow(digest, schema)
+    return run, made
 
 
-def remove(found: DataFrame, *, text: str = "text", spans: str = "word_spans", items: str = "items") -> DataFrame:
-    """``find``'s input columns with the spans cut from the texts; texts that keep no word go.
+def cut(schema: T.StructType, spans: str, items: str, *, text: str = "text") -> Pass:
+    """The input's columns with the spans cut from the texts; texts that keep no word go.
 
     A span is cut from its first word's first character to its last word's last one.  A text without spans is
     left as it is, and stays even if it has no word.
     """
-    rest = [c for c in found.columns if c not in (spans, items)]
-    schema = T.StructType([f for f in found.schema.fields if f.name in rest])
+    rest = [f.name for f in schema.fields if f.name not in (spans, items)]
+    made = T.StructType([f for f in schema.fields if f.name in rest])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = arrow_schema(schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = arrow_schema(made)
         place = rest.index(text)
         for batch in batches:
             texts, own = utf8(batch.column(text)), batch.column(spans).to_pylist()
@@ -281,7 +296,48 @@ def remove(found: DataFrame, *, text: str = "text", spans: str = "word_spans", i
                     keep[i] = bool(words(texts[i]))
             arrays = [c.cast(out.field(k).type) for k, c in enumerate(batch.select(rest).columns)]
             arrays[place] = pa.array(texts, pa.large_binary()).cast(out.field(place).type)
-            made = pa.RecordBatch.from_arrays(arrays, schema=out)
-            yield made if keep.all() else made.filter(pa.array(keep))
-
-    return found.mapInArrow(cut, schema)
+            whole = pa.RecordBatch.from_arrays(arrays, schema=out)
+            yield whole if keep.all() else whole.filter(pa.array(keep))
+
+    return run, made
+
+
+def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The digest of every text, in one pass."""
+    return find(docs, benchmark, finish=digest, **options)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without test passages, in one pass; see ``cut``."""
+    return find(docs, benchmark, finish=cut, **options)
+
+
+#: The digest of ``documents`` against ``benchmark`` in windows of ten words.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), starts AS (
+  SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0
+), phrases AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS p FROM starts
+), sizes AS (
+  SELECT DISTINCT n FROM phrases
+), places AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d CROSS JOIN sizes
+), hits AS (
+  SELECT doc_id, s, places.n, item_id FROM places
+  JOIN phrases ON places.n = phrases.n AND array_to_string(w[s : s + places.n - 1], ' ') = p
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import append, arrow_schema, chunks, fresh, small_batches, with_fields
+from ._common import append, arrow_schema, chunks, fresh, map_batches, small_batches, with_fields
 
 _BLANK = 32
 _HELD: dict[str, np.ndarray] = {}
@@ -153,7 +153,7 @@ def fit(
                     total = np.bincount(at, weights=np.concatenate([c for _, c in own])).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(total)], schema=out)
 
-    total = picked.select("lang", "text").mapInArrow(count, made).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    total = map_batches(picked.select("lang", "text"), count, made).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     best = total.withColumn("r", F.row_number().over(first)).where(F.col("r") <= size)
     ranked: dict[str, list[int]] = {}
@@ -179,4 +179,4 @@ def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text", names:
                 scores += b
             yield append(batch, out, langs, scores)
 
-    return docs.mapInArrow(predict, schema)
+    return map_batches(docs, predict, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, chunks, small_batches, stage, utf8
+from ._common import arrow_schema, chunks, map_batches, small_batches, stage, utf8
 from ._text import Words, shingles
 
 _CELLS = 1 << 20
@@ -103,7 +103,7 @@ def fit_weights(docs: DataFrame, *, text: str = "text", shingle: int = 5) -> Wei
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blobs, pa.binary()), pa.array([n[b] for b in held], pa.int64())], schema=arrow_schema(cell))
 
     rows = docs.select(F.col(text).alias("text"))
-    sums = rows.mapInArrow(histogram, cell).repartition(blocks, "block").mapInArrow(add, cell).collect()
+    sums = map_batches(map_batches(rows, histogram, cell).repartition(blocks, "block"), add, cell).collect()
     texts = sum(r["n"] for r in sums)
     least = max(2, -(-texts // _SHARE))
     full = np.zeros(_CELLS, dtype=bool)
@@ -123,7 +123,7 @@ def fit_weights(docs: DataFrame, *, text: str = "text", shingle: int = 5) -> Wei
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], schema=arrow_schema(counted))
 
-    frequent = rows.mapInArrow(count, counted).groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
+    frequent = map_batches(rows, count, counted).groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
     return Weights(texts, frequent["gram"].to_numpy().view(np.uint64), frequent["df"].to_numpy())
 
 
@@ -235,7 +235,7 @@ def signatures(docs: DataFrame, weights: Weights, sampler: Sampler, *, key: str
                     bands.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(out.field(0).type), pa.array(nodes, pa.binary()), pa.array(bands, out.field(2).type)], schema=out)
 
-    return rows.mapInArrow(sign, schema)
+    return map_batches(rows, sign, schema)
 
 
 def _features(docs: DataFrame, wanted: DataFrame, weights: Weights, key: str, text: str, shingle: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _features(docs: DataFrame, wanted: DataFrame, weights: Weights, key: str, te
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(schema), strict=True)], schema=arrow_schema(schema))
 
-    return asked.mapInArrow(make, schema).dropDuplicates(["node"])
+    return map_batches(asked, make, schema).dropDuplicates(["node"])
 
 
 def forest(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -349,7 +349,7 @@ def _links(groups: DataFrame, features: DataFrame, threshold: float) -> DataFram
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=out)
 
-    return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(decide, schema)
+    return map_batches(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node"), decide, schema)
 
 
 def classes(
@@ -412,4 +412,4 @@ def _nodes(named: DataFrame, docs: DataFrame) -> DataFrame:
                 nodes += [_digest(w.hash[a:b]) if b > a else None for a, b in zip(w.offset[:-1], w.offset[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row").cast(out.field(0).type), batch.column("k").cast(out.field(1).type), pa.array(nodes, pa.binary())], schema=out)
 
-    return named.mapInArrow(add, schema)
+    return map_batches(named, add, schema)

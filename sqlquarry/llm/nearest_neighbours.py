@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, small_batches
+from ._common import arrow_schema, map_batches, small_batches
 
 _QUERIES = 256
 
@@ -181,7 +181,7 @@ def search(
         yield from answer(held, block)
 
     dealt = index.union(asked).repartition("shard").sortWithinPartitions("shard", "kind", "id")
-    found = dealt.mapInArrow(run, schema)
+    found = map_batches(dealt, run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

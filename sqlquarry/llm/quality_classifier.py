@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import append, arrow_schema, chunks, fresh, small_batches, utf8, with_fields
+from ._common import append, arrow_schema, chunks, fresh, map_batches, small_batches, utf8, with_fields
 
 BITS = 18
 _LOWER, _UPPER, _DIGIT, _MARK, _WIDE = 1, 2, 4, 8, 16
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         model = train(rows, np.array([x[1] for x in found], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], schema=arrow_schema(made))
 
-    got = rows.mapInArrow(make, row).limit(4 * max_train).repartition(1).mapInArrow(learn, made).collect()
+    got = map_batches(map_batches(rows, make, row).limit(4 * max_train).repartition(1), learn, made).collect()
     return Model.load(bytes(got[0]["model"])) if got else train([], np.empty(0, np.int64))
 
 
@@ -211,4 +211,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
         for batch in batches:
             yield append(batch, out, [own.score(r) for r in features(utf8(batch.column(text)))])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

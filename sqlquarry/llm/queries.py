@@ -46,7 +46,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.report(decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE_SQL, "op2_chat_rotation": chat_rotation.ORACLE_SQL}
+    return {
+        "op1_sharding": sharding.ORACLE_SQL,
+        "op2_chat_rotation": chat_rotation.ORACLE_SQL,
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+    }

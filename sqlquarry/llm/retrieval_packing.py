@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, small_batches
+from ._common import arrow_schema, map_batches, small_batches
 from ._text import Words
 from ._tokens import tokenizer
 
@@ -184,4 +184,4 @@ def pack(
             yield shard(keys, texts, at)[0]
 
     dealt = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("k", "t"))
-    return dealt.repartition("h").sortWithinPartitions("h", "k").select("k", "t").mapInArrow(run, schema)
+    return map_batches(dealt.repartition("h").sortWithinPartitions("h", "k").select("k", "t"), run, schema)

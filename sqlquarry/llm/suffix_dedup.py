@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, chunks, fresh, small_batches, stage, utf8
+from ._common import arrow_schema, chunks, fresh, map_batches, small_batches, stage, utf8
 from ._text import mix
 
 GRAM = 32
@@ -302,8 +302,8 @@ def _shared_anchors(rows: DataFrame, ranges: int, length: int) -> DataFrame:
         if n and (made := repeated(n, blobs)) is not None:
             yield made
 
-    dealt = rows.select("ref", "text").mapInArrow(sample, made).repartition(ranges, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(meet, back).groupBy("ref").agg(F.collect_list("hashes").alias("hashes"))
+    dealt = map_batches(rows.select("ref", "text"), sample, made).repartition(ranges, "range").sortWithinPartitions("range")
+    return map_batches(dealt, meet, back).groupBy("ref").agg(F.collect_list("hashes").alias("hashes"))
 
 
 _FRAGMENT = T.StructType(
@@ -356,7 +356,7 @@ def _fragments(candidates: DataFrame, length: int) -> DataFrame:
                 held, rows = {}, []
         yield from emit([*held.values(), *rows])
 
-    return candidates.mapInArrow(cut, _FRAGMENT)
+    return map_batches(candidates, cut, _FRAGMENT)
 
 
 def _repeats(fragments: DataFrame, length: int) -> DataFrame:
@@ -404,7 +404,7 @@ def _repeats(fragments: DataFrame, length: int) -> DataFrame:
         if rows:
             yield emit(rows)
 
-    return fragments.repartition("h").sortWithinPartitions("h").mapInArrow(sort, _REPEAT)
+    return map_batches(fragments.repartition("h").sortWithinPartitions("h"), sort, _REPEAT)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -453,7 +453,7 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
                 kept.append(hashlib.sha256(cut_bytes(raw, own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("s8"), pa.array(spans, out.field(2).type), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
 
-    done = own.select("id", "s8", "text", "blobs").mapInArrow(merge, schema)
+    done = map_batches(own.select("id", "s8", "text", "blobs"), merge, schema)
     out = marked.join(done, F.col("id").eqNullSafe(F.col("i")) & (F.col("s8") == F.col("s")), "left")
     return out.select("id", "sha", "s8", "copies", "n_bytes", "later", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
@@ -513,7 +513,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             made = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(kind))], schema=out)
             yield made if keep.all() else made.filter(pa.array(keep))
 
-    return rows.mapInArrow(cut, schema).select("row.*")
+    return map_batches(rows, cut, schema).select("row.*")
 
 
 def _floor(raw: bytes, at: int) -> int:

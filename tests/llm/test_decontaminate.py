@@ -51,9 +51,9 @@ def test_small_vocabulary_and_blocks(spark):
     docs_df = spark.createDataFrame(docs, "doc_id long, text string")
     items_df = spark.createDataFrame(items, "item_id long, text string")
     for size in (8 << 20, 60):
-        got = decontaminate.report(decontaminate.find(docs_df, items_df, block_bytes=size, shard_bytes=500)).collect()
+        got = decontaminate.report(docs_df, items_df, block_bytes=size, shard_bytes=500).collect()
         assert sorted((tuple(r) for r in got), key=str) == brute(docs, items)
-    none = decontaminate.report(decontaminate.find(docs_df, items_df.where("false"))).collect()
+    none = decontaminate.report(docs_df, items_df.where("false")).collect()
     assert not any(r["contaminated"] for r in none) and len(none) == len(docs)
     assert decontaminate.find(docs_df.where("false"), items_df).count() == 0
 
@@ -61,9 +61,9 @@ def test_small_vocabulary_and_blocks(spark):
 def test_remove(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"Before, {item.upper()}! After."), (2, item), (3, "..."), (4, None)], "items long, text string")
-    found = decontaminate.find(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert found.columns == ["items", "text", "word_spans", "_items"]
-    out = decontaminate.remove(found, items="_items")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.find(docs, items).columns == ["items", "text", "word_spans", "_items"]
+    out = decontaminate.clean(docs, items)
     assert out.columns == docs.columns
     assert {r["items"]: r["text"] for r in out.collect()} == {1: "Before, ! After.", 3: "...", 4: None}
 

@@ -8,7 +8,7 @@ from sqlquarry.llm import chat_rotation, sharding
 from tests.oracle import assert_same
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op2_chat_rotation"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op2_chat_rotation", "op4_decontaminate"])
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_against_sql(spark, name, size):
     assert_same(spark, name, f"/root/testdata/{size}")
