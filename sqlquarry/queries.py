@@ -395,16 +395,16 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
 
 
-@query("""SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS good, coalesce(count(*) FILTER (value > 50) * 100.0 / nullif(count(*), 0), 0)::DOUBLE AS rate,
+@query("""SELECT event_type, count(*) AS total, count(*) FILTER (value > 50) AS good, round(coalesce(count(*) FILTER (value > 50) * 100.0 / nullif(count(*), 0), 0)::DOUBLE, 6) AS rate,
  coalesce(count(*) * 60.0 / nullif(count(*) FILTER (value > 1e9), 0), 0)::DOUBLE AS per_minute FROM events GROUP BY 1""")
 def success_rate(spark: SparkSession, sf: str) -> DataFrame:
     good = F.count_if(F.col("value") > 50)
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), good.alias("good"), reports.success_rate(good, F.count("*")).alias("rate"), reports.per_minute(F.count("*"), F.count_if(F.col("value") > 1e9)).alias("per_minute"))
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("total"), good.alias("good"), F.round(reports.success_rate(good, F.count("*")), 6).alias("rate"), reports.per_minute(F.count("*"), F.count_if(F.col("value") > 1e9)).alias("per_minute"))
 
 
-@query("SELECT lang, count(*) AS fixed, avg(length(text)) AS mean_length FROM documents GROUP BY 1")
+@query("SELECT lang, count(*) AS fixed, round(avg(length(text)), 6) AS mean_length FROM documents GROUP BY 1")
 def mean_length(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("fixed"), F.avg(F.length("text")).alias("mean_length"))
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("fixed"), F.round(F.avg(F.length("text")), 6).alias("mean_length"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.2f seconds', s::DOUBLE) WHEN s < 3600 THEN printf('%.2f minutes', s / 60.0) ELSE printf('%.2f hours', s / 3600.0) END AS duration
@@ -459,10 +459,10 @@ def catalogue_repos(spark: SparkSession, sf: str) -> DataFrame:
 # delegated surface
 
 
-@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS running, lag(o_orderkey) OVER w AS previous FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running, lag(o_orderkey) OVER w AS previous FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_functions(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rn"), F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"), F.lag("o_orderkey").over(w).alias("previous"))
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rn"), F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"), F.lag("o_orderkey").over(w).alias("previous"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -500,12 +500,12 @@ def as_of_join(spark: SparkSession, sf: str) -> DataFrame:
     return clicks.union(bought).withColumn("last_purchase", F.last("purchase", True).over(w)).where("event_id is not null").select("event_id", "last_purchase")
 
 
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc, avg(l_quantity) AS avg_qty, count(*) AS n
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
 def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base"), F.sum(disc).alias("sum_disc"), F.avg("l_quantity").alias("avg_qty"), F.count("*").alias("n"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
 
 
 # beyond SQL: their tests hold them against goldens

@@ -12,7 +12,7 @@ def _plain(value):
     if isinstance(value, Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6g}"
+        return "nan" if math.isnan(value) else f"{value:.12g}"
     if isinstance(value, (list, tuple)):
         return tuple(_plain(v) for v in value)
     return value
