@@ -22,13 +22,22 @@ def literals(files: DataFrame, *, dedupe: bool = False, first_fragment: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
+        fields = [f.name for f in EXTRACTED.fields]
+        rows: list[tuple] = []
+
+        def emit(some: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), out, strict=True)], schema=out)
+
         for batch in batches:
             for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 language = lexers.LANGUAGES.get((path or "").rpartition(".")[2].lower())
                 found = lexers.extract_strings(content, language, dedupe=dedupe, first_fragment=first_fragment)
-                for i in range(0, len(found), 2000):
-                    rows = [{"file_path": path, "ordinal": i + k, **f} for k, f in enumerate(found[i : i + 2000])]
-                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                rows += [(path, i, *(f[n] for n in fields)) for i, f in enumerate(found)]
+                while len(rows) >= 2000:
+                    yield emit(rows[:2000])
+                    rows = rows[2000:]
+        if rows:
+            yield emit(rows)
 
     return files.select("file_path", "content").mapInArrow(run, schema)
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def with_positions(rows: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """Consecutive numbers in the given order, without one task that sees all rows.
 
     Rows are dealt to ranges of the order and numbered within each; the sizes of the ranges before are added.  Rows
-    that are equal in all of ``order`` get numbers in any order.
+    that are equal in all of ``order`` get numbers in any order.  The numbered rows are staged: both the sizes and the
+    result need them, and what stands on the result doesn't make them again.
     """
     keys = [F.col(c).asc_nulls_first() for c in order]
     dealt = rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
     within = Window.partitionBy("_range").orderBy(*keys)
-    numbered = dealt.withColumn("_within", F.row_number().over(within))
+    numbered = stage(dealt.withColumn("_within", F.row_number().over(within)), "positions")
     sizes = numbered.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_before"))
