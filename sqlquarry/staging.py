@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -22,12 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_KNOWN: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends in good order."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/sqlquarry/{context.applicationId}"
+    if own not in _KNOWN:
+        _KNOWN.add(own)
+        jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already
+                path = jvm.org.apache.hadoop.fs.Path(own)
+                path.getFileSystem(conf).delete(path, True)
+
+        atexit.register(remove)
+    return own
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The table is read again with its own schema, so an empty one keeps its columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sqlquarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

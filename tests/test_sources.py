@@ -2,7 +2,7 @@ import json
 import os
 
 from pyspark.sql import functions as F
-from sqlquarry import schemas, sinks, sources
+from sqlquarry import pipeline, schemas, sinks, sources
 from sqlquarry.extract.strings import corpus
 from sqlquarry.functions import names
 from sqlquarry.operators import catalogue, relational
@@ -122,3 +122,19 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     rows = spark.read.parquet(target).collect()
     assert sorted((r["sql"], r["language"]) for r in rows) == [("select a from b", "sql"), ("select c from d", "sql"), ("select e from f", "py")]
     assert names.extension  # the same naming as in batch
+
+
+def test_whole_run(spark, tmp_path):
+    make_repo(f"{tmp_path}/repo")
+    pipeline.mine_repository(spark, f"{tmp_path}/repo", "https://github.com/me/shop", f"{tmp_path}/corpus")
+    (row,) = sources.read_corpus(spark, f"{tmp_path}/corpus").collect()
+    assert [m["file_path"] for m in row["metadata_files"]] == ["readme.md"]
+    data = {"f": {"INFO": {"URL": "https://github.com/me/shop/x.sql"}, "TABLES": {"public.x": {"COLUMNS": {"uid": {"TYPE": "int"}}}}}}
+    write(f"{tmp_path}/c.json", json.dumps(data))
+    built = pipeline.build_catalogue(spark, f"{tmp_path}/corpus", f"{tmp_path}/c.json", f"{tmp_path}/db")
+    assert {n: t.count() for n, t in built.items()} == {"repos": 1, "queries": 5, "tables": 2, "columns": 4, "column_usages": 7}
+    assert sorted(r["id"] for r in built["columns"].collect()) == [1, 2, 3, 4]
+    good, bad = pipeline.plan_queries(spark, built, f"{tmp_path}/db")
+    assert (good.count(), [r["error_message"].split(":")[0] for r in bad.collect()]) == (2, ["TABLE_OR_VIEW_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"])
+    assert tuple(pipeline.success_report(good, bad).first()) == (2, 2, 50.0)
+    assert tuple(pipeline.success_report(good.limit(0), bad.limit(0)).first()) == (0, 0, 0.0)
