@@ -1,7 +1,7 @@
 """Near-duplicate classes by consistent weighted sampling of TF-IDF shingles.
 
 A text is a weighted set of its shingles (five consecutive words): a shingle weighs its count in the text times
-``1 + log10(N / max(df, N / 100))``, with ``df`` counted exactly over all ``N`` texts that have words.  Improved
+``1 + log10(N / max(df, N / 10))``, with ``df`` counted exactly over all ``N`` texts that have words.  Improved
 consistent weighted sampling draws ``bands * rows`` samples of the set, two texts sharing each with a
 probability equal to their weighted Jaccard similarity.  Texts that share a whole band are candidates, and a
 candidate pair is linked if its weighted Jaccard similarity, computed from the whole sets, is at least
@@ -9,8 +9,9 @@ candidate pair is linked if its weighted Jaccard similarity, computed from the w
 
 How it stays bounded:
 
-* Document frequencies.  Only shingles in at least one text of 100 weigh less than the others, and there are at
-  most 100 times the mean number of shingles a text of those, whatever ``N`` is.  A first pass adds up a
+* Document frequencies.  Only shingles in more than one text of ten weigh less than the others, and there are at most
+  ten times the mean number of shingles a text of those, whatever ``N`` is.  So the shared shingles of a large group of
+  near copies keep their weight, and one edit doesn't outweigh many of them.  A first pass adds up a
   histogram of fixed size of hashed shingles, a second one counts exactly the shingles whose cell is full enough.
 * Copies.  Texts with the same words become one node before any grouping, so a group of exact copies costs one.
 * Candidates.  A band's texts are chained to their least node only; the chains' connected components hold all
@@ -38,7 +39,7 @@ from ._common import arrow_schema, chunks, map_batches, small_batches, stage, ut
 from ._text import Words, shingles
 
 _CELLS = 1 << 20
-_SHARE = 100
+_SHARE = 10
 BLOCK_GRAMS = 2_000_000
 
 
@@ -193,15 +194,16 @@ def components(links: DataFrame) -> DataFrame:
     """The least node that each node of ``links`` (a, b) is connected with, as (node, root).
 
     Every round links all larger neighbours of a node to the least one, then all smaller ones, until nothing
-    changes; stars stay stars, so a large component needs no wide rows.
+    changes; stars stay stars, so a large component needs no wide rows.  The least neighbours are staged before they are
+    joined back, so that both sides are dealt for the join alone and Spark can split the rows of a large star's centre.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = stage(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
         edges = stage(small, "edges")

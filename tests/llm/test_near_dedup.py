@@ -17,7 +17,7 @@ def brute_classes(rows, threshold=0.8):
         sets.append(own)
         df.update(own.keys())
         n += bool(own)
-    weigh = lambda s: 1 + math.log10(n / max(df[s], max(1, n / 100)))
+    weigh = lambda s: 1 + math.log10(n / max(df[s], max(1, n / 10)))
     sets = [{s: c * weigh(s) for s, c in own.items()} for own in sets]
     root = list(range(len(rows)))
 
