@@ -431,7 +431,8 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     total = base.agg(F.sum(F.col("n_bytes") * F.col("copies"))).first()[0] or 0
     shared = _shared_anchors(rows.where(F.octet_length("text") >= length), max(16, -(-total // RANGE_BYTES)), length)
     long = F.col("n_bytes") >= length
-    least = base.where(long).groupBy("sha").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("first"))
+    # staged, so that the join can split a digest that a third of all rows have
+    least = stage(base.where(long).groupBy("sha").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("first")), "least")
     marked = base.join(least, "sha", "left").withColumn("later", F.coalesce(long & (F.coalesce("id", F.lit(_LAST)) > F.col("first")), F.lit(False))).drop("first")
     wanted = marked.where(long & ~F.col("later")).join(shared, "ref").select(F.col("id").alias("i"), F.col("sha").alias("digest"), "hashes")
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("digest")))
