@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import names, statements
-from ..operators.relational import nest_queries
+from ..operators.relational import computed, nest_queries
 from ..schemas import EXTRACTED
 from . import lexers
 
@@ -60,7 +60,7 @@ def extract_sql(files: DataFrame, *, tables: list[str] | None = None, columns: l
     """(file_path, ordinal, name, type, sql, line, text_context, text_context_offset) of the SQL in source files."""
     script = F.endswith("file_path", F.lit(".sql"))
     found = script_statements(files.where(script)).unionByName(literals(files.where(~script)))
-    sql = found.withColumn("sql", statements.tidy(F.col("string"))).where("sql <> ''")
+    sql = computed(found, sql=statements.tidy(F.col("string"))).where("sql <> ''")
     sql = sql.where(statements.looks_like_sql(F.col("sql"), select_only=select_only) & statements.mentions(F.col("sql"), tables, columns))
     numbered = sql.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "sql", "line_number", "text_context", "text_context_offset"))).alias("found"))
     rows = numbered.select("file_path", F.posexplode("found").alias("at", "q"))

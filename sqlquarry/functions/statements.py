@@ -100,7 +100,7 @@ def context(text: Column, offset: Column, before: int = 10, after: int = 100) ->
     return F.substring(text, begin, F.greatest(end - begin + 1, F.lit(0)))
 
 
-def sqlshare_statements(script: Column) -> Column:
+def underscored_statements(script: Column) -> Column:
     """The statements of a script that lines of underscores part; bracketed names lose their owners."""
     script = F.regexp_replace(script, r"(?U)\[(\w+)\.\w+(?:\.\w+)*\]", "[$1]")
     parts = F.filter(F.transform(F.split(script, "_" * 40), strip), lambda s: s != "")

@@ -26,6 +26,17 @@ def with_positions(rows: DataFrame, order: list[str], name: str = "id", start: i
     return out.withColumn(name, (F.col("_before") + F.col("_within") - 1 + start).cast("long")).drop("_range", "_within", "_before")
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Costly columns, each computed once however often what follows names them.
+
+    A filter on a plain column is pushed below it with the column's expression in it, which is then evaluated in both
+    places, several times over.  A generator is as far as filters are pushed.
+    """
+    for name, column in columns.items():
+        rows = rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(column)).alias(name))
+    return rows
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; with map-side combination, so a frequent key costs no more than others."""
     rest = [c for c in rows.columns if c not in keys]

@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, dealt to all cores: for costly work on small files only."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # corpora
 
 _SCRIPT = """concat('SELECT o_orderkey, ''a;b'' FROM orders WHERE o_orderkey>=', o_orderkey, '; -- ', o_orderpriority,
@@ -55,7 +61,7 @@ _TIDIED = f"{_STATEMENTS}, tidied AS (SELECT o_orderkey, ordinal, {_TIDY.format(
 
 
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", F.expr(_SCRIPT.replace("''", "\\'")).alias("script"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")).select("o_orderkey", F.expr(_SCRIPT.replace("''", "\\'")).alias("script"))
 
 
 def all_statements(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +70,7 @@ def all_statements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tidied(spark: SparkSession, sf: str) -> DataFrame:
-    return all_statements(spark, sf).select("o_orderkey", "ordinal", statements.tidy(F.col("statement")).alias("s"))
+    return relational.computed(all_statements(spark, sf), s=statements.tidy(F.col("statement"))).drop("statement")
 
 
 # text functions
@@ -237,7 +243,7 @@ SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_
 def delimited_scripts(spark: SparkSession, sf: str) -> DataFrame:
     line = F.lit("_" * 40)
     s = F.concat(F.lit("[own"), (F.col("doc_id") % 3).cast("string"), F.lit("."), F.col("lang"), F.lit(".t] x "), line, F.lit(" "), line, F.lit("select ["), F.col("source"), F.lit("]\n"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(statements.sqlshare_statements(s), "|").alias("parts"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(statements.underscored_statements(s), "|").alias("parts"))
 
 
 _NAME = """concat('  S.', CASE p_partkey % 3 WHEN 0 THEN '`Abc' WHEN 1 THEN '"D e' ELSE '[x' END, p_size, CASE p_partkey % 3 WHEN 0 THEN '`' WHEN 1 THEN '"' ELSE ']' END, ' ')"""
@@ -518,7 +524,7 @@ def _code(priority: Column, key: Column) -> Column:
 @query(f"""SELECT concat('p', o_orderkey, '.py') AS file_path, unnest(['query_1', 'query_2']) AS name, unnest(['SELECT', 'INSERT']) AS type,
  unnest([concat('select o_orderkey from orders where o_orderkey = ', o_orderkey), 'insert into log ( id ) values ( %s )']) AS sql, unnest([1, 2])::BIGINT AS line FROM orders""")
 def extract_sql_from_code(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("file_path"), _code(F.col("o_orderpriority"), F.col("o_orderkey")).alias("content"))
+    files = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")).select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("file_path"), _code(F.col("o_orderpriority"), F.col("o_orderkey")).alias("content"))
     return strings.extract_sql(files).select("file_path", "name", "type", "sql", "line")
 
 
@@ -527,7 +533,7 @@ def extract_sql_from_code(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT o_orderkey, 'c_custkey', 'JOIN', '=', 'o.o_custkey' FROM orders""")
 def column_usages(spark: SparkSession, sf: str) -> DataFrame:
     sql = F.concat(F.lit("select o_orderkey from orders o join customer c on o.o_custkey = c.c_custkey where "), F.col("o_custkey").cast("string"), F.lit(" < o_custkey order by o_totalprice"))
-    return usages.column_usages(usages.analyse_queries(table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), sql.alias("sql"))))
+    return usages.column_usages(usages.analyse_queries(spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(F.col("o_orderkey").alias("query_id"), sql.alias("sql"))))
 
 
 @query("""SELECT p_partkey AS id, concat('s.t', p_size) AS table_name, unnest(['id', 'price', 'k']) AS name, unnest([concat('bigint(', p_size, ') unsigned'), 'decimal(5,2)', 'varchar(10)']) AS type,
@@ -535,7 +541,7 @@ def column_usages(spark: SparkSession, sf: str) -> DataFrame:
 def parse_create_table(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("p_size").cast("string")
     sql = F.concat(F.lit("create table `S`.`T"), n, F.lit("` ( `id` bigint ( "), n, F.lit(" ) unsigned not null, price decimal ( 5 , 2 ) default 0, k varchar ( 10 ), primary key ( `id` ), key x ( k ) ) engine = x"))
-    rows = ddl.parse_tables(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), sql.alias("sql")))
+    rows = ddl.parse_tables(spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("id"), sql.alias("sql")))
     return rows.select("id", "table_name", F.explode("columns").alias("c")).select("id", "table_name", "c.name", "c.type", "c.is_primary_key")
 
 
