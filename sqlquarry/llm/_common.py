@@ -1,11 +1,9 @@
-"""Shared helpers: staging tables, safe column names, Arrow schemas."""
+"""Shared helpers: safe column names, Arrow batches and schemas."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,30 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..staging import stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` as the cluster names it.
-
-    Only where that is unset (tests on one machine) a temporary folder stands in for it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sqlquarry.scratch", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sqlquarry-")
-        spark.conf.set("spark.sqlquarry.scratch", named)
-    return named.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The table is read again with its own schema, so an empty one keeps its columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sqlquarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["append", "arrow_schema", "chunks", "fresh", "map_batches", "release", "small_batches", "stage", "utf8", "with_fields"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
