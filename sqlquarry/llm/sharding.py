@@ -1,14 +1,13 @@
 """Sharding by extendible hashing, in DataFrame operations only.
 
 A row's key is hashed to 60 bits.  A directory is indexed by the leading bits; a bucket whose rows are more than
-``limit`` bytes splits on one more bit, and only such a bucket does, until every bucket fits.  So a row's bucket
+``limit`` bytes splits on one more bit, and only such a bucket does, until every bucket fits or holds one row.  So a row's bucket
 is the shortest prefix of its hash whose bytes fit, which one pass over sums by prefix gives for all rows: cells of
 a fine prefix are summed, their sums rolled up to all shorter prefixes, and the first that fits is taken.  Only
 rows of cells that are still too large go on to finer cells.
 
-Rows whose whole hash is equal (one key repeated, or one very large row) can't be told apart by bits.  They go on
-overflow pages of the bucket, filled in order of their text's hash; a page holds more than ``limit`` bytes only if
-one row alone does.
+Rows whose whole hash is equal (one key repeated) can't be told apart by bits.  They go on overflow pages of the
+bucket, filled in order of their text's hash; a page holds more than ``limit`` bytes only if one row alone does.
 
 Cells grow with the number of shards, not of rows; they are joined to rows by the cell, so no side needs to be
 broadcast (Spark may, by its size).
@@ -54,17 +53,17 @@ def buckets(rows: DataFrame, limit: int) -> DataFrame:
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     at, start, out = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + _FINE)), 0, None
     while True:
-        cells = stage(rows.groupBy(prefix("h", at).alias("cell")).agg(F.sum("bytes").alias("bytes")), "cells")
+        cells = stage(rows.groupBy(prefix("h", at).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "cells")
         depths = F.sequence(F.lit(start), F.lit(at))
         wide = cells.withColumn("depth", F.explode(depths)).withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(at) - F.col("depth")).cast("int")))
-        sums = wide.groupBy("depth", "prefix").agg(F.sum("bytes").alias("sum"))
-        fits = (F.col("sum") <= limit) | (F.col("depth") == BITS)
+        sums = wide.groupBy("depth", "prefix").agg(F.sum("bytes").alias("sum"), F.sum("n").alias("rows"))
+        fits = (F.col("sum") <= limit) | (F.col("rows") == 1) | (F.col("depth") == BITS)
         own = wide.join(sums.where(fits), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
         own = own.select("cell", F.lit(at).alias("at"), "depth", F.call_function("shiftright", F.col("cell"), (F.lit(at) - F.col("depth")).cast("int")).alias("prefix"))
         out = own if out is None else out.union(own)
         if at == BITS:
             return out
-        large = cells.where(F.col("bytes") > limit).select("cell")
+        large = cells.where((F.col("bytes") > limit) & (F.col("n") > 1)).select("cell")
         if large.isEmpty():
             return out
         rows = rows.withColumn("cell", prefix("h", at)).join(large, "cell", "left_semi").drop("cell")
@@ -128,12 +127,12 @@ WITH docs AS (
   SELECT doc_id, n_bytes, h, d.depth::INTEGER AS depth, (h >> (60 - d.depth::INTEGER)) AS prefix
   FROM docs, (SELECT unnest(range(0, 61)) AS depth) d
 ), sums AS (
-  SELECT depth, prefix, sum(n_bytes) AS total FROM wide GROUP BY depth, prefix
+  SELECT depth, prefix, sum(n_bytes) AS total, count(*) AS n FROM wide GROUP BY depth, prefix
 ), own AS (
   SELECT w.doc_id, w.n_bytes, w.depth, w.prefix,
          row_number() OVER (PARTITION BY w.doc_id ORDER BY w.depth) AS r
   FROM wide w JOIN sums s ON w.depth = s.depth AND w.prefix = s.prefix
-  WHERE s.total <= 1048576
+  WHERE s.total <= 1048576 OR s.n = 1
 )
 SELECT doc_id, n_bytes::BIGINT AS n_bytes, depth, prefix::BIGINT AS prefix, 0::BIGINT AS page
 FROM own WHERE r = 1

@@ -22,7 +22,7 @@ def brute_shards(rows, limit):
     out = {}
 
     def split(own, depth):
-        if depth == 60 or sum(len((rows[i][1] or "").encode()) for i in own) <= limit:
+        if depth == 60 or len(own) == 1 or sum(len((rows[i][1] or "").encode()) for i in own) <= limit:
             for i in own:
                 out[i] = (depth, h[i] >> (60 - depth))
             return
