@@ -100,7 +100,8 @@ class _Scan:
 
     def flush(self, chain: _Chain) -> list[dict]:
         out = chain.parts + self.close(chain, chain.plus)
-        chain.__init__()
+        chain.parts, chain.compared = [], False
+        chain.segment, chain.nested, chain.plus, chain.begin, chain.ready = [], [], False, None, False
         return out
 
     def run(self) -> list[dict]:
@@ -153,8 +154,6 @@ class _Scan:
         while stack:
             emit(self.flush(stack[-1]))
             stack.pop()
-            if stack:
-                continue
         return out
 
 
