@@ -60,6 +60,7 @@ class Features:
                 has = np.bitwise_or.reduceat(kind, first).astype(np.uint64)
                 own = np.add.reduceat((wide.astype(np.uint64) + np.uint64(1)) * (wide.astype(np.uint64) + np.uint64(7)) * (kind > 0), first)
                 same = np.append(False, (own[1:] == own[:-1]) & (np.diff(last - first) == 0))
+                same[token[:-1][token[:-1] < len(same)]] = False  # a text's first token repeats none
                 shape = has | (kind[first].astype(np.uint64) << np.uint64(5)) | (kind[last - 1].astype(np.uint64) << np.uint64(10)) | (same.astype(np.uint64) << np.uint64(15))
                 code = np.zeros_like(shape)
                 for n in range(3):

@@ -40,7 +40,7 @@ def test_dual_descent_separates():
 
 
 def test_features_are_distinct_and_local():
-    texts = [b"one two two", None, b"", b"A", "é é".encode(), b"  lead", b"one two two"]
+    texts = [b"one two two", None, b"", b"A", "é é".encode(), b"  lead", b"one two two", b"two one", b"one", b"x", b"x", b""]
     together = [sorted(x.tolist()) for x in quality_classifier.Features()(texts)]
     alone = [sorted(next(quality_classifier.Features()([t])).tolist()) for t in texts]
     assert together == alone
