@@ -103,6 +103,11 @@ def table_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return t.join(c, "table_id").groupBy("repo_id", "table_id").agg(F.any_value("table_name", True).alias("table_name"), F.array_sort(F.collect_set("c")).alias("columns"))
 
 
+def column_lists(columns: DataFrame) -> DataFrame:
+    """(table_id, names): the column names of each table in order, double ones as often as they come."""
+    return columns.groupBy("table_id").agg(F.array_sort(F.collect_list("column_name")).alias("names"))
+
+
 def pending(repo_list: DataFrame, processed: DataFrame, *, seed: int | None = None) -> DataFrame:
     """Addresses that aren't processed yet, shuffled if a seed is given."""
     out = without(repo_list.select("url"), processed, {"url": "repo_url"})

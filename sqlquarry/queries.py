@@ -328,6 +328,18 @@ def distinct_struct_list(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(kinds, lambda x: F.concat(x["l_returnflag"], x["l_linestatus"])), ",").alias("kinds"))
 
 
+@query("SELECT l_orderkey AS table_id, string_agg(concat(l_returnflag, l_linenumber % 2), ',' ORDER BY concat(l_returnflag, l_linenumber % 2)) AS names FROM lineitem GROUP BY 1")
+def column_lists(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat("l_returnflag", (F.col("l_linenumber") % 2).cast("string"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), name.alias("column_name"))
+    return relational.column_lists(rows).withColumn("names", F.array_join("names", ","))
+
+
+@query(f"WITH {_STATEMENTS} SELECT o_orderkey, ordinal FROM statements WHERE contains(statement, 'WITH')")
+def with_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return all_statements(spark, sf).where(F.contains("statement", F.lit("WITH"))).select("o_orderkey", "ordinal")
+
+
 def _toy_catalogue(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Statements as queries of a repository for each priority, with tables and columns to match."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.ascii("o_orderpriority").cast("long").alias("repo_id"))
