@@ -302,7 +302,7 @@ def _shared_anchors(rows: DataFrame, ranges: int, length: int) -> DataFrame:
         if n and (made := repeated(n, blobs)) is not None:
             yield made
 
-    dealt = map_batches(rows.select("ref", "text"), sample, made).repartition(ranges, "range").sortWithinPartitions("range")
+    dealt = map_batches(rows.select("ref", "text"), sample, made).repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
     return map_batches(dealt, meet, back).groupBy("ref").agg(F.collect_list("hashes").alias("hashes"))
 
 
