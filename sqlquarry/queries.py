@@ -20,11 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     def add(function):
         QUERIES[function.__name__] = function
-        if sql:
-            SQL[function.__name__] = sql
+        SQL[function.__name__] = sql
         return function
 
     return add
@@ -526,7 +525,7 @@ def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
 
 
-# beyond SQL: their tests hold them against goldens
+# parsers and plans: their SQL says what must come out
 
 
 def _code(priority: Column, key: Column) -> Column:
@@ -569,7 +568,7 @@ def sandbox_plans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("repo_id", "query_id", "error_class")
 
 
-@query()
+@query("SELECT n_nationkey::BIGINT AS query_id, concat('select n_name from nation where n_nationkey = ', n_nationkey) AS fixed_query, 'between_quotes' AS model FROM nation")
 def repair_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Rule-based repair of a bounded report of queries that don't parse."""
     nation = table(spark, sf, "nation").orderBy("n_nationkey").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit('run("select n_name from nation where n_nationkey = '), F.col("n_nationkey").cast("string"), F.lit('");\n')).alias("context"))
