@@ -7,7 +7,9 @@ loss is fitted to the scaled, length-normalised rows by dual coordinate descent
 A sigmoid fitted to the margins of rows left out of a first fit turns margins to scores.
 
 The model is fitted, in one task, on a sample of labelled rows whose expected number is ``max_train``, taken by
-a hash of the id; all of each text is used.  Every text is scored in one pass without a shuffle.
+a hash of the id; all of each text is used.  Equal rows of an id count once; an id with more different texts than
+its share of ``4 * max_train`` rows trains on a hash sample of about that many, so no id crowds out another and a
+rerun gives the same model.  Every text is scored in one pass without a shuffle.
 
 Defined results: null and empty texts have no feature and score as the model's intercept does; null labels are
 ignored; a text with both labels trains as both; without both classes every score is the share of label 1 (0.5
@@ -179,6 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     if share < 1:
         marked = marked.where(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < int(share * (1 << 31)))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(marked), "k").select("k", "y", "text")
+    rows = rows.withColumn("h", F.xxhash64("k", "text"))
+    sizes = rows.select("k", "y", "h").distinct().groupBy("k", "y").agg(F.count("*").alias("n"))
+    quota = max(1, 4 * max_train // max(1, marked.count()))
+    large = sizes.where(F.col("n") > quota)
+    kept = F.col("n").isNull() | (F.pmod("h", F.lit(1 << 31)) < F.lit(float(quota << 31)) / F.col("n"))
+    rows = rows.join(F.broadcast(large), ["k", "y"], "left").where(kept).select("k", "y", "text").distinct()
     row = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("y", T.IntegerType()), T.StructField("row", T.BinaryType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         model = train(rows, np.array([x[1] for x in found], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([model.dump()], pa.binary())], schema=arrow_schema(made))
 
-    got = map_batches(map_batches(rows, make, row).limit(4 * max_train).repartition(1), learn, made).collect()
+    got = map_batches(map_batches(rows, make, row).repartition(1), learn, made).collect()
     return Model.load(bytes(got[0]["model"])) if got else train([], np.empty(0, np.int64))
 
 

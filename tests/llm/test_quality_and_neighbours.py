@@ -30,6 +30,21 @@ def test_quality_edges(spark):
     assert quality_classifier.score(docs.where("false"), quality_classifier.fit(docs, both)).count() == 0
 
 
+def test_one_id_does_not_crowd_out_others(spark):
+    rng = random.Random(4)
+    hot = [(1, " ".join(rng.choices(["fine", "clear", "prose"], k=8)) + f" {i}") for i in range(600)] + [(1, "fine prose")] * 600
+    rest = [(i, "CLICK!!! $$$ " * (i % 5 + 1)) for i in range(2, 40)]
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i, _ in rest], "doc_id long, quality int")
+    models = []
+    for rows in (hot + rest, rest + hot[::-1]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        models.append(quality_classifier.fit(docs, labels, max_train=50))
+    assert models[0].dump() == models[1].dump()
+    seen = spark.createDataFrame([(1, "fine clear prose"), (2, "CLICK!!! $$$ ")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in quality_classifier.score(seen, models[0]).collect()}
+    assert score[1] > 0.5 > score[2]
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(20, 5, replace=False)) for _ in range(200)]
