@@ -138,6 +138,18 @@ def test_sampler_estimates_weighted_jaccard():
     assert abs(share - near_dedup.similarity(a, b)) < 0.03
 
 
+def test_idf_acts_on_frequent_shingles_only():
+    """The difference from full IDF that the README states, with weights worked out here."""
+    texts, rare = 100_000, np.arange(100, dtype=np.uint64)
+    extra = np.arange(100, 140, dtype=np.uint64)
+    for df, full, here in ((2_000, 0.84, 0.71), (50_000, 0.92, 0.79)):
+        own = near_dedup.Weights(texts, extra, np.full(40, df))
+        a, b = ((g, own.of(g)) for g in (np.append(rare, extra), rare))
+        assert round(float(near_dedup.similarity(a, b)), 2) == here
+        by_hand = [100 * (1 + np.log10(texts / 2)), 40 * (1 + np.log10(texts / df))]
+        assert round(by_hand[0] / sum(by_hand), 2) == full
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
