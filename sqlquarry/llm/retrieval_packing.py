@@ -1,14 +1,21 @@
 """Packing of token sequences by lexical retrieval.
 
-Texts are dealt to shards by a hash of id and text; each shard of at most ``shard_bytes`` of text has a BM25
-inverted index of its words.  A seed text opens a window of ``length`` tokens, and the unused texts that BM25
-ranks next to it fill what room it leaves, best first; where none shares a word with it, the next unused text
-does.  A text that crosses the end of a window is cut there, and its rest seeds the next window.  So every
-window is full but the last of a shard, and that one is cut to sequences whose lengths are powers of two, which
-need no padding.
+Every seed text is compared with all texts of the corpus that are not used yet.  The texts of an input partition are cut to
+index shards of at most ``shard_bytes``; a shard has postings, and their BM25 weights come from the number
+of texts, the mean length and the document frequencies of the whole corpus.  All seeds meet every shard, and their
+best lists are merged.
 
-A shard is a run of rows of a partition in order of their hash; its memory is bounded whatever the partition
-holds, and texts are moved once.
+A seed opens a window of ``length`` tokens, and the unused texts that BM25 ranks next to it fill what room it
+leaves, best first; where no unused text shares a word with it, the next unused text does.  A text that crosses the
+end of a window is cut there, and its rest seeds the next window of its chain.  Chains advance side by side, each by
+one window a round, and take texts in turn.  A list is cut after ``_NEAR`` texts; a window that finds all of them
+used asks again in the next round, for twice as many, so the cut leaves nobody out.  Equally near texts come in an
+order of each seed's own, so that the seeds of one group of copies don't all ask for the same ones.  When no text is
+left, the windows still open are joined one after the other, so every window is full but the last, and that one is
+cut to sequences whose lengths are powers of two, which need no padding.
+
+The work grows with windows times unused texts.  The driver holds a length and a flag for each text; a task holds
+one shard, and the words of a round's seeds.
 
 Defined results: a null or empty text is just the end id; repeated rows are packed as often as they come and
 ids may repeat; an empty table gives no row.
@@ -17,7 +24,9 @@ ids may repeat; an empty table gives no row.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, map_batches, small_batches
-from ._text import Words
+from ._common import arrow_schema, map_batches, small_batches, stage
+from ._text import Words, mix
 from ._tokens import tokenizer
 
+_CHAINS, _NEAR, _MOST, _FLUSH = 4096, 32, 2048, 500_000
+#: Words in more than this share of the texts are scored by a dense product.
+_DENSE = 0.1
+_CELLS = 200_000
+
 
 class Bm25:
-    """BM25 scores between the texts of a shard.
+    """BM25 scores between a few texts, in the classic form whose weights can be negative.
 
     Terms that only one text has and those whose weight isn't positive (in more than half of the texts) cannot
     change an order and have no postings.
@@ -129,6 +143,168 @@ def powers(window: list[tuple[int, int, int]], length: int) -> list[list[tuple[i
     return out
 
 
+def postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words as hashes, ascending; the number of texts of each; the text and frequency of each posting; lengths."""
+    w = Words(texts)
+    n, length = len(texts), np.diff(w.offset)
+    terms, term = np.unique(w.hash, return_inverse=True)
+    pair, tf = np.unique(term.astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
+    return terms, np.bincount(pair // n, minlength=len(terms)), (pair % n).astype("<i4"), tf.astype("<i4"), length.astype("<i8")
+
+
+class Shard:
+    """The postings of an index shard, of its unused texts only.
+
+    A word's weight is log(1 + (N - df + 0.5) / (df + 0.5)), which is positive for every word.
+    """
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, used: np.ndarray, texts: int, mean: float, k1: float = 1.2, b: float = 0.75):
+        self.left = np.flatnonzero(~used)
+        self.terms, self.n = terms, len(self.left)
+        keep = ~used[text]
+        left = np.concatenate(([0], np.cumsum(keep)))
+        ends = np.cumsum(count)
+        self.first = left[ends - count]
+        self.size = left[ends] - self.first
+        text, tf = text[keep], tf[keep]
+        idf = np.log1p((texts - df + 0.5) / (df + 0.5))
+        self.weight = np.repeat(idf, self.size) * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / mean))[text])
+        self.text = (np.cumsum(~used, dtype=np.int32) - 1)[text]
+        dense = np.flatnonzero(df > _DENSE * texts)
+        self.column = np.full(len(terms) + 1, -1)
+        self.column[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), self.n))
+        for row, a, n in zip(self.dense, self.first[dense], self.size[dense], strict=True):
+            row[self.text[a : a + n]] = self.weight[a : a + n]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where ascending hashes stand among the terms; the number of terms for unknown ones."""
+        at = np.searchsorted(self.terms, words)
+        inside = np.flatnonzero(at < len(self.terms))
+        at[inside[self.terms[at[inside]] != words[inside]]] = len(self.terms)
+        return at
+
+    def scores(self, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Seeds times unused texts; the places of seed ``i``'s words are ``offset[i]`` to ``offset[i + 1]``."""
+        seeds = len(offset) - 1
+        seed = np.repeat(np.arange(seeds), np.diff(offset))
+        known = at < len(self.terms)
+        at, seed = at[known], seed[known]
+        column = self.column[at]
+        query = np.zeros((seeds, len(self.dense)))
+        query[seed[column >= 0], column[column >= 0]] = 1
+        out = query @ self.dense
+        at, seed = at[column < 0], seed[column < 0]
+        size = self.size[at]
+        ends = np.cumsum(size)
+        if len(ends) and ends[-1]:
+            each = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + size, size)
+            cell = np.repeat(seed * self.n, size) + self.text[each]
+            out += np.bincount(cell, weights=self.weight[each], minlength=seeds * self.n).reshape(seeds, self.n)
+        return out
+
+
+def best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most[i]`` best texts of each seed ``i``, best first."""
+    tie = mix(doc.astype(np.uint64) ^ mix(seed.astype(np.uint64) + np.uint64(1)))
+    order = np.lexsort((tie, -score, seed))
+    seed, doc, score = seed[order], doc[order], score[order]
+    rank = np.arange(len(seed)) - np.searchsorted(seed, seed)
+    keep = rank < most[seed]
+    return seed[keep], doc[keep], score[keep]
+
+
+class Chains:
+    """Windows that grow side by side; ``seeds`` are those that want neighbours, ``take`` gives them theirs."""
+
+    def __init__(self, tokens: np.ndarray, length: int):
+        self.tokens, self.length = tokens, length
+        self.used = np.zeros(len(tokens), dtype=bool)
+        self.following = self.at = 0
+        windows = -(-int(tokens.sum()) // length)
+        self.open: list[dict] = []
+        self.out = [array("q") for _ in range(5)]
+        for _ in range(min(_CHAINS, max(1, windows // 16), len(tokens))):
+            own = {"window": [], "room": length, "seed": None, "most": _NEAR}
+            self.open.append(own)
+            self._place(own, self._next(), 0)
+
+    def _next(self) -> int | None:
+        while self.following < len(self.used) and self.used[self.following]:
+            self.following += 1
+        return self.following if self.following < len(self.used) else None
+
+    def _close(self, own: dict) -> None:
+        for sequence in powers(own["window"], self.length):
+            place = 0
+            for text, start, size in sequence:
+                for column, x in zip(self.out, (text, start, size, self.at, place), strict=True):
+                    column.append(x)
+                place += size
+            self.at += 1
+        own["window"], own["room"], own["seed"], own["most"] = [], self.length, None, _NEAR
+
+    def _place(self, own: dict, text: int, start: int) -> bool:
+        """Put a text into a window; whether that closed a window."""
+        self.used[text] = True
+        total, closed = int(self.tokens[text]), False
+        while start < total:
+            if own["seed"] is None:
+                own["seed"] = text
+            size = min(own["room"], total - start)
+            own["window"].append((text, start, size))
+            own["room"] -= size
+            start += size
+            if not own["room"]:
+                self._close(own)
+                closed = True
+        return closed
+
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """The seed of each chain that has one and how long its list shall be; none when all texts are used.
+
+        A chain whose window closed at the end of a text opens the next one with an unused text.
+        """
+        for own in self.open:
+            while own["seed"] is None and (text := self._next()) is not None:
+                self._place(own, text, 0)
+        asked = [own for own in self.open if own["seed"] is not None and self._next() is not None]
+        return tuple(np.array([own[x] for own in asked], dtype=np.int64) for x in ("seed", "most"))
+
+    def take(self, near: list[np.ndarray]) -> None:
+        """``near``: the best unused texts of each seed as of the round's begin, best first."""
+        asked = [own for own in self.open if own["seed"] is not None]
+        for own, texts in zip(asked, near, strict=True):
+            closed, cut = False, len(texts) >= own["most"]
+            for text in texts.tolist():
+                if closed:
+                    break
+                if not self.used[text]:
+                    closed = self._place(own, text, 0)
+            while not closed and not cut and (text := self._next()) is not None:
+                closed = self._place(own, text, 0)
+            if not closed:
+                own["most"] = min(_MOST, 2 * own["most"])
+
+    def end(self) -> None:
+        last = {"window": [], "room": self.length}
+        for text, start, size in (piece for own in self.open for piece in own["window"]):
+            while size:
+                take = min(size, last["room"])
+                last["window"].append((text, start, take))
+                last["room"] -= take
+                start, size = start + take, size - take
+                if not last["room"]:
+                    self._close(last)
+        if last["window"]:
+            self._close(last)
+
+
+def id_kind(tok, end_id: int) -> np.dtype:
+    """The type that staged ids have."""
+    return np.dtype("<u4") if end_id > np.iinfo(tok.kind).max else tok.kind
+
+
 def pack(
     docs: DataFrame,
     *,
@@ -141,47 +317,261 @@ def pack(
     with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece of a text: where it stands, and with ``with_ids`` its ids (unsigned 32 bits)."""
-    small_batches(docs.sparkSession)
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind = docs.schema[key].dataType
+    fields = [T.StructField(key, kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
     fields += [T.StructField(n, T.LongType()) for n in ("ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
-    def shard(keys: list, texts: list[str], first: int) -> tuple[pa.RecordBatch, int]:
-        tok = tokenizer(vocabulary)
+    blobs = ("tokens", "lengths", "terms", "count", "text", "tf")
+    rows = T.StructType([T.StructField("d", T.LongType()), T.StructField("k", kind), T.StructField("ids", T.BinaryType()), T.StructField("shard", T.LongType())])
+    rows = T.StructType([*rows.fields, *(T.StructField(n, T.BinaryType()) for n in blobs)])
+
+    def cut(keys: list, texts: list[str], first: int) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and one for the shard."""
+        tok, out = tokenizer(vocabulary), arrow_schema(rows)
         end = np.array([end_id], dtype="<u4")
-        ids = [np.concatenate((x, end)).astype("<u4") for x in tok.ids(texts)]
-        index = Bm25([t.encode("utf-8", "surrogatepass") for t in texts])
-        rows: list[list] = [[] for _ in schema.fields]
-        at = first
-        for window in fill([len(x) for x in ids], index.scores, length):
-            for sequence in powers(window, length):
-                place = 0
-                for d, start, size in sequence:
-                    raw = ids[d][start : start + size].tobytes()
-                    values = [keys[d], start, size, zlib.crc32(raw), len(ids[d]), at, place, raw]
-                    for column, x in zip(rows, values, strict=False):
-                        column.append(x)
-                    place += size
-                at += 1
-        out = arrow_schema(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, out, strict=True)], schema=out), at
+        ids = [np.concatenate((x, end)).astype(id_kind(tok, end_id)) for x in tok.ids(texts)]
+        n = len(keys)
+        for lo in range(0, n, 500):
+            own = range(lo, min(n, lo + 500))
+            columns = [[first + i for i in own], [keys[i] for i in own], [ids[i].tobytes() for i in own]]
+            columns += [[None] * len(own)] * (1 + len(blobs))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        terms, count, at, tf, size = postings([t.encode("utf-8", "surrogatepass") for t in texts])
+        made = [np.array([len(x) for x in ids], "<i8"), size, terms.astype("<u8"), count.astype("<i4"), at, tf]
+        columns = [[None], [None], [None], [first], *([x.tobytes()] for x in made)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40
+        first = TaskContext.get().partitionId() << 40
         keys: list = []
         texts: list[str] = []
         held = 0
         for batch in batches:
             for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
                 if texts and held + len(t or "") > shard_bytes:
-                    made, at = shard(keys, texts, at)
-                    yield made
+                    yield from cut(keys, texts, first)
+                    first += len(keys)
                     keys, texts, held = [], [], 0
                 keys.append(k)
                 texts.append(t or "")
                 held += len(t or "")
         if texts:
-            yield shard(keys, texts, at)[0]
+            yield from cut(keys, texts, first)
+
+    cuts = stage(map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, rows), "packing-texts")
+    whole = cuts.where("shard is null").select("d", "k", "ids")
+    shards = cuts.where("shard is not null")
+
+    found = sorted((r["shard"], bytes(r["tokens"]), r["words"]) for r in _sized(shards).collect())
+    starts = np.array([r[0] for r in found], dtype=np.int64)
+    parts = [np.frombuffer(r[1], "<i8").astype(np.int32) for r in found]
+    offset = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+    tokens = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    n, mean = len(tokens), max(1.0, sum(r[2] for r in found) / max(1, len(tokens)))
+    index = _index(shards)
+
+    chains, flushed = Chains(tokens, length), []
+
+    def named(numbers) -> np.ndarray:
+        numbers = np.asarray(numbers, dtype=np.int64)
+        at = np.searchsorted(offset, numbers, "right") - 1
+        return starts[at] + numbers - offset[at]
+
+    def numbered(names: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(starts, names, "right") - 1
+        return offset[at] + names - starts[at]
+
+    def flush() -> None:
+        columns = [np.frombuffer(x, dtype=np.int64) for x in chains.out]
+        names = ("d", "start", "length", "sequence_id", "offset")
+        columns[0] = named(columns[0]) if len(columns[0]) else columns[0]
+        made = spark.createDataFrame(pa.table({k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)}))
+        flushed.append(stage(made, "packing-pieces"))
+        chains.out = [array("q") for _ in chains.out]
+
+    while len((asked := chains.seeds())[0]):
+        chains.take([numbered(x) for x in _search(index, named(asked[0]), asked[1], chains.used, starts, offset, mean)])
+        if len(chains.out[0]) >= _FLUSH:
+            flush()
+    chains.end()
+    flush()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = arrow_schema(schema)
+        for batch in batches:
+            columns: list[list] = [[] for _ in schema.fields]
+            kind = id_kind(tokenizer(vocabulary), end_id)
+            for k, ids, own in zip(*(batch.column(c).to_pylist() for c in ("k", "ids", "own")), strict=True):
+                ids = np.frombuffer(ids, kind)
+                for p in own:
+                    raw = ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()
+                    values = [k, p["start"], p["length"], zlib.crc32(raw), len(ids), p["sequence_id"], p["offset"], raw]
+                    for column, x in zip(columns, values, strict=False):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    grouped = reduce(DataFrame.union, flushed).groupBy("d").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("own"))
+    return map_batches(whole.join(grouped, "d").select("k", "ids", "own"), pieces, schema)
+
+
+def _sized(shards: DataFrame) -> DataFrame:
+    """Each shard's token counts and number of words."""
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("words", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [int(np.frombuffer(x, "<i8").sum()) for x in batch.column("lengths").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("tokens").cast(pa.binary()), pa.array(words, pa.int64())], schema=arrow_schema(schema))
+
+    return map_batches(shards.select("shard", "tokens", "lengths"), run, schema)
+
+
+def _index(shards: DataFrame) -> DataFrame:
+    """The shards with the document frequencies of the whole corpus; words of one text only have no postings."""
+    pair = T.StructType([T.StructField("shard", T.LongType()), T.StructField("term", T.LongType()), T.StructField("count", T.IntegerType()), T.StructField("place", T.IntegerType())])
+    made = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("terms", "df", "count", "text", "tf", "lengths"))])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, terms, count in zip(*(batch.column(c).to_pylist() for c in ("shard", "terms", "count")), strict=True):
+                own = np.frombuffer(terms, "<i8")
+                columns = [np.full(len(own), shard), own, np.frombuffer(count, "<i4"), np.arange(len(own), dtype=np.int32)]
+                for lo in range(0, len(own), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in columns], schema=arrow_schema(pair))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                terms, count = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["count"], "<i4").astype(np.int64)
+                text, tf, size = np.frombuffer(row["text"], "<i4"), np.frombuffer(row["tf"], "<i4"), np.frombuffer(row["lengths"], "<i8")
+                df = np.zeros(len(terms), np.int64)
+                for x in row["seen"] or []:
+                    df[np.frombuffer(x["seen"], "<i4")] = np.frombuffer(x["df"], "<i8")
+                keep = df > 1
+                kept = np.repeat(keep, count)
+                own = [terms[keep], df[keep], count[keep].astype("<i4"), text[kept], tf[kept], size]
+                arrays = [pa.array([row["shard"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in own)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema(made))
+
+    part = T.StructType([T.StructField("shard", T.LongType()), T.StructField("seen", T.BinaryType()), T.StructField("df", T.BinaryType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows in order of their terms: each shard's own terms that several texts have, and of how many."""
+
+        def made_of(shard: np.ndarray, term: np.ndarray, count: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, run, rows = np.unique(term, return_inverse=True, return_counts=True)
+            df = np.bincount(run, weights=count, minlength=len(rows)).astype(np.int64)[run]
+            order = np.lexsort((place, shard))
+            order = order[df[order] > 1]
+            own, begin = np.unique(shard[order], return_index=True)
+            ends = [*begin[1:].tolist(), len(order)]
+            blobs = [[x[order[a:b]].tobytes() for a, b in zip(begin, ends, strict=True)] for x in (place.astype("<i4"), df)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=arrow_schema(part))
+
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= 1_000_000:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                a = int(np.searchsorted(whole[1], whole[1][-1]))  # the last term may go on
+                if a:
+                    yield from made_of(*(c[:a] for c in whole))
+                held = [[c[a:] for c in whole]]
+                n = len(whole[0]) - a
+        if n:
+            yield from made_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    seen = map_batches(shards.select("shard", "terms", "count"), counts, pair)
+    own = map_batches(seen.repartition("term").sortWithinPartitions("term"), sums, part)
+    own = own.groupBy("shard").agg(F.collect_list(F.struct("seen", "df")).alias("seen"))
+    return stage(map_batches(shards.join(own, "shard", "left").select("shard", "lengths", "terms", "count", "text", "tf", "seen"), weigh, made), "packing-index")
+
+
+def _search(index: DataFrame, seeds: np.ndarray, most: np.ndarray, used: np.ndarray, starts: np.ndarray, offset: np.ndarray, mean: float) -> list[np.ndarray]:
+    """The ``most`` unused texts of the whole corpus that are nearest to each seed, best first."""
+    context, n = index.sparkSession.sparkContext, len(used)
+    wanted = context.broadcast(np.unique(seeds))
+    told = T.StructType([T.StructField("d", T.LongType()), T.StructField("words", T.BinaryType())])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, terms, count, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "terms", "count", "text")), strict=True):
+                text = np.frombuffer(text, "<i4")
+                last = shard + offset_of[shard]
+                own = wanted.value[(wanted.value >= shard) & (wanted.value < last)] - shard
+                if not len(own) or not len(text):
+                    continue
+                flag = np.zeros(offset_of[shard], dtype=bool)
+                flag[own] = True
+                hit = np.flatnonzero(flag[text])
+                hash_ = np.frombuffer(terms, "<u8")[np.searchsorted(np.cumsum(np.frombuffer(count, "<i4")), hit, "right")]
+                order = np.argsort(text[hit], kind="stable")
+                hash_, whose = hash_[order], text[hit][order]
+                ends = np.searchsorted(whose, own, "right")
+                begins = np.searchsorted(whose, own, "left")
+                data = [hash_[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own + shard, pa.int64()), pa.array(data, pa.binary())], schema=arrow_schema(told))
+
+    sizes = np.diff(offset)
+    offset_of = dict(zip(starts.tolist(), sizes.tolist(), strict=True))
+    got = {r["d"]: bytes(r["words"]) for r in map_batches(index.select("shard", "terms", "count", "text"), words, told).collect()}
+    query = [np.frombuffer(got.get(int(s), b""), "<u8") for s in seeds]
+    ends = np.concatenate(([0], np.cumsum([len(q) for q in query])))
+    names, word = np.unique(np.concatenate(query), return_inverse=True)
+    asked = context.broadcast((names, word.astype(np.int32), ends, np.packbits(used)))
+    first_of = dict(zip(starts.tolist(), offset[:-1].tolist(), strict=True))
+    listed = T.StructType([T.StructField("seed", T.LongType()), T.StructField("d", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def rows(seed, doc, score) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.float64())], schema=arrow_schema(listed))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, word, ends, flags = asked.value
+        flags = np.unpackbits(flags)
+        least, own = np.zeros(len(ends) - 1), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = first_of[row["shard"]]
+                taken = flags[at : at + offset_of[row["shard"]]].astype(bool)
+                if taken.all():
+                    continue
+                kinds = (("terms", "<u8"), ("df", "<i8"), ("count", "<i4"), ("text", "<i4"), ("tf", "<i4"), ("lengths", "<i8"))
+                shard = Shard(*(np.frombuffer(row[c], kind) for c, kind in kinds), taken, n, mean)
+                step = max(1, _CELLS // shard.n)
+                place = shard.places(names)[word]
+                parts = [own]
+                for lo in range(0, len(least), step):
+                    hi = min(len(least), lo + step)
+                    score = shard.scores(place[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+                    floor = least[lo:hi].copy()
+                    for k in np.unique(most[lo:hi][floor == 0]):
+                        if k < shard.n:
+                            own_k = np.flatnonzero((most[lo:hi] == k) & (floor == 0))
+                            floor[own_k] = np.partition(score[own_k], shard.n - k, axis=1)[:, shard.n - k]
+                    s, d = np.nonzero((score >= floor[:, None] - 1e-6) & (score > 0))
+                    parts.append((s + lo, shard.left[d] + row["shard"], np.round(score[s, d], 6)))
+                own = best(*(np.concatenate(c) for c in zip(*parts, strict=True)), most)
+                full = np.bincount(own[0], minlength=len(least)) == most
+                last = np.searchsorted(own[0], np.arange(len(least)), "right") - 1
+                least = np.where(full, own[2][last] if len(own[2]) else 0.0, 0.0)
+        yield rows(*own)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for batch in batches:
+            own = best(*(np.concatenate((a, b.to_numpy())) for a, b in zip(own, batch.columns, strict=True)), most)
+        yield rows(*own)
 
-    dealt = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("k", "t"))
-    return map_batches(dealt.repartition("h").sortWithinPartitions("h", "k").select("k", "t"), run, schema)
+    lists = map_batches(map_batches(index, search, listed).repartition("seed"), merge, listed).toArrow()
+    seed, doc, score = (lists.column(c).to_numpy() for c in ("seed", "d", "score"))
+    seed, doc, _ = best(seed, doc, score, most)
+    wanted.destroy()
+    asked.destroy()
+    cuts = np.searchsorted(seed, np.arange(len(seeds) + 1))
+    return [doc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

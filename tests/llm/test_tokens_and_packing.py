@@ -113,6 +113,47 @@ def test_fill_prefers_neighbours():
     assert windows[1] == [(1, 0, 4)]
 
 
+def corpus_scores(texts, seed, k1=1.2, b=0.75):
+    docs = [t.split() for t in texts]
+    n, avg = len(docs), sum(map(len, docs)) / len(docs)
+    out = np.zeros(n)
+    for t in set(docs[seed]):
+        df = sum(t in x for x in docs)
+        for d, own in enumerate(docs):
+            tf = own.count(t)
+            out[d] += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(own) / avg))
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [300, 6 << 20])
+def test_neighbours_are_the_best_of_the_whole_corpus(spark, shard_bytes):
+    rng = np.random.default_rng(3)
+    words_ = [f"w{i}" for i in range(60)]
+    texts = [" ".join(["the", *rng.choice(words_, int(rng.integers(3, 25)))]) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in retrieval_packing.pack(rows, length=128, shard_bytes=shard_bytes).collect():
+        got[r["sequence_id"]].append((r["offset"], r["doc_id"], r["start"]))
+    used: set = set()
+    full = sorted(got)[: sum(len(plain(t)) for t in texts) // 128]
+    for s in full:
+        (_, seed, _), *rest = sorted(got[s])
+        used.add(seed)
+        scores = corpus_scores(texts, seed)
+        for _, d, _ in rest:
+            assert d not in used and scores[d] >= max(scores[i] for i in range(80) if i not in used) - 1e-3
+            used.add(d)
+
+
+def test_a_seed_whose_list_is_used_up_asks_for_more(spark, monkeypatch):
+    monkeypatch.setattr(retrieval_packing, "_NEAR", 1)
+    texts = [f"same words here {i % 7}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = retrieval_packing.pack(rows, length=64, shard_bytes=200).collect()
+    assert sum(r["length"] for r in got) == sum(len(plain(t)) for t in texts)
+    assert len({r["doc_id"] for r in got}) == 60
+
+
 def test_best_fit_decreasing_against_search():
     rng = np.random.default_rng(1)
     for _ in range(30):
