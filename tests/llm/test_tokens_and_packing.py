@@ -154,6 +154,14 @@ def test_a_seed_whose_list_is_used_up_asks_for_more(spark, monkeypatch):
     assert len({r["doc_id"] for r in got}) == 60
 
 
+def test_shared_words_count_in_tiny_tables(spark):
+    texts = ["red fox runs far", "blue sky over hills", "red fox sleeps now", "blue sky at dawn"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in retrieval_packing.pack(rows, length=4096).collect())
+    order = list(dict.fromkeys(d for _, _, d in got))
+    assert order[1] == (order[0] + 2) % 4
+
+
 def test_best_fit_decreasing_against_search():
     rng = np.random.default_rng(1)
     for _ in range(30):
