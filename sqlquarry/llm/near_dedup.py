@@ -1,23 +1,24 @@
 """Near-duplicate classes by consistent weighted sampling of TF-IDF shingles.
 
 A text is a weighted set of its shingles (five consecutive words): a shingle weighs its count in the text times
-``1 + log10(N / max(df, N / 10))``, with ``df`` counted exactly over all ``N`` texts that have words.  Improved
-consistent weighted sampling draws ``bands * rows`` samples of the set, two texts sharing each with a
-probability equal to their weighted Jaccard similarity.  Texts that share a whole band are candidates, and a
-candidate pair is linked if its weighted Jaccard similarity, computed from the whole sets, is at least
-``threshold``.  Classes are the connected components of the links.
+``1 + log10(N / df)``, with ``df`` counted exactly over all ``N`` texts that have words.  Improved consistent weighted
+sampling draws ``bands * rows`` samples of the set, two texts sharing each with a probability equal to their weighted
+Jaccard similarity.  Texts that share a whole band are candidates, and a candidate pair is linked if its weighted
+Jaccard similarity, computed from the whole sets, is at least ``threshold``.  Classes are the connected components of
+the links.
 
 How it stays bounded:
 
-* Document frequencies.  Only shingles in more than one text of ten weigh less than the others, and there are at most
-  ten times the mean number of shingles a text of those, whatever ``N`` is.  So the shared shingles of a large group of
-  near copies keep their weight, and one edit doesn't outweigh many of them.  A first pass adds up a
-  histogram of fixed size of hashed shingles, a second one counts exactly the shingles whose cell is full enough.
+* Document frequencies are counted by hash ranges and come back to the texts (see ``_meet``).  Only shared shingles
+  come back: one that no other text has can't be in a common part, whatever it is, so a text's unshared shingles are
+  known by their number and drawn under names of the text's own.  A text whose shared shingles weigh less than
+  ``threshold`` of the whole has no partner and draws no samples.
 * Copies.  Texts with the same words become one node before any grouping, so a group of exact copies costs one.
-* Candidates.  A band's texts are chained to their least node only; the chains' connected components hold all
-  candidate pairs.  Within a component every pair is decided by an inverted index of its sets, in memory and with
-  nothing emitted but the links of a spanning forest; pairs that are connected already are skipped.
-* Large components are dealt to blocks of ``BLOCK_GRAMS`` shingles, and pairs of blocks are decided one by one.
+* Stars.  A band's texts are compared with its least one first, in groups of ``STAR`` texts, which settles almost
+  all of a large group in linear work.
+* Rests.  Where a component of bands still has several classes, every pair of texts of different classes is decided
+  by an inverted index of their sets, with nothing emitted but the links of a spanning forest.  The members of the
+  largest class are not compared with each other; what remains is dealt to pairs of blocks of a bounded size.
 
 Defined results: a null, empty or word-less text is in no class but its own; repeated rows are exact copies
 of each other; ``class_id`` is the least id of the class, null only if its texts have no other id.
@@ -36,11 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import arrow_schema, chunks, map_batches, small_batches, stage, utf8
-from ._text import Words, shingles
+from ._meet import Shared, meet
+from ._text import Words, mix, shingles
 
-_CELLS = 1 << 20
-_SHARE = 10
-BLOCK_GRAMS = 2_000_000
+#: Texts that are compared with one least text in one group.
+STAR = 256
+#: Shingles of a block, each text counting as ``SET_COST`` more.
+BLOCK_GRAMS, SET_COST = 2_000_000, 200
+#: A word has a byte of this kind.
+_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
 
 def _sets(texts: list[bytes | None], n: int) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
@@ -50,82 +55,8 @@ def _sets(texts: list[bytes | None], n: int) -> Iterator[tuple[Words, np.ndarray
         yield w, *shingles(w, n)
 
 
-class Weights:
-    """The inverse document frequencies: those of frequent shingles, and one for all others."""
-
-    def __init__(self, texts: int, grams: np.ndarray, df: np.ndarray):
-        order = np.argsort(grams)
-        self.grams = grams[order]
-        floor = max(1.0, texts / _SHARE)
-        self.usual = 1 + np.log10(max(1.0, texts / floor))
-        self.idf = 1 + np.log10(np.maximum(1.0, texts / np.maximum(df[order], floor)))
-
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        out = np.full(len(grams), self.usual)
-        if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-            known = self.grams[at] == grams
-            out[known] = self.idf[at[known]]
-        return out
-
-
-def weighted(grams: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct shingles, ascending, and their TF-IDF weights."""
-    own, tf = np.unique(grams, return_counts=True)
-    return own, tf * weights.of(own)
-
-
-def fit_weights(docs: DataFrame, *, text: str = "text", shingle: int = 5) -> Weights:
-    """Document frequencies over all texts, in two passes."""
-    small_batches(docs.sparkSession)
-    cell = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("cells", T.BinaryType()), T.StructField("n", T.LongType())])
-    blocks, size = 64, _CELLS // 64
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(_CELLS, np.int64), 0
-        for batch in batches:
-            for w, grams, _ in _sets(utf8(batch.column("text")), shingle):
-                total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=_CELLS)
-                n += int((np.diff(w.offset) > 0).sum())
-        if n:
-            parts = [zlib.compress(total[b * size : (b + 1) * size].astype("<i8").tobytes(), 1) for b in range(blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] + [0] * (blocks - 1), pa.int64())], schema=arrow_schema(cell))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        n: dict[int, int] = {}
-        for batch in batches:
-            for b, blob, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cells = np.frombuffer(zlib.decompress(blob), dtype="<i8")
-                held[b] = held[b] + cells if b in held else cells
-                n[b] = n.get(b, 0) + m
-        if held:
-            blobs = [zlib.compress(x.tobytes(), 1) for x in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(blobs, pa.binary()), pa.array([n[b] for b in held], pa.int64())], schema=arrow_schema(cell))
-
-    rows = docs.select(F.col(text).alias("text"))
-    sums = map_batches(map_batches(rows, histogram, cell).repartition(blocks, "block"), add, cell).collect()
-    texts = sum(r["n"] for r in sums)
-    least = max(2, -(-texts // _SHARE))
-    full = np.zeros(_CELLS, dtype=bool)
-    for r in sums:
-        full[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["cells"])), dtype="<i8") >= least
-    counted = T.StructType([T.StructField("gram", T.LongType()), T.StructField("df", T.LongType())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for _, grams, offset in _sets(utf8(batch.column("text")), shingle):
-                kept = full[(grams >> np.uint64(44)).astype(np.int64)]
-                bound = np.concatenate(([0], np.cumsum(kept)))[offset]
-                own = grams[kept]
-                parts += [np.unique(own[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True) if b > a]
-            if parts:
-                grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], schema=arrow_schema(counted))
-
-    frequent = map_batches(rows, count, counted).groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= least).toArrow()
-    return Weights(texts, frequent["gram"].to_numpy().view(np.uint64), frequent["df"].to_numpy())
+def idf(texts: int, df: np.ndarray | int) -> np.ndarray:
+    return 1 + np.log10(np.maximum(1.0, texts / np.maximum(df, 1)))
 
 
 class Sampler:
@@ -169,21 +100,22 @@ class Sampler:
         return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sorted weighted sets."""
+def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Weighted Jaccard similarity of two sets: shared shingles ascending, their weights, the weight of all."""
     at = np.searchsorted(a[0], b[0])
     at[at == len(a[0])] = 0
     same = a[0][at] == b[0]
     common = np.minimum(a[1][at[same]], b[1][same]).sum()
-    return float(common / (a[1].sum() + b[1].sum() - common))
+    return float(common / (a[2] + b[2] - common))
 
 
 def _pack(own: np.ndarray, weight: np.ndarray) -> bytes:
     return zlib.compress(weight.astype("<f4").tobytes(), 1) + own.astype("<u8").tobytes()
 
 
-def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(blob[len(blob) - 8 * n :], dtype="<u8"), np.frombuffer(zlib.decompress(blob[: len(blob) - 8 * n]), dtype="<f4").astype(np.float64)
+def _unpack(blob: bytes, n: int, total: float) -> tuple[np.ndarray, np.ndarray, float]:
+    weight = np.frombuffer(zlib.decompress(blob[: len(blob) - 8 * n]), dtype="<f4").astype(np.float64)
+    return np.frombuffer(blob[len(blob) - 8 * n :], dtype="<u8"), weight, total
 
 
 def _digest(words: np.ndarray) -> bytes:
@@ -213,82 +145,71 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def signatures(docs: DataFrame, weights: Weights, sampler: Sampler, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, node, bands): a digest of a text's words and its band numbers; both null for a text without words."""
+def signatures(docs: DataFrame, sampler: Sampler, *, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(id, node, bands, n, total, grams) of every row.
+
+    ``node`` is a digest of the text's words, null for a text without words.  The others are null where no text can
+    be similar enough, and for further copies in one block: band numbers, and the weighted set as the number of
+    shared shingles, the weight of all, and the shared ones packed.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, size = rows.agg(F.count(F.when(F.col("text").rlike(_WORD), 1)), F.sum(F.octet_length("text"))).first()
+    schema = T.StructType(
+        [T.StructField("id", rows.schema["id"].dataType), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
+        + [T.StructField("n", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("grams", T.BinaryType())]
+    )
+    single = float(idf(texts, 1))
+
+    def items(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, object]]:
+        ids, at = batch.column("id"), 0
+        for w, grams, offset in _sets(utf8(batch.column("text")), shingle):
+            for i, (a, b) in enumerate(zip(offset[:-1], offset[1:], strict=True)):
+                yield grams[a:b], (ids[at].as_py(), _digest(w.hash[w.offset[i] : w.offset[i + 1]]) if b > a else None, int(b - a))
+                at += 1
+
+    def finish(info: list, shared: list[Shared]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
-        for batch in batches:
-            nodes: list[bytes | None] = []
-            bands: list[np.ndarray | None] = []
-            seen: dict[bytes, np.ndarray] = {}
-            for w, grams, offset in _sets(utf8(batch.column("text")), shingle):
-                for i, (a, b) in enumerate(zip(offset[:-1], offset[1:], strict=True)):
-                    node = own = None
-                    if b > a:
-                        node = _digest(w.hash[w.offset[i] : w.offset[i + 1]])
-                        own = seen.get(node)
-                        if own is None:
-                            own = seen[node] = sampler.bands_of(*weighted(grams[a:b], weights)).view(np.int64)
-                    nodes.append(node)
-                    bands.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(out.field(0).type), pa.array(nodes, pa.binary()), pa.array(bands, out.field(2).type)], schema=out)
-
-    return map_batches(rows, sign, schema)
-
-
-def _features(docs: DataFrame, wanted: DataFrame, weights: Weights, key: str, text: str, shingle: int) -> DataFrame:
-    """(node, n, grams): the weighted sets of the texts whose (id, node) is wanted."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    asked = rows.join(wanted.select(F.col("id").alias("i"), F.col("node").alias("want")), F.col("id").eqNullSafe(F.col("i"))).select("want", "text")
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("grams", T.BinaryType())])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want, at = batch.column("want").to_pylist(), 0
-            rows: list[tuple] = []
-            for w, grams, offset in _sets(utf8(batch.column("text")), shingle):
-                for i, (a, b) in enumerate(zip(offset[:-1], offset[1:], strict=True)):
-                    if b > a and _digest(w.hash[w.offset[i] : w.offset[i + 1]]) == want[at]:
-                        own, weight = weighted(grams[a:b], weights)
-                        rows.append((want[at], len(own), _pack(own, weight)))
-                    at += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(schema), strict=True)], schema=arrow_schema(schema))
-
-    return map_batches(asked, make, schema).dropDuplicates(["node"])
-
-
-def forest(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links that connect what all links between sets of both sides connect (one side: between all sets)."""
+        rows: list[tuple] = []
+        seen: set[bytes] = set()
+        for (i, node, n), (own, tf, df) in zip(info, shared, strict=True):
+            row = (i, node, None, None, None, None)
+            if node is not None and node not in seen:
+                weight = tf * idf(texts, df)
+                alone = n - int(tf.sum())
+                total = float(weight.sum()) + alone * single
+                if weight.sum() >= threshold * total * (1 - 1e-9):
+                    named = int.from_bytes(node[:8], "little")
+                    names = np.concatenate((mix(own), mix(np.arange(alone, dtype=np.uint64) + np.uint64(named))))
+                    bands = sampler.bands_of(names, np.concatenate((weight, np.full(alone, single))))
+                    row = (i, node, bands.view(np.int64), len(own), total, _pack(own, weight))
+                seen.add(node)
+            rows.append(row)
+            if len(rows) == 500:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    return meet(rows, items, finish, schema, size=size or 0)
+
+
+def forest(sets: list[tuple[np.ndarray, np.ndarray, float]], side: np.ndarray, threshold: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links between sets of both sides connect (one side: between all sets).
+
+    Sets of one ``label`` are connected already.
+    """
     n, both = len(sets), bool(side.any()) and not side.all()
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    total = np.array([w.sum() for _, w in sets])
-    links = []
-    if n <= 8:
-        for i in range(n):
-            for j in range(i):
-                if (not both or side[i] != side[j]) and min(total[i], total[j]) >= threshold * max(total[i], total[j]) and find(i) != find(j) and similarity(sets[i], sets[j]) >= threshold:
-                    root[find(i)] = find(j)
-                    links.append((i, j))
-        return links
-    gram = np.concatenate([g for g, _ in sets])
-    owner = np.repeat(np.arange(n), [len(g) for g, _ in sets])
-    weight = np.concatenate([w for _, w in sets])
+    total = np.array([s[2] for s in sets])
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1].copy()
+    links: list[tuple[int, int]] = []
+    gram = np.concatenate([s[0] for s in sets])
+    owner = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    weight = np.concatenate([s[1] for s in sets])
     _, gram = np.unique(gram, return_inverse=True)
-    many = (np.bincount(gram) > 1)[gram]
+    many = (np.bincount(gram) > 1)[gram] if len(gram) else np.zeros(0, dtype=bool)
     shared = np.bincount(owner[many], weights=weight[many], minlength=n)
-    able = shared >= threshold * total * (1 - 1e-9)
+    able = shared >= threshold * total * (1 - 1e-6)
     keep = many & able[owner]
     gram, owner, weight = gram[keep], owner[keep], weight[keep]
     order = np.argsort(gram, kind="stable")
@@ -296,17 +217,17 @@ def forest(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, threshol
     size = np.bincount(gram) if len(gram) else np.zeros(0, np.int64)
     first = np.cumsum(size) - size
     begin = np.searchsorted(owner, np.arange(n + 1))
-    label = np.arange(n)
-    for i in np.argsort(-shared / np.maximum(total, 1e-300), kind="stable").tolist():
-        if not able[i] or (label[able] == label[i]).all():
-            continue
+    # every pair of different labels has one set that isn't of the most frequent label, and one on the lesser side
+    asked = able & (side == (side.sum() * 2 <= n)) if both else able & (label != np.bincount(label).argmax())
+    for i in np.flatnonzero(asked).tolist():
         own, w = gram[begin[i] : begin[i + 1]], weight[begin[i] : begin[i + 1]]
         count = size[own]
         ends = np.cumsum(count)
+        if not len(ends):
+            continue
         at = np.arange(ends[-1]) + np.repeat(first[own] - ends + count, count)
         common = np.bincount(post_owner[at], weights=np.minimum(post_weight[at], np.repeat(w, count)), minlength=n)
-        near = common >= threshold * (total + total[i] - common)
-        near &= label != label[i]
+        near = (common >= threshold * (total + total[i] - common)) & (label != label[i])
         if both:
             near &= side != side[i]
         for j in np.flatnonzero(near).tolist():
@@ -316,42 +237,70 @@ def forest(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, threshol
     return links
 
 
-def _links(groups: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): links of nodes; ``groups`` has (node, root) of the candidate components."""
-    sized = groups.join(features.select("node", "n"), "node")
-    ways = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("ways"))
-    dealt = sized.join(ways, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-    dealt = dealt.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
-    rows = dealt.join(features, "node").select("root", "i", "j", "side", "node", "n", "grams")
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+_LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+def _link_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=arrow_schema(_LINK))
+
+
+def _stars(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): those ``pairs`` (node, hub) that are similar enough; a hub's nodes go in groups of ``STAR``."""
+    count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
+    salted = pairs.join(count, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("salt"))
+    members = salted.join(sets, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "n", "total", "grams")
+    hubs = count.withColumnRenamed("hub", "node").join(sets, "node").select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "n", "total", "grams")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, None
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for hub, salt, kind, node, n, total, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not kind:
+                    now, centre = (hub, salt), _unpack(grams, n, total)
+                elif now == (hub, salt) and min(total, centre[2]) >= threshold * max(total, centre[2]) * (1 - 1e-9) and similarity(centre, _unpack(grams, n, total)) >= threshold:
+                    found.append((node, hub))
+            if found:
+                yield _link_batch(found)
+
+    return map_batches(hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind"), decide, _LINK)
+
+
+def _rests(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between the classes of each component; ``rows`` has (node, class, root)."""
+    sized = rows.join(sets.select("node", (F.col("n") + SET_COST).cast("long").alias("size")), "node")
+    sums = sized.groupBy("root", "class").agg(F.sum("size").alias("size"))
+    main = sums.groupBy("root").agg(F.max(F.struct("size", "class")).alias("main"), F.sum("size").alias("all")).select("root", F.col("main.class").alias("main"), F.col("main.size").alias("large"), "all")
+    ways = lambda size: F.ceil(size / F.lit(BLOCK_GRAMS)).cast("int")
+    small = F.col("all") <= BLOCK_GRAMS
+    main = main.select("root", "main", F.when(small, F.lit(1)).otherwise(ways(F.col("all") - F.col("large"))).alias("few"), F.when(small, F.lit(0)).otherwise(ways(F.col("large"))).alias("many"))
+    dealt = sized.join(main, "root").withColumn("inner", (F.col("many") > 0) & (F.col("class") == F.col("main")))
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("inner"), F.col("few") + at(F.greatest("many", F.lit(1)))).otherwise(at(F.col("few"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inner"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = dealt.select("node", "class", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+    made = dealt.join(sets, "node").select("root", "i", "j", "side", "node", "class", "n", "total", "grams")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = arrow_schema(schema)
         now: tuple | None = None
-        nodes: list[bytes] = []
-        sides: list[bool] = []
-        sets: list[tuple[np.ndarray, np.ndarray]] = []
-        found: list[tuple[bytes, bytes]] = []
+        held: list[tuple] = []
 
-        def close() -> None:
-            found.extend((nodes[a], nodes[b]) for a, b in forest(sets, np.array(sides), threshold))
+        def close() -> Iterator[pa.RecordBatch]:
+            name = {c: k for k, c in enumerate(dict.fromkeys(x[2] for x in held))}
+            if len(name) > 1:
+                links = forest([x[3] for x in held], np.array([x[0] for x in held]), threshold, np.array([name[x[2]] for x in held]))
+                if links:
+                    yield _link_batch([(held[a][1], held[b][1]) for a, b in links])
 
         for batch in batches:
-            for root, i, j, side, node, n, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for root, i, j, side, node, own, n, total, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (root, i, j) != now:
-                    if nodes:
-                        close()
-                    now, nodes, sides, sets = (root, i, j), [], [], []
-                nodes.append(node)
-                sides.append(side)
-                sets.append(_unpack(grams, n))
-        if nodes:
-            close()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=out)
+                    yield from close()
+                    now, held = (root, i, j), []
+                held.append((side, node, own, _unpack(grams, n, total)))
+        yield from close()
 
-    return map_batches(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node"), decide, schema)
+    return map_batches(made.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node"), decide, _LINK)
 
 
 def classes(
@@ -364,21 +313,26 @@ def classes(
     bands: int = 13,
     rows: int = 4,
 ) -> DataFrame:
-    """(id, node, class_id) for every row of ``docs``; ``node`` is the digest of the text's words.
+    """(id, node, root, class_id) for every row of ``docs``; ``node`` is the digest of the text's words.
 
     With 13 bands of 4 a pair at a similarity of 0.8 is a candidate with a probability of 0.999.
     """
-    weights = fit_weights(docs, text=text, shingle=shingle)
-    signed = stage(signatures(docs, weights, Sampler(bands, rows), key=key, text=text, shingle=shingle), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    signed = stage(signatures(docs, Sampler(bands, rows), key=key, text=text, shingle=shingle, threshold=threshold), "signed")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+    sets = stage(signed.where("bands is not null").select("node", "bands", "n", "total", "grams").dropDuplicates(["node"]), "sets")
+    members = sets.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("band", "hub")
-    chained = members.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = stage(components(chained), "groups")
-    wanted = groups.select("node").join(nodes.select("node", "id"), "node")
-    features = stage(_features(docs, wanted, weights, key, text, shingle), "features")
-    roots = components(_links(groups, features, threshold))
-    of_node = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = stage(members.join(hubs, "band").where("node <> hub").select("node", "hub").distinct(), "pairs")
+    stars = components(_stars(pairs, sets, threshold))
+    # classes that a band still joins, contracted to one node each
+    named = lambda c: stars.select(F.col("node").alias(c), F.col("root").alias(f"{c}_class"))
+    open_ = pairs.join(named("node"), "node", "left").join(named("hub"), "hub", "left")
+    open_ = open_.select(F.coalesce("node_class", "node").alias("a"), F.coalesce("hub_class", "hub").alias("b")).where("a <> b")
+    groups = components(open_).select(F.col("node").alias("class"), "root")
+    rests = sets.select("node").join(stars.withColumnRenamed("root", "class"), "node", "left").select("node", F.coalesce("class", "node").alias("class")).join(groups, "class")
+    links = _rests(rests, sets, threshold).union(stars.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = components(links)
+    of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))
     found = of_node.select("node", "root").join(least, "root").select("node", "root", "class_id")
     out = signed.select("id", "node").join(found, "node", "left")

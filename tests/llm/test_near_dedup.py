@@ -3,9 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
-from sqlquarry.llm import near_dedup
-from sqlquarry.llm._text import words
+from pyspark.sql import types as T
+from sqlquarry.llm import _meet, near_dedup
+from sqlquarry.llm._text import mix, words
 
 
 def brute_classes(rows, threshold=0.8):
@@ -17,7 +19,7 @@ def brute_classes(rows, threshold=0.8):
         sets.append(own)
         df.update(own.keys())
         n += bool(own)
-    weigh = lambda s: 1 + math.log10(n / max(df[s], max(1, n / 10)))
+    weigh = lambda s: 1 + math.log10(n / df[s])
     sets = [{s: c * weigh(s) for s, c in own.items()} for own in sets]
     root = list(range(len(rows)))
 
@@ -84,7 +86,8 @@ def test_large_group_in_blocks(spark, monkeypatch):
     rows = list(enumerate(near_group(rng, 80, 5) + near_group(rng, 5, 4) + near_group(rng, 12, 20)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)[0]
-    for size in (2_000_000, 1500):
+    monkeypatch.setattr(near_dedup, "STAR", 7)
+    for size in (2_000_000, 6000):
         monkeypatch.setattr(near_dedup, "BLOCK_GRAMS", size)
         got = {r["id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
         assert [got[k] for k, _ in rows] == want
@@ -97,7 +100,8 @@ def test_forest_against_all_pairs():
         sets = []
         for text in near_group(rng, n, 12):
             grams = np.unique(np.array([hash(w) & 0xFFFFFFFF for w in text.split()], dtype=np.uint64))
-            sets.append((grams, np.array([1 + (g % 3) for g in grams.tolist()], dtype=float)))
+            weight = np.array([1 + (g % 3) for g in grams.tolist()], dtype=float)
+            sets.append((grams, weight, weight.sum()))
         for side in (np.zeros(n, bool), np.arange(n) % 2 == 1):
             both = side.any()
             want = [(i, j) for i in range(n) for j in range(i) if (not both or side[i] != side[j]) and near_dedup.similarity(sets[i], sets[j]) >= 0.8]
@@ -135,19 +139,57 @@ def test_sampler_estimates_weighted_jaccard():
     b[1][:200] = a[1][100:] * rng.uniform(0.5, 1.5, 200)
     s = near_dedup.Sampler(4000, 1)
     share = (s.bands_of(*a) == s.bands_of(*b)).mean()
-    assert abs(share - near_dedup.similarity(a, b)) < 0.03
-
-
-def test_idf_acts_on_frequent_shingles_only():
-    """The difference from full IDF that the README states, with weights worked out here."""
-    texts, rare = 100_000, np.arange(100, dtype=np.uint64)
-    extra = np.arange(100, 140, dtype=np.uint64)
-    for df, full, here in ((2_000, 0.84, 0.71), (50_000, 0.92, 0.79)):
-        own = near_dedup.Weights(texts, extra, np.full(40, df))
-        a, b = ((g, own.of(g)) for g in (np.append(rare, extra), rare))
-        assert round(float(near_dedup.similarity(a, b)), 2) == here
-        by_hand = [100 * (1 + np.log10(texts / 2)), 40 * (1 + np.log10(texts / df))]
-        assert round(by_hand[0] / sum(by_hand), 2) == full
+    assert abs(share - near_dedup.similarity((*a, a[1].sum()), (*b, b[1].sum()))) < 0.03
+
+
+def test_idf_decides(spark):
+    """A pair that counts alone keep apart (0.74) and the exact IDF links, as its boilerplate is frequent."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    licence = " ".join(word() for _ in range(30))
+    rare = " ".join(word() for _ in range(100))
+    rows = [(0, rare), (1, f"{rare} {licence}")]
+    rows += [(2 + i, " ".join(word() for _ in range(60)) + " " + (licence if i % 2 else "")) for i in range(200)]
+    got = {r["id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == brute_classes(rows)[0]
+    assert got[1] == 0 and got[5] == 5
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (rare, f"{rare} {licence}")]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+
+
+def test_items_meet(spark, monkeypatch):
+    """Counts and texts of shared items against a plain count, over many blocks, with items that most texts have."""
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(400) for _ in range(rng.randrange(40))] + [9999] * (i % 3) + [5000 + i]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "id long, own array<long>").repartition(5)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("got", T.ArrayType(T.LongType()))])
+
+    def items(batch):
+        for i, own in zip(*(batch.column(c).to_pylist() for c in ("id", "own")), strict=True):
+            yield mix(np.array(own, dtype=np.uint64)), i
+
+    def finish(info, shared):
+        flat = [np.stack([x.astype(np.int64) for x in s], axis=1).ravel().tolist() for s in shared]
+        yield pa.RecordBatch.from_arrays([pa.array(info, pa.int64()), pa.array(flat, pa.list_(pa.int64()))], names=["id", "got"])
+
+    name = {x: int(mix(np.array([x], dtype=np.uint64))[0] >> np.uint64(12)) for x in {x for _, own in rows for x in own}}
+    for occurrences in (False, True):
+        total = Counter(x for _, own in rows for x in (own if occurrences else set(own)))
+        want = {i: sorted((name[x], c, total[x]) for x, c in Counter(own).items() if total[x] > 1) for i, own in rows}
+        for most in (1 << 20, 700):
+            monkeypatch.setattr(_meet, "BLOCK_ITEMS", most)
+            found = _meet.meet(docs, items, finish, schema, size=10**9, occurrences=occurrences).collect()
+            got = {r["id"]: sorted(zip(r["got"][::3], r["got"][1::3], r["got"][2::3], strict=True)) for r in found}
+            assert got == want
+
+
+def test_numbers_packed():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert _meet.unpack(_meet.pack(x), len(x)).tolist() == x.tolist()
+    x = np.array([0, 0, 5, 2**64 - 1], dtype=np.uint64)
+    assert _meet.unpack(_meet.pack(x), 4).tolist() == x.tolist()
 
 
 def test_components(spark):
