@@ -5,21 +5,23 @@ id, or earlier in the same text).  Strings are judged on the input.
 
 1. Anchors.  In every window of ``length - GRAM + 1`` places the place with the least hash of its ``GRAM`` bytes
    (the first of several) is an anchor: two equal strings of ``length`` bytes have the same anchor at the same
-   offset.  Anchor hashes go to hash ranges, each of a bounded share of the corpus; those that two different
-   texts have, or one text twice, come back by text.
-2. Fragments.  A text with such anchors gives for each the bytes of all strings that it anchors.  Equal
-   fragments of a task are combined: all but the first of them are repeats.
-3. Suffix sorting.  Fragments meet by anchor.  The suffixes that begin at the anchors, and the reversed prefixes
-   that end there, are sorted deep-shallow: by multikey sorting of eight-byte symbols to a shallow depth, then the
-   groups that are still equal by blind tries.  From the common prefix lengths of both orders follow, for each
-   offset, which strings are equal; all but the first of them are repeats.
+   offset.  Anchors that occur twice come back to their texts (see ``_meet``).
+2. Fragments.  A text with such anchors gives for each the bytes of all strings that it anchors.
+3. Suffix sorting.  The suffixes that begin at the anchors of a block of fragments, and the reversed prefixes that
+   end there, are sorted deep-shallow: by multikey quicksort to a shallow depth, then what is still equal by blind
+   tries (see ``_suffixes``).  From the common prefix lengths of both orders follow, for each offset, which strings
+   are equal; all but the first of them are repeats.  This happens twice: for the fragments of a task, and, of the
+   strings that are the first of their task, for the fragments of all tasks that have one anchor.
 4. The repeats of a text are merged to spans and cut.
 
-Texts that are equal as a whole are one before all this; the later ones go completely.
+How it stays bounded: the first sorting leaves one of a task's equal fragments, so a group of copies costs one for
+each task.  An anchor that occurs more than ``HOT`` times (a line in many different contexts) goes string by string,
+dealt by the whole string, so its strings need no common task.  Sorting takes blocks of ``BLOCK`` fragments, and at
+most one anchor more.
 
 Defined results: null and empty texts have no bytes; texts of fewer than ``length`` bytes lose none; of rows with
 one id and one text the first counts as earlier; of those with one id and different texts the one with the lesser
-digest; null ids count as larger than all others.  Ids must be integers.
+digest; null ids count as larger than all others.  Ids must be integers.  Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import arrow_schema, chunks, map_batches, small_batches, stage, utf8
+from ._meet import Shared, meet
+from ._suffixes import Strings, deep_shallow
 from ._text import mix
 
 GRAM = 32
-#: Text bytes for each range of anchor hashes.
-RANGE_BYTES = 32 << 20
-#: Fragments that are sorted at once, if their anchors allow.
-BLOCK = 40_000
+#: Fragments that are sorted at once, and the bytes of text they are cut from.
+BLOCK, BLOCK_BYTES = 40_000, 16 << 20
+#: An anchor that occurs more often is dealt by its whole strings.
+HOT = 100_000
+#: Symbols of eight bytes to which suffixes and reversed prefixes are sorted by multikey quicksort.
+SHALLOW, SHALLOW_BACK = 8, 3
 _LAST = np.iinfo(np.int64).max
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -89,124 +95,23 @@ def _batches(texts: list[bytes | None], length: int) -> Iterator[tuple[int, tupl
 # suffix sorting
 
 
-def common_prefix(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    different = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (different.bit_length() + 7) // 8
-
-
-def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
-    """The order of different strings and the common prefix length of each with the one before it.
-
-    Inner nodes keep only a depth and the bytes that branch there.  A string is led down without comparing what
-    lies between, compared once with the leaf it arrives at, and put in where they part.
-    """
-    root: list | int = 0
-    for i in range(1, len(strings)):
-        s, node = strings[i], root
-        while type(node) is list:
-            depth, branches = node
-            node = branches.get(s[depth] if depth < len(s) else -1)
-            if node is None:
-                node = next(iter(branches.values()))
-        other = strings[node]
-        lcp = common_prefix(s, other)
-        here, there = (x[lcp] if lcp < len(x) else -1 for x in (s, other))
-        parent, node = None, root
-        while type(node) is list and node[0] < lcp:
-            parent, node = node, node[1][s[node[0]] if node[0] < len(s) else -1]
-        if type(node) is list and node[0] == lcp:
-            node[1][here] = i
-        else:
-            made = [lcp, {here: i, there: node}]
-            if parent is None:
-                root = made
-            else:
-                parent[1][s[parent[0]] if parent[0] < len(s) else -1] = made
-    order, lcps, todo = [], [], [(root, 0)]
-    while todo:
-        node, lcp = todo.pop()
-        if type(node) is list:
-            depth, branches = node
-            keys = sorted(branches, reverse=True)
-            todo += [(branches[k], depth) for k in keys[:-1]]
-            todo.append((branches[keys[-1]], lcp))
-        else:
-            order.append(node)
-            lcps.append(lcp)
-    return order, lcps
-
-
-def deep_shallow(strings: list[bytes], symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of strings and the common prefix length of each with the one before it (0 for the first).
-
-    Shallow: by ``symbols`` symbols of eight bytes.  Deep: what is equal so far, by a blind trie of its distinct
-    strings.
-    """
-    n, depth = len(strings), 8 * symbols
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    size = np.array([len(s) for s in strings])
-    table = np.frombuffer(b"".join([s[:depth].ljust(depth, b"\0") for s in strings]), dtype=">u8").reshape(n, symbols).astype(np.uint64)
-    order = np.lexsort([size, *(table[:, k] for k in range(symbols - 1, -1, -1))])
-    table, size = table[order], size[order]
-    lcp = np.zeros(n, np.int64)
-    same = np.ones(n, dtype=bool)
-    same[0] = False
-    for k in range(symbols):
-        different = table[1:, k] ^ table[:-1, k]
-        parts = np.append(False, different != 0) & same
-        at = np.flatnonzero(parts)
-        lead = 8 - (np.frexp((different[at - 1] >> np.uint64(11)).astype(np.float64))[1] + 11 + 7) // 8
-        exact = different[at - 1] < np.uint64(1 << 11)
-        lead[exact] = [8 - (int(x).bit_length() + 7) // 8 for x in different[at - 1][exact]]
-        lcp[at] = 8 * k + lead
-        same &= ~parts
-    lcp[same] = depth
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[1:], size[:-1]))
-    group = np.flatnonzero(same & np.append(False, size[:-1] >= depth) | np.append(same[1:], False) & (size >= depth))
-    if len(group):
-        begin = group[np.append(True, ~same[group[1:]] | (np.diff(group) > 1) | (size[group[:-1]] < depth))]
-        stop = np.append(begin[1:], n)
-        for a, limit in zip(begin.tolist(), stop.tolist(), strict=True):
-            b = a + 1
-            while b < limit and same[b]:
-                b += 1
-            if b - a < 2:
-                continue
-            tails: dict[bytes, list[int]] = {}
-            for i in order[a:b].tolist():
-                tails.setdefault(strings[i][depth:], []).append(i)
-            distinct = list(tails)
-            ranked, between = blind_trie(distinct)
-            at = a
-            for r, c in zip(ranked, between, strict=True):
-                for j, i in enumerate(tails[distinct[r]]):
-                    order[at] = i
-                    if at > a:
-                        lcp[at] = depth + (len(distinct[r]) if j else c)
-                    at += 1
-    return order, lcp
-
-
-def repeated_offsets(forward: list[bytes], backward: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+def repeated_offsets(data: bytes, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
     """Which strings of fragments, given in order of their places, also start earlier.
 
-    A fragment has strings at the offsets ``low`` to ``high`` before its anchor; ``forward`` is its bytes from the
-    anchor on, ``backward`` those before it, reversed.  The result has a row for each fragment, a column for each
-    offset.
+    A fragment has its anchor at ``anchor`` of ``data`` and strings that begin ``low`` to ``high`` bytes before it.
+    The result has a row for each fragment, a column for each offset.
     """
-    n, width = len(forward), length - GRAM + 1
-    order, lcp = deep_shallow(forward, GRAM // 8)
+    n, width = len(anchor), length - GRAM + 1
+    order, lcp = deep_shallow(Strings(data, anchor, length - low), SHALLOW)
     cut = np.cumsum(lcp < GRAM)
-    group = np.empty(n, np.int64)
+    group = np.empty(n, np.uint64)
     group[order] = cut
-    names = [int(g).to_bytes(8, "big") for g in group]
-    b_order, b_lcp = deep_shallow([g + b for g, b in zip(names, backward, strict=True)], 2)
+    b_order, b_lcp = deep_shallow(Strings(data[::-1], len(data) - anchor, high, group), SHALLOW_BACK)
     out = np.zeros((n, width), dtype=bool)
     f_class, b_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    several = (np.bincount(cut, minlength=1) > 1)[group.astype(np.int64)] if n else np.zeros(0, dtype=bool)
     for o in range(width):
-        own = np.flatnonzero((low <= o) & (o <= high))
+        own = np.flatnonzero((low <= o) & (o <= high) & several)
         if len(own) < 2:
             continue
         f_class[order] = np.cumsum(lcp < length - o)
@@ -218,6 +123,13 @@ def repeated_offsets(forward: list[bytes], backward: list[bytes], low: np.ndarra
     return out
 
 
+def _ranges(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of true values in the rows: row, first column, column after the last."""
+    edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    return row, begin, np.nonzero(edge == -1)[1]
+
+
 # tables
 
 
@@ -229,81 +141,24 @@ def _spans(pairs: np.ndarray) -> np.ndarray:
     return np.stack((pairs[first, 0], reach[np.append(first[1:], len(pairs)) - 1]), axis=1)
 
 
-def _shared_anchors(rows: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(ref, hashes): for each text, by its digest, the hashes of its anchors that occur elsewhere too."""
-    made = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-    top = np.uint64(ranges)
-
-    def flush(hashes: list[np.ndarray], refs: list[np.ndarray]) -> pa.RecordBatch:
-        h, ref = np.concatenate(hashes), np.concatenate(refs)
-        part = (((h >> np.uint64(32)) * top) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        h, ref, part = h[order], ref[order], part[order]
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        blobs = []
-        for a, b in zip(first, np.append(first[1:], len(part)), strict=True):
-            x, y = h[a:b] >> np.uint64(16), ref[a:b]
-            blobs.append(b"".join(((v >> np.uint64(s)) & np.uint64(m)).astype(k).tobytes() for v in (x, y) for s, m, k in ((0, 0xFFFFFFFF, "<u4"), (32, 0xFFFF, "<u2"))))
-        count = np.diff(np.append(first, len(part)))
-        return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(count, pa.int32()), pa.array(blobs, pa.binary())], schema=arrow_schema(made))
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[np.ndarray] = []
-        refs: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            ref = batch.column("ref").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, (h, _, _, _) in _batches(utf8(batch.column("text")), length):
-                own, n = np.unique(h >> np.uint64(16) << np.uint64(16), return_counts=True)
-                again = own[n > 1]
-                hashes += [own, again]
-                refs += [np.full(len(own), ref[i]), np.full(len(again), ref[i] ^ np.uint64(1))]
-                held += len(own) + len(again)
-                if held > 1_000_000:
-                    yield flush(hashes, refs)
-                    hashes, refs, held = [], [], 0
-        if held:
-            yield flush(hashes, refs)
-
-    back = T.StructType([T.StructField("ref", T.LongType()), T.StructField("hashes", T.BinaryType())])
-
-    def repeated(n: list[int], blobs: list[bytes]) -> pa.RecordBatch | None:
-        hs, rs = [], []
-        for k, blob in zip(n, blobs, strict=True):
-            low, high, r_low, r_high = (np.frombuffer(blob, d, k, o).astype(np.uint64) for d, o in (("<u4", 0), ("<u2", 4 * k), ("<u4", 6 * k), ("<u2", 10 * k)))
-            hs.append(low | (high << np.uint64(32)))
-            rs.append(r_low | (r_high << np.uint64(32)))
-        h, ref = np.concatenate(hs), np.concatenate(rs)
-        order = np.argsort(h, kind="stable")
-        h, ref = h[order], ref[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        mixed = np.minimum.reduceat(ref, first) != np.maximum.reduceat(ref, first)
-        keep = np.repeat(mixed, np.diff(np.append(first, len(h))))
-        h, ref = h[keep], ref[keep]
-        if not len(h):
-            return None
-        order = np.argsort(ref, kind="stable")
-        h, ref = h[order], ref[order]
-        first = np.flatnonzero(np.append(True, ref[1:] != ref[:-1]))
-        blobs = [np.unique(x).astype("<u8").tobytes() for x in np.split(h, first[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(ref[first].astype(np.int64)), pa.array(blobs, pa.binary())], schema=arrow_schema(back))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, blobs = None, [], []
-        for batch in batches:
-            for part, k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now and n:
-                    if (made := repeated(n, blobs)) is not None:
-                        yield made
-                    n, blobs = [], []
-                now = part
-                n.append(k)
-                blobs.append(blob)
-        if n and (made := repeated(n, blobs)) is not None:
-            yield made
+def _shared_anchors(rows: DataFrame, size: int, length: int) -> DataFrame:
+    """(i, digest, hashes): for each text of ``rows`` (id, sha, text) that has any, its anchors that occur twice.
+
+    They are 52 bits of the hash and one bit for those that occur often.
+    """
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("hashes", T.BinaryType())])
 
-    dealt = map_batches(rows.select("ref", "text"), sample, made).repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
-    return map_batches(dealt, meet, back).groupBy("ref").agg(F.collect_list("hashes").alias("hashes"))
+    def items(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, object]]:
+        ids, digests = (batch.column(c).to_pylist() for c in ("id", "sha"))
+        for i, (h, _, _, _) in _batches(utf8(batch.column("text")), length):
+            yield h, (ids[i], digests[i])
+
+    def finish(info: list, shared: list[Shared]) -> Iterator[pa.RecordBatch]:
+        made = [(i, d, ((own << np.uint64(1)) | (count > HOT).astype(np.uint64)).tobytes()) for (i, d), (own, _, count) in zip(info, shared, strict=True) if len(own)]
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), arrow_schema(schema), strict=True)], schema=arrow_schema(schema))
+
+    return meet(rows.select("id", "sha", "text"), items, finish, schema, size=size, occurrences=True)
 
 
 _FRAGMENT = T.StructType(
@@ -314,47 +169,84 @@ _FRAGMENT = T.StructType(
 _REPEAT = T.StructType([T.StructField("id", T.LongType()), T.StructField("s8", T.LongType()), T.StructField("blob", T.BinaryType())])
 
 
+def _blobs(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The merged ranges of each text, as pairs of 32-bit integers."""
+    order = np.argsort(text, kind="stable")
+    text, pairs = text[order], np.stack((start[order], end[order]), axis=1)
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else []
+    for a, b in zip(first, np.append(first[1:], len(text)) if len(text) else [], strict=True):
+        yield int(text[a]), _spans(pairs[a:b]).astype("<i4").tobytes()
+
+
 def _fragments(candidates: DataFrame, length: int) -> DataFrame:
-    """Fragments of texts at their shared anchors; equal ones of a task come once.
+    """Fragments of texts at their shared anchors, without the strings that a task has earlier.
 
-    Those that come later are repeats; they travel as rows without bytes, ``low`` and ``high`` being the range to cut.
+    Those go as one row for each text with the ranges to cut as ``bytes`` and -1 as ``low``.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(_FRAGMENT)
-        held: dict[tuple[bytes, int], tuple] = {}
-        rows: list[tuple] = []
-
-        def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 5000], strict=True), out, strict=True)], schema=out)
-
-        def repeat(x: tuple) -> tuple:
-            return (x[1] ^ x[2], x[1], x[2], x[3], x[3] - x[5], x[3] - x[4] + length, None)
+        held: list[tuple] = []
+        n = size = 0
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+        def sort() -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda x: x[:2])
+            data = b"".join([x[2] for x in held])
+            base = np.cumsum([0] + [len(x[2]) for x in held])
+            text = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+            h, place, first, last, hot = (np.concatenate([x[k] for x in held]) for k in range(3, 8))
+            low, high = place - last, place - first
+            anchor = base[text] + place
+            _, name, times = np.unique(h, return_inverse=True, return_counts=True)
+            met = np.flatnonzero(times[name] > 1)
+            gone = np.zeros((len(h), length - GRAM + 1), dtype=bool)
+            if len(met):
+                gone[met] = repeated_offsets(data, anchor[met], low[met], high[met], length)
+            row, a, b = _ranges(gone)
+            rows: list[tuple] = []
+            for t, blob in _blobs(text[row], place[row] - b + 1, place[row] - a + length):
+                key, s8 = held[t][:2]
+                rows.append((key ^ s8, key, s8, 0, -1, -1, blob))
+            offset = np.arange(length - GRAM + 1)[None, :]
+            left = ~gone & (low[:, None] <= offset) & (offset <= high[:, None])
+            some = np.flatnonzero(left.any(axis=1))
+            low, high = left.argmax(axis=1), left.shape[1] - 1 - left[:, ::-1].argmax(axis=1)
+            signed = h.view(np.int64)
+            for i in some.tolist():
+                key, s8 = held[text[i]][:2]
+                at, p = int(anchor[i]), int(place[i])
+                if hot[i]:
+                    for o in np.flatnonzero(left[i]).tolist():
+                        own = data[at - o : at - o + length]
+                        rows.append((int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True), key, s8, p, o, o, own))
+                else:
+                    a, b = int(low[i]), int(high[i])
+                    rows.append((int(signed[i]), key, s8, p, a, b, data[at - b : at - a + length]))
+                if len(rows) >= 5000:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
 
         for batch in batches:
             texts = utf8(batch.column("text"))
             ids, s8, wanted = (batch.column(c).to_pylist() for c in ("id", "s8", "hashes"))
             for i, (h, place, first, last) in _batches(texts, length):
-                want = np.frombuffer(b"".join(wanted[i]), dtype="<u8")
-                key, text = _LAST if ids[i] is None else ids[i], texts[i]
-                keep = np.isin(h >> np.uint64(16), want)
-                columns = (x[keep].tolist() for x in (h.view(np.int64), place, first, last))
-                for own, m, a, b in zip(*columns, strict=True):
-                    piece = text[a : b + length]
-                    x = (own, key, s8[i], m, m - b, m - a, piece)
-                    was = held.get((piece, m - a))
-                    if was is None:
-                        held[piece, m - a] = x
-                    elif (was[1], was[2], was[3]) <= (key, s8[i], m):
-                        rows.append(repeat(x))
-                    else:
-                        rows.append(repeat(was))
-                        held[piece, m - a] = x
-            if len(held) > 100_000:
-                yield from emit([*held.values(), *rows])
-                held, rows = {}, []
-        yield from emit([*held.values(), *rows])
+                want = np.frombuffer(wanted[i], dtype="<u8")
+                name = h >> np.uint64(12)
+                keep = np.isin(name, want >> np.uint64(1))
+                hot = np.isin(name[keep], (want >> np.uint64(1))[(want & np.uint64(1)) == 1])
+                held.append((_LAST if ids[i] is None else ids[i], s8[i], texts[i], h[keep], place[keep], first[keep], last[keep], hot))
+                n, size = n + int(keep.sum()), size + len(texts[i])
+                if n >= BLOCK or size >= BLOCK_BYTES:
+                    yield from sort()
+                    held.clear()
+                    n = size = 0
+        if held:
+            yield from sort()
 
     return map_batches(candidates, cut, _FRAGMENT)
 
@@ -362,79 +254,70 @@ def _fragments(candidates: DataFrame, length: int) -> DataFrame:
 def _repeats(fragments: DataFrame, length: int) -> DataFrame:
     """(id, s8, blob): ranges to cut, as pairs of 32-bit integers."""
 
-    def ranges(rows: list[tuple]) -> list[tuple]:
-        """What the rows of whole anchors give: (id, s8, start, end)."""
-        cut = [(r[1], r[2], r[4], r[5]) for r in rows if r[6] is None]
-        first: dict[tuple, tuple] = {}
-        for r in sorted((r for r in rows if r[6] is not None), key=lambda r: (r[1], r[2], r[3])):
-            was = first.setdefault((r[6], r[5]), r)
-            if was is not r:
-                cut.append((r[1], r[2], r[3] - r[5], r[3] - r[4] + length))
-        kept = list(first.values())
-        if len(kept) > 1:
-            low, high = np.array([r[4] for r in kept]), np.array([r[5] for r in kept])
-            found = repeated_offsets([r[6][r[5] :] for r in kept], [r[6][: r[5]][::-1] for r in kept], low, high, length)
-            edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            at, begin = np.nonzero(edge == 1)
-            end = np.nonzero(edge == -1)[1]
-            for i, a, b in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True):
-                r = kept[i]
-                cut.append((r[1], r[2], r[3] - b + 1, r[3] - a + length))
-        return cut
-
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(_REPEAT)
-        rows: list[tuple] = []
-
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            by: dict[tuple, list[int]] = {}
-            for i, s, a, b in ranges(rows):
-                by.setdefault((i, s), []).extend((a, b))
-            blobs = [_spans(np.array(x, dtype=np.int64).reshape(-1, 2)).astype("<i4").tobytes() for x in by.values()]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in by], pa.int64()), pa.array([k[1] for k in by], pa.int64()), pa.array(blobs, pa.binary())], schema=out)
+        held: list[list] = []
+        n = 0
+
+        def emit(parts: list[list]) -> Iterator[pa.RecordBatch]:
+            h, key, s8, place, low, high = (np.concatenate([p[k] for p in parts]) for k in range(6))
+            pieces = [x for p in parts for x in p[6]]
+            order = np.lexsort((place, s8, key))
+            key, s8, place, low, high = (x[order] for x in (key, s8, place, low, high))
+            data = b"".join([pieces[i] for i in order.tolist()])
+            base = np.cumsum([0] + [len(pieces[i]) for i in order.tolist()])[:-1]
+            row, a, b = _ranges(repeated_offsets(data, base + high, low, high, length))
+            text = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (s8[1:] != s8[:-1]))) - 1
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            made = [(int(key[first[t]]), int(s8[first[t]]), blob) for t, blob in _blobs(text[row], place[row] - b + 1, place[row] - a + length)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
         for batch in batches:
-            new = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            if len(rows) >= BLOCK:
-                edge = next((k for k, r in enumerate(new) if r[0] != rows[-1][0]), None)
+            cut = batch.column("low").to_numpy() < 0
+            if cut.any():
+                own = batch.filter(pa.array(cut))
+                yield pa.RecordBatch.from_arrays([own.column(c).cast(f.type) for c, f in zip(("id", "s8", "bytes"), out, strict=True)], schema=out)
+                batch = batch.filter(pa.array(~cut))
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy().astype(np.int64) for c in ("h", "id", "s8", "place", "low", "high")] + [batch.column("bytes").to_pylist()]
+            if n >= BLOCK:
+                edge = int(np.argmax(new[0] != held[-1][0][-1])) if new[0][-1] != held[-1][0][-1] else None
                 if edge is not None:
-                    yield emit(rows + new[:edge])
-                    rows, new = [], new[edge:]
-            rows += new
-        if rows:
-            yield emit(rows)
+                    yield from emit([*held, [x[:edge] for x in new]])
+                    held, n, new = [], 0, [x[edge:] for x in new]
+            held.append(new)
+            n += len(new[0])
+        if held:
+            yield from emit(held)
 
     return map_batches(fragments.repartition("h").sortWithinPartitions("h"), sort, _REPEAT)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text, sha, s8, ref) of every row; nulls as empty texts."""
+    """(id, text, sha, s8) of every row; nulls as empty texts."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return with_digest(rows)
 
 
 def with_digest(rows: DataFrame) -> DataFrame:
-    part = lambda a, n: F.conv(F.substring("sha", a, n), 16, 10).cast("long")
-    return rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).withColumn("s8", part(1, 15)).withColumn("ref", part(20, 12))
+    rows = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    return rows.withColumn("s8", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
 
 
 def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
     """What to remove, one row for each different (id, text).
 
-    (id, sha, s8, copies, n_bytes, later, spans, n_removed, kept_sha256): ``later`` if a text of another id equals
-    it, so that all copies go, else the first of ``copies`` stays and loses ``spans``.
+    (id, sha, s8, copies, n_bytes, spans, n_removed, kept_sha256): the first of ``copies`` loses ``spans``, the others
+    all bytes if there are ``length``.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, key, text)
-    base = stage(rows.select("id", "sha", "s8", "ref", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("id", "sha", "s8", "ref").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
+    base = rows.select("id", "sha", "s8", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("id", "sha", "s8")
+    base = stage(base.agg(F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
     total = base.agg(F.sum(F.col("n_bytes") * F.col("copies"))).first()[0] or 0
-    shared = _shared_anchors(rows.where(F.octet_length("text") >= length), max(16, -(-total // RANGE_BYTES)), length)
-    long = F.col("n_bytes") >= length
-    # staged, so that the join can split a digest that a third of all rows have
-    least = stage(base.where(long).groupBy("sha").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("first")), "least")
-    marked = base.join(least, "sha", "left").withColumn("later", F.coalesce(long & (F.coalesce("id", F.lit(_LAST)) > F.col("first")), F.lit(False))).drop("first")
-    wanted = marked.where(long & ~F.col("later")).join(shared, "ref").select(F.col("id").alias("i"), F.col("sha").alias("digest"), "hashes")
+    wanted = _shared_anchors(rows.where(F.octet_length("text") >= length), total, length).dropDuplicates(["i", "digest"])
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("digest")))
     candidates = stage(found.select("id", "s8", "text", "hashes").dropDuplicates(["id", "s8"]), "candidates")
     cuts = _repeats(_fragments(candidates, length), length).groupBy("id", "s8").agg(F.collect_list("blob").alias("blobs"))
@@ -455,8 +338,8 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("s8"), pa.array(spans, out.field(2).type), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
 
     done = map_batches(own.select("id", "s8", "text", "blobs"), merge, schema)
-    out = marked.join(done, F.col("id").eqNullSafe(F.col("i")) & (F.col("s8") == F.col("s")), "left")
-    return out.select("id", "sha", "s8", "copies", "n_bytes", "later", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    out = base.join(done, F.col("id").eqNullSafe(F.col("i")) & (F.col("s8") == F.col("s")), "left")
+    return out.select("id", "sha", "s8", "copies", "n_bytes", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def cut_bytes(raw: bytes, spans: list) -> bytes:
@@ -470,7 +353,7 @@ def cut_bytes(raw: bytes, spans: list) -> bytes:
 def report(found: DataFrame, *, key: str = "doc_id", length: int = 100) -> DataFrame:
     """The digest of ``repeats`` for every row of its input."""
     row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("k")
-    rows = found.select("*", row).withColumn("gone", (F.col("n_bytes") >= length) & (F.col("later") | (F.col("k") > 1)))
+    rows = found.select("*", row).withColumn("gone", (F.col("n_bytes") >= length) & (F.col("k") > 1))
     return rows.select(
         F.col("id").alias(key),
         "n_bytes",
@@ -487,7 +370,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     """
     small_batches(docs.sparkSession)
     found = repeats(docs, key=key, text=text, length=length)
-    plan = found.where((F.col("n_bytes") < length) | ~F.col("later")).select(F.col("id").alias("i"), F.col("sha").alias("digest"), "spans", "copies", "n_bytes")
+    plan = found.select(F.col("id").alias("i"), F.col("sha").alias("digest"), "spans", "copies", "n_bytes")
     rows = with_digest(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     rows = rows.select("row", "id", "sha").join(plan, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("digest")))
     twice = (F.col("copies") > 1) & (F.col("n_bytes") >= length)

@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 import pytest
-from sqlquarry.llm import suffix_dedup
+from sqlquarry.llm import _meet, suffix_dedup
+from sqlquarry.llm._suffixes import Strings, common_prefix, deep_shallow
 
 
 def brute(rows, n=100):
@@ -66,18 +67,47 @@ def test_remove(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, p, 5), (2, "own start ", 6), (4, None, 8), (5, "tiny", 9), (5, "tiny", 9)], key=str)
 
 
-@pytest.mark.parametrize("symbols", [1, 2])
+@pytest.mark.parametrize("symbols", [1, 2, 4])
 def test_deep_shallow(symbols):
     rng = random.Random(7)
     for alphabet in (b"\0a", b"abc"):
         for _ in range(40):
             strings = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 60))]
             strings += [b"\0\0\0prefix" * 2 + s for s in strings[:20]]
-            order, lcp = suffix_dedup.deep_shallow(strings, symbols)
+            order, lcp = deep_shallow(Strings.of(strings), symbols)
             got = [strings[i] for i in order]
             assert got == sorted(strings) and sorted(order.tolist()) == list(range(len(strings)))
             for k in range(1, len(got)):
-                assert lcp[k] == suffix_dedup.common_prefix(got[k - 1], got[k])
+                assert lcp[k] == common_prefix(got[k - 1], got[k])
+                assert got[k] != got[k - 1] or order[k] > order[k - 1]
+
+
+def test_hot_line_and_small_blocks(spark, monkeypatch):
+    """A line in many contexts and many copies, with every bound so low that it acts."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, whole = text(140), text(400)
+    rows = [(i, text(rng.randrange(20)) + line + text(rng.randrange(60))) for i in range(300)] + [(400 + i, whole) for i in range(60)]
+    want = brute(rows)
+    for name, value in (("HOT", 50), ("BLOCK", 64), ("BLOCK_BYTES", 4000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(_meet, "BLOCK_ITEMS", 100)
+    assert run(spark, rows) == want
+
+
+def test_sorting_decides(spark, monkeypatch):
+    """Without the order nothing but further copies of a row goes."""
+    rng = random.Random(3)
+    p = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, p), (2, p), (3, p + "!"), (4, "x" + p)]
+    assert sum(r[2] for r in run(spark, rows)) > 800
+    data, anchor = p.encode() * 2, np.array([100, 400])
+    found = suffix_dedup.repeated_offsets(data, anchor, np.array([5, 5]), np.array([60, 60]), 100)
+    assert not found[0].any() and found[1].sum() == 56
+    monkeypatch.setattr(suffix_dedup, "deep_shallow", lambda strings, symbols: (np.arange(len(strings.start)), np.zeros(len(strings.start), np.int64)))
+    assert not suffix_dedup.repeated_offsets(data, anchor, np.array([5, 5]), np.array([60, 60]), 100).any()
+    monkeypatch.setattr(suffix_dedup, "repeated_offsets", lambda data, anchor, low, high, length: np.zeros((len(anchor), length - 31), dtype=bool))
+    assert sum(r[2] for r in run(spark, rows)) == 0
 
 
 def test_anchors_are_shared():
