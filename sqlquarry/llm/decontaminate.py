@@ -1,23 +1,24 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-Training texts are taken as sequences of words.  A shard is a run of whole texts of a bounded size; its index
-is the Burrows-Wheeler transform of its word sequence in a wavelet matrix.  Test phrases (windows of
-``window`` consecutive words of a benchmark item, or the whole item if it is shorter) are found by backward
-search with wavelet ranks, all phrases at once; their places come from sampled suffix positions by walking
-the last-to-first mapping.  Places found in a text are merged to removal spans.
+Training texts are taken as sequences of words.  A shard is a run of whole texts of a bounded size; its index holds all
+its words: the Burrows-Wheeler transform of their numbers in a wavelet matrix, with sampled suffix positions.  Texts
+are parted by a number that no phrase has.  Test phrases (windows of ``window`` consecutive words of a benchmark item,
+or the whole item if it is shorter) are found by backward search with wavelet ranks, all phrases at once; their places
+come from sampled suffix positions by walking the last-to-first mapping.  Places found in a text are merged to removal
+spans.
 
-A word that no benchmark item has cannot stand in an occurrence: it parts the sequence, and parts shorter
-than the shortest phrase are not indexed.  Texts are never moved: each task indexes the shards of its own
-partition.  The phrases of a benchmark block of at most ``block_bytes`` go to all tasks; a larger benchmark
-is searched block by block, each block adding its spans.
+Texts are never moved: each task indexes the shards of its own partition, one after the other, and searches an index
+for all phrases before it builds the next one.  Phrases come in blocks of about ``block_bytes`` of benchmark text (an
+item is never cut); a task holds one block at a time, and so does the driver.  Words are compared by 64-bit hashes.
 
 Defined results: null and empty texts and items have no words, so no spans; repeated item ids count once;
-repeated rows are kept; null item ids are never reported.  Columns with clashing names are kept, ours get a
-leading underscore.
+repeated rows are kept; the hits of an item whose id is null count, and so does the item, but it has no name among
+the ids.  Columns with clashing names are kept, ours get a leading underscore.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import append, arrow_schema, chunks, fresh, map_batches, small_batches, stage, utf8, with_fields
+from ._common import append, arrow_schema, chunks, fresh, map_batches, small_batches, utf8, with_fields
 from ._text import Words, words
 
 _SAMPLE = 8
@@ -36,18 +37,37 @@ Pass = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], T.S
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The order of all suffixes of an integer sequence, by doubling ranks."""
+    """The order of all suffixes of a sequence of integers from 0, whose last one is found nowhere else.
+
+    Suffixes are sorted by as many symbols as fit 63 bits; those that are still equal by their ranks further on, in
+    doubling steps.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step, order = 1, np.argsort(rank, kind="stable")
-    while step < n:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+    bits = max(1, int(text.max()).bit_length())
+    step = max(1, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(min(step, n)):
+        key[: n - k] |= text[k:] << (bits * (step - 1 - k))
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int64)
+    first = np.append(True, np.diff(key[order]) != 0)
+    begin = np.flatnonzero(first)
+    rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
+    while len(begin) < n:
+        first = np.append(first, True)
+        slots = np.flatnonzero(~(first[:-1] & first[1:]))  # places in the order that are not settled
+        own = order[slots]
+        key = rank[own] * (n + 1)
+        further = own + step < n
+        key[further] += rank[own[further] + step] + 1
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        order[slots] = own
+        new = np.append(True, np.diff(key) != 0)
+        rank[own] = slots[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        first = first[:-1]
+        first[slots] = new
+        begin = np.flatnonzero(first)
         step *= 2
     return order
 
@@ -59,7 +79,7 @@ class WaveletMatrix:
         self.levels, self.zeros = [], []
         for level in range(bits - 1, -1, -1):
             one = (text >> level) & 1
-            self.levels.append(np.concatenate(([0], np.cumsum(one))))
+            self.levels.append(np.concatenate(([0], np.cumsum(one, dtype=np.int32))).astype(np.int32))
             self.zeros.append(len(text) - int(self.levels[-1][-1]))
             text = np.concatenate((text[one == 0], text[one == 1]))
         self.bits = bits
@@ -127,53 +147,64 @@ class FMIndex:
         return place
 
 
-class Phrases:
-    """The windows of a block of benchmark items, as numbers of its own vocabulary (from 2; 1 parts)."""
+class Shard:
+    """An FM-index of all words of some texts."""
+
+    def __init__(self, texts: list[bytes | None]):
+        w = Words(texts)
+        self.n, self.count = len(texts), np.diff(w.offset)
+        self.words, number = np.unique(w.hash, return_inverse=True)
+        self.base = w.offset[:-1] + np.arange(self.n)  # one parting number, 1, behind each text
+        sequence = np.ones(len(number) + self.n, dtype=np.int64)
+        sequence[np.arange(len(number)) + np.repeat(np.arange(self.n), self.count)] = number + 2
+        self.index = FMIndex(sequence, len(self.words) + 1)
+
+    def places(self, phrases: "Phrases") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All occurrences: number of the phrase, of the text, and of the word that it begins with."""
+        none = np.empty(0, np.int64)
+        if not len(self.words) or not len(phrases.length):
+            return none, none, none
+        at = np.minimum(np.searchsorted(self.words, phrases.words), len(self.words) - 1)
+        number = np.append(np.where(self.words[at] == phrases.words, at + 2, 0), 0)
+        own = number[phrases.ids]
+        known = np.flatnonzero(((own > 0) | (phrases.ids == len(phrases.words))).all(axis=1))
+        lo, hi = self.index.search(own[known], phrases.length[known])
+        which = np.repeat(np.arange(len(lo)), hi - lo)
+        rows = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]
+        place = self.index.locate(rows)
+        text = np.searchsorted(self.base, place, "right") - 1
+        return known[which], text, place - self.base[text]
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
-        known: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            own = [known.setdefault(w, len(known) + 2) for w in words(text)]
+
+class Phrases:
+    """The windows of a block of benchmark items, as rows of numbers of ``words``, padded at the left by their count."""
+
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
+        w = Words([text for _, text in items])
+        self.words, number = np.unique(w.hash, return_inverse=True)
+        owners: dict[tuple[int, ...], set[str | None]] = {}
+        for (name, _), a, b in zip(items, w.offset[:-1].tolist(), w.offset[1:].tolist(), strict=True):
+            own = number[a:b].tolist()
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 owners.setdefault(tuple(own[i : i + window]), set()).add(name)
-        self.most = len(known) + 1
-        keys = sorted(owners)
-        self.length = np.array([len(k) for k in keys], dtype=np.int64)
-        self.ids = np.array([[0] * (window - len(k)) + list(k) for k in keys], dtype=np.int64).reshape(len(keys), window)
-        self.owners = [sorted(owners[k]) for k in keys]
-        self.shortest = int(self.length.min()) if keys else 0
-        self.known = known
-
-    def find(self, texts: list[bytes | None]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        """For each text of a shard the word ranges of all occurrences and the items that they are of."""
-        out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
-        if not self.known:
+        self.length = np.array([len(k) for k in owners], dtype=np.int64)
+        self.ids = np.array([[len(self.words)] * (window - len(k)) + list(k) for k in owners], dtype=np.int64).reshape(len(owners), window)
+        self.owners = [tuple(names) for names in owners.values()]
+
+    def find(self, shard: Shard) -> list[tuple[list[tuple[int, int]], set[str | None]]]:
+        """For each text of a shard the merged word ranges of all occurrences and the items that they are of."""
+        out: list[tuple[list[tuple[int, int]], set[str | None]]] = [([], set()) for _ in range(shard.n)]
+        phrase, text, word = shard.places(self)
+        if not len(phrase):
             return out
-        get = self.known.get
-        found: list[np.ndarray] = []
-        text_of, word_of = [], []
-        for i, text in enumerate(texts):
-            own = np.array([get(w, 1) for w in words(text)], dtype=np.int64)
-            edge = np.flatnonzero(np.diff((own > 1).astype(np.int8), prepend=0, append=0))
-            for a, b in zip(edge[0::2], edge[1::2], strict=True):
-                if b - a >= self.shortest:
-                    found += [own[a:b], np.ones(1, np.int64)]
-                    text_of.append(np.full(b - a + 1, i))
-                    word_of.append(np.arange(a, b + 1))
-        if not found:
-            return out
-        index = FMIndex(np.concatenate(found), self.most)
-        texts_at, words_at = np.concatenate(text_of), np.concatenate(word_of)
-        lo, hi = index.search(self.ids, self.length)
-        phrase = np.repeat(np.arange(len(lo)), hi - lo)
-        rows = np.arange(len(phrase)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[phrase]
-        place = index.locate(rows)
-        for p, at in zip(phrase.tolist(), place.tolist(), strict=True):
-            spans, items = out[texts_at[at]]
-            w = int(words_at[at])
-            spans.append((w, w + int(self.length[p])))
-            items.update(self.owners[p])
+        for pair in np.unique(text * len(self.length) + phrase).tolist():
+            out[pair // len(self.length)][1].update(self.owners[pair % len(self.length)])
+        order = np.lexsort((word, text))
+        text, start, end = text[order], word[order], (word + self.length[phrase])[order]
+        for a, b in zip(begin := np.flatnonzero(np.append(True, text[1:] != text[:-1])), np.append(begin[1:], len(text)), strict=True):
+            reach = np.maximum.accumulate(end[a:b])
+            first = np.flatnonzero(np.append(True, start[a + 1 : b] > reach[:-1]))
+            out[text[a]][0].extend(zip(start[a:b][first].tolist(), reach[np.append(first[1:], b - a) - 1].tolist(), strict=True))
         return out
 
 
@@ -190,7 +221,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> Iterator[Phrases]:
     """The benchmark's phrases in blocks of about ``block_bytes`` of text, one after the other."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
@@ -207,50 +238,47 @@ def find(
     item_text: str = "text",
     window: int = 10,
     block_bytes: int = 8 << 20,
-    shard_bytes: int = 8 << 20,
+    shard_bytes: int = 4 << 20,
     names: tuple[str, str] = ("word_spans", "items"),
     finish: Callable[[T.StructType, str, str], Pass] | None = None,
 ) -> DataFrame:
-    """``docs`` with the merged word ranges of test phrases and the sorted ids of their items.
+    """``docs`` with the merged word ranges of test phrases and the sorted ids of their items, a null one last.
 
-    ``finish`` gives a last pass over the batches, which runs in the same worker.  Between the blocks of a large
-    benchmark the spans found so far are staged, so a worker holds the phrases of one block.
+    ``finish`` gives a last pass over the batches, which runs in the same worker.
     """
     small_batches(docs.sparkSession)
     spans_name, items_name = fresh(docs, *names)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = with_fields(docs.schema, T.StructField(spans_name, T.ArrayType(span)), T.StructField(items_name, T.ArrayType(T.StringType())))
-    out = docs
-    own = blocks(benchmark, item=item, text=item_text, window=window, block_bytes=block_bytes)
-    phrases, n = next(own), 0
-    while True:
-        following = next(own, None)
-
-        def search(batches: Iterator[pa.RecordBatch], phrases=phrases, again=n > 0) -> Iterator[pa.RecordBatch]:
-            made = arrow_schema(schema)
-            for batch in batches:
-                texts = utf8(batch.column(text))
-                got = []
-                for lo, hi in chunks([len(t or b"") for t in texts], shard_bytes):
-                    got += phrases.find(texts[lo:hi])
-                if again:
-                    old = zip(batch.column(spans_name).to_pylist(), batch.column(items_name).to_pylist(), strict=True)
-                    got = [(s + [(x["start"], x["end"]) for x in was], i | set(names)) for (s, i), (was, names) in zip(got, old, strict=True)]
-                    batch = batch.select(batch.schema.names[:-2])
-                spans = [[{"start": a, "end": b} for a, b in merged(s)] for s, _ in got]
-                yield append(batch, made, spans, [sorted(i) for _, i in got])
-
-        if following is None and finish:
-            last, result = finish(schema, spans_name, items_name)
-            return map_batches(out, lambda batches, search=search: last(search(batches)), result)
-        out = map_batches(out, search, schema)
-        if following is None:
-            return out
-        out, phrases, n = stage(out, "spans"), following, n + 1
+    send = docs.sparkSession.sparkContext.broadcast
+    sent = [send(block) for block in blocks(benchmark, item=item, text=item_text, window=window, block_bytes=block_bytes)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = arrow_schema(schema)
+        for batch in batches:
+            texts = utf8(batch.column(text))
+            spans, found = [], []
+            for lo, hi in chunks([len(t or b"") for t in texts], shard_bytes):
+                shard = Shard(texts[lo:hi])
+                got = sent[0].value.find(shard)
+                for block in sent[1:]:
+                    for (was, names), (more, others) in zip(got, block.value.find(shard), strict=True):
+                        was.extend(more)
+                        names.update(others)
+                    with contextlib.suppress(AttributeError):
+                        del block._value  # the next block takes its place in memory
+                spans += [[{"start": a, "end": b} for a, b in merged(s)] for s, _ in got]
+                found += [sorted(i, key=lambda x: (x is None, x)) for _, i in got]
+            yield append(batch, made, spans, found)
+
+    if finish:
+        last, result = finish(schema, spans_name, items_name)
+        return map_batches(docs, lambda batches: last(search(batches)), result)
+    return map_batches(docs, search, schema)
 
 
 def digest(schema: T.StructType, spans: str, items: str, *, key: str = "doc_id", text: str = "text") -> Pass:
-    """Words, hit words, items and their digest for each text."""
+    """Words, hit words, items and their digest for each text; an item without an id counts, but isn't in the digest."""
     fields = [T.StructField(key, schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items"))]
     made = T.StructType([*fields, T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
 
@@ -264,7 +292,7 @@ def digest(schema: T.StructType, spans: str, items: str, *, key: str = "doc_id",
             hit = [sum(x["end"] - x["start"] for x in s) for s in batch.column(spans).to_pylist()]
             names = batch.column(items).to_pylist()
             arrays = [batch.column(key), pa.array(count, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64())]
-            arrays += [pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hit])]
+            arrays += [pa.array([hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in names], pa.string()), pa.array([h > 0 for h in hit])]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
 
     return run, made

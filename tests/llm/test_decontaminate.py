@@ -17,7 +17,7 @@ def brute(docs, items, n=10):
     for name, text in items:
         w = brute_words(text)
         for i in range(max(1, len(w) - n + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(name))
+            windows.setdefault(tuple(w[i : i + n]), set()).add(name)
     sizes = {len(k) for k in windows}
     out = []
     for key, text in docs:
@@ -29,7 +29,7 @@ def brute(docs, items, n=10):
                 if own:
                     hit.update(range(i, i + size))
                     names |= own
-        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        digest = hashlib.sha256(",".join(sorted(str(x) for x in names if x is not None)).encode()).hexdigest()
         out.append((key, len(w), len(hit), len(names), digest, bool(hit)))
     return sorted(out, key=str)
 
@@ -47,7 +47,7 @@ def test_small_vocabulary_and_blocks(spark):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice("ab") + rng.choice(["", "É"]) for _ in range(n))
     docs = [(i, text(rng.randrange(120))) for i in range(40)] + [(50, None), (51, ""), (52, "a a"), (52, "a a"), (None, text(200))]
-    items = [(i, text(rng.randrange(1, 14))) for i in range(12)] + [(20, None), (21, "..."), (3, text(8)), (22, "solo")]
+    items = [(i, text(rng.randrange(1, 14))) for i in range(12)] + [(20, None), (21, "..."), (3, text(8)), (22, "solo"), (None, text(3)), (None, text(12))]
     docs_df = spark.createDataFrame(docs, "doc_id long, text string")
     items_df = spark.createDataFrame(items, "item_id long, text string")
     for size in (8 << 20, 60):
@@ -58,6 +58,33 @@ def test_small_vocabulary_and_blocks(spark):
     assert decontaminate.find(docs_df.where("false"), items_df).count() == 0
 
 
+def test_item_without_id_and_sql(spark):
+    """Null and repeated ids: hits count, the null id has no name, and the SQL says the same."""
+    import duckdb
+
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, f"x {item} y"), (2, "solo"), (3, None), (4, f"{item} solo {item}"), (4, f"{item} solo {item}")]
+    items = [(None, item), (5, "solo"), (5, "solo"), (6, None)]
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.report(docs_df, items_df).collect()), key=str)
+    assert got == brute(docs, items)
+    assert got[0][2:4] == (11, 1) and got[0][4] == hashlib.sha256(b"").hexdigest() and got[0][5]
+    c = duckdb.connect()
+    own = docs_df.where("doc_id < 4").toArrow(), items_df.toArrow()  # the SQL takes ids as unique
+    c.register("documents", own[0])
+    c.register("benchmark", own[1])
+    want = c.execute(decontaminate.ORACLE_SQL).fetchall()
+    assert sorted(want, key=str) == got[:3]
+
+
+def test_suffix_array_of_copies():
+    rng = random.Random(6)
+    for _ in range(30):
+        part = [rng.randrange(1, 4) for _ in range(rng.randrange(1, 40))]
+        whole = part * rng.randrange(1, 6) + [rng.randrange(1, 70_000) for _ in range(rng.randrange(4))] + [0]
+        assert decontaminate.suffix_array(np.array(whole)).tolist() == sorted(range(len(whole)), key=lambda i: whole[i:])
+
+
 def test_remove(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"Before, {item.upper()}! After."), (2, item), (3, "..."), (4, None)], "items long, text string")
