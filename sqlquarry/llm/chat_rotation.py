@@ -4,9 +4,11 @@ Every participant of a conversation (each speaker but ``system``) gets a renderi
 they are the assistant, the others are users with their names, and system turns stay; only what the assistant says,
 with its end mark, is to be learnt.  Masks are half-open ranges of characters.
 
-A long dialogue comes in segments of at most ``SEGMENT`` turns, so no row grows without bound: segments are numbered
-from 0, ``first_char`` is where a segment begins in the whole rendering, and masks count from there.  Turns are in
-order of number, then speaker, then text.
+A long dialogue comes in segments of ``SEGMENT`` turns, the last one with the rest, so no row grows without bound:
+segments are numbered from 0, ``first_char`` is where a segment begins in the whole rendering, and masks count from
+there.  Turns are in order of number, then speaker, then text.  A turn's place is its place among the turns of a range
+of numbers plus the count of those before, so a long dialogue is sorted by many tasks; what is added up over a whole
+dialogue are counts and lengths, never texts, and segments meet the participants in groups of ``GROUP``.
 
 Defined results: a null text is empty; a null speaker is a user named ``unknown`` and no participant; a null turn
 comes first; null conversation ids are one conversation; repeated rows are repeated turns; a conversation without a
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 256
+SEGMENT, GROUP = 256, 64
 _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -34,11 +36,16 @@ def rotate(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn
         F.col(speaker).alias("s"),
         _plain(F.coalesce(F.col(text), F.lit(""))).alias("x"),
     ).withColumn("block", F.coalesce(F.floor(F.col("t") / SEGMENT), F.lit(-(1 << 60))))
-    place = Window.partitionBy("c", "block").orderBy("t", "s", "x")
-    rows = rows.withColumn("part", F.floor((F.row_number().over(place) - 1) / SEGMENT))
-    segments = rows.groupBy("c", "block", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("t", F.lit(-(1 << 62))).alias("t"), F.coalesce("s", F.lit("")).alias("o"), "x", "s"))).alias("turns"))
-    people = rows.where(F.col("s").isNotNull() & (F.col("s") != system)).select(F.col("c").alias("k"), F.col("s").alias("me")).distinct()
-    both = segments.join(people, F.col("c").eqNullSafe(F.col("k")))
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(F.col("c").alias("k"), F.col("block").alias("b")).agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("k")))
+    place = F.row_number().over(Window.partitionBy("c", "block").orderBy("t", "s", "x"))
+    rows = rows.withColumn("place", place).join(blocks, F.col("c").eqNullSafe(F.col("k")) & (F.col("block") == F.col("b")))
+    rows = rows.withColumn("segment", F.floor((F.col("first") + F.col("place") - 1) / SEGMENT)).withColumn("last", F.floor((F.col("all") - 1) / SEGMENT)).drop("k")
+    segments = rows.groupBy("c", "segment", "last").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("t", F.lit(-(1 << 62))).alias("t"), F.coalesce("s", F.lit("")).alias("o"), "x", "s"))).alias("turns"))
+    people = rows.where(F.col("s").isNotNull() & (F.col("s") != system)).groupBy(F.col("c").alias("k"), F.col("s").alias("me")).agg(F.max("last").alias("l"))
+    people = people.select("k", "me", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("l") / GROUP))).alias("g"))
+    both = segments.join(people, F.col("c").eqNullSafe(F.col("k")) & (F.floor(F.col("segment") / GROUP) == F.col("g")))
 
     def head(t: Column) -> Column:
         name = F.replace(_plain(F.coalesce(t["s"], F.lit("unknown"))), F.lit("\n"), F.lit(" "))
@@ -53,15 +60,19 @@ def rotate(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn
     made = made.select(
         F.col("c").alias(conversation),
         F.col("me").alias("perspective"),
-        "block",
-        "part",
+        "segment",
+        "last",
         F.size("turns").cast("long").alias("n_turns"),
+        F.aggregate("size", F.lit(0).cast("long"), lambda a, n: a + n).alias("chars"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
         mask.alias("mask"),
     )
-    order = Window.partitionBy(conversation, "perspective").orderBy("block", "part")
-    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return made.select(conversation, "perspective", (F.row_number().over(order) - 1).cast("long").alias("segment"), "n_turns", before.cast("long").alias("first_char"), "text", "mask")
+    order = Window.partitionBy("k", "p").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    several = made.where(F.col("last") > 0).select(F.col(conversation).alias("k"), F.col("perspective").alias("p"), F.col("segment").alias("g"), "chars")
+    several = several.select("k", "p", "g", F.sum("chars").over(order).alias("before"))
+    at = F.col(conversation).eqNullSafe(F.col("k")) & (F.col("perspective") == F.col("p")) & (F.col("segment") == F.col("g"))
+    made = made.join(several, at, "left")
+    return made.select(conversation, "perspective", F.col("segment").cast("long").alias("segment"), "n_turns", F.coalesce("before", F.lit(0)).cast("long").alias("first_char"), "text", "mask")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -39,6 +39,14 @@ def normal_share(z: np.ndarray) -> np.ndarray:
     return np.where(z > 0, 1 - tail, tail)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest component to 0.5 to 1: no square overflows or
+    vanishes, and the cosine stays the same."""
+    power = -np.frexp(np.abs(x).max(axis=1))[1]
+    half = power // 2
+    return np.ldexp(np.ldexp(x, half[:, None]), (power - half)[:, None])
+
+
 class HashTable:
     """One p-stable hash table of unit vectors."""
 
@@ -74,7 +82,7 @@ class ShardIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, *, tables: int, functions: int, width: float):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids[order], scaled(vectors[order])
         self.norm = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         unit = self.vectors / self.norm[:, None]
         self.unit = unit.astype(np.float32)
@@ -82,6 +90,7 @@ class ShardIndex:
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, near: float, success: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and exact cosines of its best candidates."""
+        queries = scaled(queries)
         norm = np.sqrt((queries * queries).sum(axis=1))
         unit = queries / norm[:, None]
         candidate = np.zeros((len(queries), len(self.ids)), dtype=bool)
@@ -118,6 +127,7 @@ def nearness(rows: DataFrame, count: int, k: int, sample: int) -> float:
     x = np.array([v for v in got if len(v) == size])
     if len(x) <= k:
         return 0.0
+    x = scaled(x)
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     cosine = x[:400] @ x.T
     cosine[np.arange(len(cosine)), np.arange(len(cosine))] = -2

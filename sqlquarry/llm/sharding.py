@@ -7,7 +7,7 @@ a fine prefix are summed, their sums rolled up to all shorter prefixes, and the
 rows of cells that are still too large go on to finer cells.
 
 Rows whose whole hash is equal (one key repeated) can't be told apart by bits.  They go on overflow pages of the
-bucket, filled in order of their text's hash; a page holds more than ``limit`` bytes only if one row alone does.
+bucket, numbered from 0; a page holds more than ``limit`` bytes only if one row alone does.
 
 Cells grow with the number of shards, not of rows; they are joined to rows by the cell, so no side needs to be
 broadcast (Spark may, by its size).
@@ -28,7 +28,8 @@ from ._common import fresh, stage
 BITS = 60
 #: Cells that a shard's bytes are dealt to, as a power of two.
 _FINE = 6
-_SALTS = 64
+#: Pages of a part of the rows of one hash; rows of which at least ``_MANY`` fit a page are paged by their sum.
+_PART, _MANY = 256, 64
 
 
 def key_hash(*keys: str) -> Column:
@@ -90,21 +91,26 @@ def shard(docs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), text: str = "
 
 
 def _pages(rows: DataFrame, limit: int, text: str) -> DataFrame:
-    """Overflow pages: rows of one hash dealt to parts, pages numbered within each part, parts one after the other.
+    """Overflow pages: the rows of one hash, dealt to parts of about ``_PART`` pages, by how many fit a page.
 
-    A part's running sum is cut every ``limit`` less the largest row, so a page of several rows fits.
+    Rows of which k fit a page, but not k + 1, go k to a page, up to ``_MANY``; smaller ones by their running sum, cut
+    every ``limit`` less the largest of them.  So no page of several rows is larger than ``limit``, each part and kind
+    has one page at most that is less than half full, and pages of one hash are numbered without gaps.
     """
-    parts = rows.withColumn("part", F.pmod(F.xxhash64(F.col("row")[text], F.monotonically_increasing_id()), F.lit(_SALTS)))
-    parts = stage(parts, "overflow")
-    most = parts.groupBy("h").agg(F.max("bytes").alias("most"))
-    order = Window.partitionBy("h", "part").orderBy(F.xxhash64(F.col("row")[text]))
+    sums = rows.groupBy("h").agg(F.ceil(F.sum("bytes") / F.lit(_PART * limit)).cast("int").alias("ways"))
+    dealt = rows.withColumn("x", F.xxhash64(F.col("row")[text])).join(sums, "h")
+    dealt = dealt.withColumn("part", F.pmod(F.hash("x", F.monotonically_increasing_id()), F.greatest("ways", F.lit(1))))
+    dealt = dealt.withColumn("k", F.least(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(_MANY)).cast("int")).withColumn("k", F.greatest("k", F.lit(1)))
+    parts = stage(dealt.drop("ways"), "overflow")
+    order = Window.partitionBy("h", "part", "k").orderBy("x")
     run = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
-    own = parts.join(most, "h").withColumn("step", F.greatest(F.lit(1), F.lit(limit) - F.col("most") + 1))
-    own = own.withColumn("g", F.floor(run / F.col("step")))
-    count = own.groupBy("h", "part").agg((F.max("g") + 1).alias("n"))
-    before = count.withColumn("first", F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    own = own.join(before.select("h", "part", F.coalesce("first", F.lit(0)).alias("first")), ["h", "part"])
-    return own.withColumn("g", (F.col("g") + F.col("first")).cast("long")).drop("part", "most", "step", "first")
+    step = F.lit(limit) - F.lit(limit // _MANY) + 1
+    own = parts.withColumn("g", F.when(F.col("k") < _MANY, F.floor((F.row_number().over(order) - 1) / F.col("k"))).otherwise(F.floor(run / step)).cast("long"))
+    count = own.groupBy("h", "part", "k").agg((F.max("g") + 1).alias("n"))
+    before = Window.partitionBy("h").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
+    first = count.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = own.join(first, ["h", "part", "k"])
+    return own.withColumn("g", (F.col("g") + F.col("first")).cast("long")).drop("part", "k", "x", "first")
 
 
 def directory(found: DataFrame) -> DataFrame:

@@ -106,3 +106,12 @@ def test_neighbour_edges(spark):
         assert {r["query_id"] for r in got} == {50, 100, 200, 600}
     assert nearest_neighbours.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
     assert nearest_neighbours.search(df.where("vec_id = 50 and embedding[0] = 1"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_huge_and_tiny_components(spark):
+    """Squares that overflow or vanish: the cosine is that of the vectors brought to a common size."""
+    base = [(50, [3.0, 4.0, 0.0]), (1, [3.0, 4.0, 1.0]), (2, [-3.0, 4.0, 0.0]), (3, [0.0, 0.0, 2.0])]
+    docs = lambda size: spark.createDataFrame([(i, [x * size for x in v]) for i, v in base], "vec_id long, embedding array<double>")
+    found = [[tuple(r) for r in nearest_neighbours.search(docs(size), F.col("vec_id") % 50 == 0, success=1.0).orderBy("rank").collect()] for size in (1.0, 2.0**660, 2.0**-600)]
+    assert found[0] == found[1] == found[2] and [r[2] for r in found[0]] == [1, 2, 3]
+    assert abs(found[0][0][3] - 25 / (5 * 26**0.5)) < 1e-12

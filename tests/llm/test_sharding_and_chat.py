@@ -52,6 +52,19 @@ def test_small_limit_and_repeated_keys(spark):
     assert len({r["slot"] for r in slots}) == len(slots)
 
 
+@pytest.mark.parametrize(("sizes", "least"), [([10] * 50 + [150], 6), ([10] * 2000 + [99], 201), ([1] * 3000 + [60] * 40 + [30] * 90, 100)])
+def test_overflow_pages_are_few_and_numbered(spark, sizes, least):
+    rows = [(5, "x" * n) for n in sizes]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), limit=100).collect()
+    pages = defaultdict(list)
+    for r in got:
+        pages[r["page"]].append(r["n_bytes"])
+    assert sorted(n for p in pages.values() for n in p) == sorted(sizes)
+    assert all(sum(p) <= 100 or len(p) == 1 for p in pages.values())
+    assert sorted(pages) == list(range(len(pages)))
+    assert least <= len(pages) <= 1.1 * least + 2
+
+
 def test_empty_tables(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert chat_rotation.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -74,7 +87,14 @@ def brute_chat(turns):
     return out
 
 
-def test_rotation_against_brute_force(spark):
+def test_segments_count_turns_not_numbers(spark):
+    turns = [(1, 300 * i, ("ann", "bob")[i % 2], f"t{i}") for i in range(20)] + [(2, i * 7, "ann", f"u{i}") for i in range(600)]
+    got = chat_rotation.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"], r["perspective"], r["segment"], r["n_turns"]) for r in got) == [(1, "ann", 0, 20), (1, "bob", 0, 20), (2, "ann", 0, 256), (2, "ann", 1, 256), (2, "ann", 2, 88)]
+
+
+def test_rotation_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chat_rotation, "GROUP", 2)
     turns = [(1, 0, "system", "Be <|im_start|> nice"), (1, 1, "ann", "hé"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "who?"), (1, None, "ann", "first"), (1, 4, "c\nd", "")]
     turns += [(None, 1, "x", "y"), (2, 1, "system", "alone"), (3, 10**12, "late", "z")] + [(4, i % 700, ("ann", "bob", "cy")[i % 3], f"t{i}") for i in range(2000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
