@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where that is unset (tests on one machine) a temporary folder stands in for it.
+    Only where that is unset and all tasks run in the driver's process (tests) a temporary folder stands in for it;
+    on a cluster it must be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.sqlquarry.scratch", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sqlquarry-")
         spark.conf.set("spark.sqlquarry.scratch", named)
     return named.rstrip("/")
