@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,20 +65,17 @@ def decoded(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
-def _ends_with(path: Column, endings: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for ending in endings:
-        out = out | F.endswith(path, F.lit(ending))
-    return out
+def ending_glob(endings: tuple[str, ...]) -> str:
+    """The glob that lists files by their endings: other files are not opened, whatever their size."""
+    return f"*{{{','.join(endings)}}}"
 
 
 def read_sources(spark: SparkSession, folder: str, *, endings: tuple[str, ...] = SOURCE_ENDINGS, file_filter: Column | None = None) -> DataFrame:
     """(file_path, content) of the source files below a folder; bytes that aren't UTF-8 are left out.
 
-    The ending is matched as it is written. Files are filtered before their content is read.
+    The ending is matched as it is written, when files are listed; ``file_filter`` acts on what has been read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.where(_ends_with(F.col("path"), endings))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ending_glob(endings)).load(folder)
     if file_filter is not None:
         files = files.where(file_filter)
     return files.select(F.col("path").alias("file_path"), decoded(F.col("content")).alias("content"))
@@ -92,7 +91,7 @@ def read_benchmark_scripts(spark: SparkSession, folder: str, directories: tuple[
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """(file_path, file_type, content) of small descriptive files directly in a folder."""
-    files = spark.read.format("binaryFile").load(folder).where((F.col("length") < METADATA_BYTES) & _ends_with(F.col("path"), METADATA_ENDINGS))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", ending_glob(METADATA_ENDINGS)).load(folder).where(F.col("length") < METADATA_BYTES)
     name = F.substring_index("path", "/", -1)
     return files.select(name.alias("file_path"), names.extension(name).alias("file_type"), decoded(F.col("content")).alias("content"))
 
@@ -124,13 +123,21 @@ def read_delimited(spark: SparkSession, path: str, *, header: bool = True, delim
     return wide.where(F.col("_unread").isNull() | ~empty).drop("_unread")
 
 
-def import_delimited_tree(spark: SparkSession, folder: str, *, pattern: str = "*/*") -> dict[tuple[str, str], DataFrame]:
-    """Tables of a tree of delimited files: (directory, file name up to its first dot) to DataFrame."""
+def import_delimited_tree(spark: SparkSession, folder: str, *, pattern: str = "*/*", errors: dict[str, str] | None = None) -> dict[tuple[str, str], DataFrame]:
+    """Tables of a tree of delimited files: (directory, file name up to its first dot) to DataFrame.
+
+    A file that can't be read as a table raises, or, with ``errors``, is named there with the reason.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     glob = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
     found = glob.getFileSystem(conf).globStatus(glob)
     out = {}
     for status in found or []:
         path = status.getPath()
-        out[path.getParent().getName(), path.getName().split(".")[0]] = read_delimited(spark, path.toString())
+        try:
+            out[path.getParent().getName(), path.getName().split(".")[0]] = read_delimited(spark, path.toString())
+        except (PySparkException, Py4JJavaError) as e:
+            if errors is None:
+                raise
+            errors[path.toString()] = str(e).splitlines()[0]
     return out

@@ -48,12 +48,17 @@ def _own_dir(spark: SparkSession) -> str:
     return own
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder for a table that goes when the driver ends."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The table is read again with its own schema, so an empty one keeps its columns.
     """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..extract.strings import extract_sql
 from ..functions import names
-from ..sources import SOURCE_ENDINGS, _ends_with, decoded
+from ..sources import SOURCE_ENDINGS, decoded, ending_glob
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -16,7 +16,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def source_stream(spark: SparkSession, folder: str, *, files_per_batch: int = 1000) -> DataFrame:
     """(file_path, content) of source files below a folder as they arrive."""
     reader = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True)
-    files = reader.option("maxFilesPerTrigger", files_per_batch).load(folder).where(_ends_with(F.col("path"), SOURCE_ENDINGS))
+    files = reader.option("pathGlobFilter", ending_glob(SOURCE_ENDINGS)).option("maxFilesPerTrigger", files_per_batch).load(folder)
     return files.select(F.col("path").alias("file_path"), decoded(F.col("content")).alias("content"))
 
 

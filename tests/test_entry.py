@@ -34,4 +34,21 @@ def test_entry_without_the_training_text_part(tmp_path):
         if path.name != "llm":
             os.symlink(path, tmp_path / "sqlquarry" / path.name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'query_type_counts' in q and not any(n.startswith('op') for n in q), q; assert e.oracle_sql()"
+    code += """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+assert e.entry(spark).count() > 3 and q['column_usages'](spark, '/root/testdata/sf0.001').count() > 3
+"""
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_entry_with_a_part_that_cannot_be_imported(tmp_path):
+    """A package that is there but lacks one of its own needs is left out, too."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+sys.modules['tokenizers'] = None
+import __spark_entry__ as e
+assert 'query_type_counts' in e.queries() and e.oracle_sql() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -138,3 +138,22 @@ def test_whole_run(spark, tmp_path):
     assert (good.count(), [r["error_message"].split(":")[0] for r in bad.collect()]) == (2, ["TABLE_OR_VIEW_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"])
     assert tuple(pipeline.success_report(good, bad).first()) == (2, 2, 50.0)
     assert tuple(pipeline.success_report(good.limit(0), bad.limit(0)).first()) == (0, 0, 0.0)
+
+
+def test_other_files_are_not_opened(spark, tmp_path):
+    write(f"{tmp_path}/a.py", "x = 1")
+    write(f"{tmp_path}/large.bin", "x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert sources.read_sources(spark, str(tmp_path)).count() == 1
+        assert [r["content"] for r in sources.read_sources(spark, str(tmp_path)).collect()] == ["x = 1"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_import_counts_errors(spark, tmp_path):
+    write(f"{tmp_path}/me/good.csv", "a,b\n1,2\n")
+    write(f"{tmp_path}/me/torn.csv.gz", "not compressed")
+    errors = {}
+    got = sources.import_delimited_tree(spark, str(tmp_path), errors=errors)
+    assert set(got) == {("me", "good")} and [os.path.basename(p) for p in errors] == ["torn.csv.gz"]
