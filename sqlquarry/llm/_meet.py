@@ -122,7 +122,7 @@ def _block(number: int, ranges: int, items: list[np.ndarray], info: list) -> pa.
         both = sums[:, counts[a:b][own]].astype("<u4").tobytes()
         rows.append((r, number, b - a, pack(sent[a:b]), _sparse(np.where(own, 1, counts[a:b])), both))
     stays = pickle.dumps((info, own_tf.astype(np.uint32)))
-    rows.append((number % ranges, number, -len(own_keys) - 1, pack(own_keys), b"", stays))
+    rows.append(((number + (number >> 36) * 31) % ranges, number, -len(own_keys) - 1, pack(own_keys), b"", stays))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(_ROW), strict=True)], schema=arrow_schema(_ROW))
 
 
