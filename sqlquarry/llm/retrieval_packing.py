@@ -1,12 +1,12 @@
 """Packing of token sequences by lexical retrieval.
 
-Every seed text is compared with all texts of the corpus that are not used yet.  The texts of an input partition are cut to
-index shards of at most ``shard_bytes``; a shard has postings, and their BM25 weights come from the number
-of texts, the mean length and the document frequencies of the whole corpus.  All seeds meet every shard, and their
-best lists are merged.
+A seed text asks with its ``query_words`` strongest words (those that add most to its own BM25 score), and every unused
+text of the corpus that has one of them is scored.  The texts of an input partition are cut to index shards of at most
+``shard_bytes``, each with its postings; document frequencies, the number of texts and their mean length are those of
+the whole corpus.  All seeds of a round meet every shard, and their best lists are merged.
 
 A seed opens a window of ``length`` tokens, and the unused texts that BM25 ranks next to it fill what room it
-leaves, best first; where no unused text shares a word with it, the next unused text does.  A text that crosses the
+leaves, best first; where no unused text has one of its words, the next unused text does.  A text that crosses the
 end of a window is cut there, and its rest seeds the next window of its chain.  Chains advance side by side, each by
 one window a round, and take texts in turn.  A list is cut after ``_NEAR`` texts; a window that finds all of them
 used asks again in the next round, for twice as many, so the cut leaves nobody out.  Equally near texts come in an
@@ -14,11 +14,14 @@ order of each seed's own, so that the seeds of one group of copies don't all ask
 left, the windows still open are joined one after the other, so every window is full but the last, and that one is
 cut to sequences whose lengths are powers of two, which need no padding.
 
-The work grows with windows times unused texts.  The driver holds a length and a flag for each text; a task holds
-one shard, and the words of a round's seeds.
+Words that few texts of a shard have are scored posting by posting, others by a product of matrices, so a group of
+copies whose words a third of all texts have costs no list of pairs.  The driver holds a length and a flag for each
+text and sends a round's queries, at most ``_CHAINS`` of ``query_words`` words; a task holds one shard and a few best
+texts of each seed.
 
 Defined results: a null or empty text is just the end id; repeated rows are packed as often as they come and
-ids may repeat; an empty table gives no row.
+ids may repeat; a text without words has no neighbours; an empty table gives no row.  Only the key and the text are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -36,90 +39,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import arrow_schema, map_batches, small_batches, stage
+from ._meet import BITS, pack as packed, ranges_for, unpack
 from ._text import Words, mix
 from ._tokens import tokenizer
 
-_CHAINS, _NEAR, _MOST, _FLUSH = 4096, 32, 2048, 500_000
-#: Words in more than this share of the texts are scored by a dense product.
-_DENSE = 0.1
-_CELLS = 200_000
-
-
-class Bm25:
-    """BM25 scores between a few texts, in the classic form whose weights can be negative.
-
-    Terms that only one text has and those whose weight isn't positive (in more than half of the texts) cannot
-    change an order and have no postings.
-    """
-
-    def __init__(self, texts: list[bytes], k1: float = 1.2, b: float = 0.75):
-        w = Words(texts)
-        n = self.n = len(texts)
-        length = np.diff(w.offset)
-        _, term = np.unique(w.hash, return_inverse=True)
-        text = np.repeat(np.arange(n), length)
-        pair, tf = np.unique(term.astype(np.int64) * n + text, return_counts=True)
-        term, text = pair // n, pair % n
-        df = np.bincount(term) if len(term) else np.zeros(0, np.int64)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        keep = ((df > 1) & (idf > 0))[term]
-        term, self.text, tf = term[keep], text[keep], tf[keep]
-        norm = k1 * (1 - b + b * length / max(1.0, length.mean()))
-        self.weight = idf[term] * tf * (k1 + 1) / (tf + norm[self.text])
-        _, self.term, count = np.unique(term, return_inverse=True, return_counts=True)
-        self.size = count
-        self.first = np.cumsum(count) - count
-        by_text = np.argsort(self.text, kind="stable")
-        self.terms = self.term[by_text]
-        self.own = np.concatenate(([0], np.cumsum(np.bincount(self.text, minlength=n))))
-
-    def scores(self, seed: int) -> np.ndarray:
-        """The score of every text for all words of one as the query."""
-        terms = self.terms[self.own[seed] : self.own[seed + 1]]
-        size = self.size[terms]
-        ends = np.cumsum(size)
-        if not len(ends):
-            return np.zeros(self.n)
-        at = np.arange(ends[-1]) + np.repeat(self.first[terms] - ends + size, size)
-        return np.bincount(self.text[at], weights=self.weight[at], minlength=self.n)
-
-
-def fill(tokens: list[int], scores, length: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (text, first token, number of tokens); ``scores(i)`` gives every text's nearness to text i."""
-    n, used, windows = len(tokens), np.zeros(len(tokens), dtype=bool), []
-    following, rest = 0, None
-    while True:
-        while following < n and used[following]:
-            following += 1
-        if rest is None:
-            if following == n:
-                break
-            rest = (following, 0)
-            used[following] = True
-        window: list[tuple[int, int, int]] = []
-        room, seed, near = length, rest[0], None
-        while rest is not None:
-            text, start = rest
-            size = min(room, tokens[text] - start)
-            window.append((text, start, size))
-            room -= size
-            rest = (text, start + size) if start + size < tokens[text] else None
-            if not room or rest is not None:
-                break
-            if near is None:
-                near = scores(seed)
-                near[used] = 0
-            best = int(near.argmax())
-            if near[best] <= 0:
-                while following < n and used[following]:
-                    following += 1
-                if following == n:
-                    break
-                best = following
-            used[best], near[best] = True, 0
-            rest = (best, 0)
-        windows.append(window)
-    return windows
+_CHAINS, _NEAR, _MOST, _FLUSH = 1 << 16, 32, 2048, 500_000
+#: Words that more than one in so many texts of a shard have are scored by a product of matrices.
+_DENSE = 64
+_CELLS = 400_000
+#: Pieces up to so many bytes go to all executors, more are joined.
+_BROADCAST = 32 << 20
 
 
 def powers(window: list[tuple[int, int, int]], length: int) -> list[list[tuple[int, int, int]]]:
@@ -149,59 +78,103 @@ def postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     n, length = len(texts), np.diff(w.offset)
     terms, term = np.unique(w.hash, return_inverse=True)
     pair, tf = np.unique(term.astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
-    return terms, np.bincount(pair // n, minlength=len(terms)), (pair % n).astype("<i4"), tf.astype("<i4"), length.astype("<i8")
+    return terms, np.bincount(pair // max(1, n), minlength=len(terms)), pair % max(1, n), tf, length
 
 
-class Shard:
-    """The postings of an index shard, of its unused texts only.
+def narrow(x: np.ndarray) -> bytes:
+    """Integers from 0 in as few bytes as the largest needs, after their width."""
+    width = next(k for k in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * k))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
 
-    A word's weight is log(1 + (N - df + 0.5) / (df + 0.5)), which is positive for every word.
+def widen(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def idf(texts: int, df: np.ndarray) -> np.ndarray:
+    """Positive for every word."""
+    return np.log1p((texts - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: np.ndarray, size: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+
+
+def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, texts: int, mean: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The postings, by text, of each text's ``most`` words that add most to its own score, and where each text's begin.
+
+    Words of one text only find nothing and are left out; equal ones go by their place.
     """
+    term = np.repeat(np.arange(len(df)), count)
+    found = np.flatnonzero(df[term] > 1)
+    weight = idf(texts, df)[term[found]] * saturation(tf[found], size[text[found]], mean)
+    order = np.lexsort((-weight, text[found]))
+    whose = text[found][order]
+    rank = np.arange(len(order)) - np.searchsorted(whose, whose)
+    kept = found[order[rank < most]]
+    return term[kept], np.searchsorted(text[kept], np.arange(len(size) + 1))
+
 
-    def __init__(self, terms: np.ndarray, df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, used: np.ndarray, texts: int, mean: float, k1: float = 1.2, b: float = 0.75):
+class Shard:
+    """The postings of an index shard, of its unused texts only."""
+
+    def __init__(self, terms: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, used: np.ndarray, mean: float):
         self.left = np.flatnonzero(~used)
-        self.terms, self.n = terms, len(self.left)
-        keep = ~used[text]
-        left = np.concatenate(([0], np.cumsum(keep)))
+        self.n, self.terms, self.ends, self.count = len(self.left), terms, np.cumsum(count), count
+        self.text, self.tf, self.size, self.used, self.mean = text, tf, size, used, mean
+        self.number = np.cumsum(~used) - 1
+
+    def scores(self, words: np.ndarray, weight: np.ndarray, word: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(seed, number among the unused, score) of all pairs above 0, seed after seed.
+
+        ``words`` are the ascending hashes of all queries and ``weight`` their IDF; the words of seed ``i`` are those
+        numbered ``word[offset[i]:offset[i + 1]]``.
+        """
+        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        here = np.flatnonzero(self.terms[at] == words)
+        count = self.count[at[here]]
         ends = np.cumsum(count)
-        self.first = left[ends - count]
-        self.size = left[ends] - self.first
-        text, tf = text[keep], tf[keep]
-        idf = np.log1p((texts - df + 0.5) / (df + 0.5))
-        self.weight = np.repeat(idf, self.size) * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / mean))[text])
-        self.text = (np.cumsum(~used, dtype=np.int32) - 1)[text]
-        dense = np.flatnonzero(df > _DENSE * texts)
-        self.column = np.full(len(terms) + 1, -1)
-        self.column[dense] = np.arange(len(dense))
-        self.dense = np.zeros((len(dense), self.n))
-        for row, a, n in zip(self.dense, self.first[dense], self.size[dense], strict=True):
-            row[self.text[a : a + n]] = self.weight[a : a + n]
-
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """Where ascending hashes stand among the terms; the number of terms for unknown ones."""
-        at = np.searchsorted(self.terms, words)
-        inside = np.flatnonzero(at < len(self.terms))
-        at[inside[self.terms[at[inside]] != words[inside]]] = len(self.terms)
-        return at
-
-    def scores(self, at: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Seeds times unused texts; the places of seed ``i``'s words are ``offset[i]`` to ``offset[i + 1]``."""
-        seeds = len(offset) - 1
-        seed = np.repeat(np.arange(seeds), np.diff(offset))
-        known = at < len(self.terms)
-        at, seed = at[known], seed[known]
-        column = self.column[at]
-        query = np.zeros((seeds, len(self.dense)))
-        query[seed[column >= 0], column[column >= 0]] = 1
-        out = query @ self.dense
-        at, seed = at[column < 0], seed[column < 0]
-        size = self.size[at]
-        ends = np.cumsum(size)
-        if len(ends) and ends[-1]:
-            each = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + size, size)
-            cell = np.repeat(seed * self.n, size) + self.text[each]
-            out += np.bincount(cell, weights=self.weight[each], minlength=seeds * self.n).reshape(seeds, self.n)
-        return out
+        each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[at[here]] - ends, count)
+        own = np.repeat(np.arange(len(here)), count)
+        free = ~self.used[self.text[each]]
+        each, own = each[free], own[free]
+        value = weight[here[own]] * saturation(self.tf[each], self.size[self.text[each]], self.mean)
+        doc = self.number[self.text[each]]
+        size = np.bincount(own, minlength=len(here))
+        first = np.cumsum(size) - size
+        place = np.full(len(words), -1)
+        place[here[size > 0]] = np.flatnonzero(size)
+        column = np.full(len(here), -1)
+        dense = np.flatnonzero(size * _DENSE > self.n)
+        column[dense] = np.arange(len(dense))
+        table = np.zeros((len(dense), self.n))
+        many = column[own] >= 0
+        table[column[own[many]], doc[many]] = value[many]
+        asked = np.flatnonzero(place[word] >= 0)
+        seed = np.searchsorted(offset, asked, "right") - 1
+        term = place[word[asked]]
+        seeds, seed = np.unique(seed, return_inverse=True)
+        bound = np.searchsorted(seed, np.arange(len(seeds) + 1))
+        step = max(1, _CELLS // max(1, self.n))
+        for lo in range(0, len(seeds), step):
+            hi = min(len(seeds), lo + step)
+            t, s = term[bound[lo] : bound[hi]], seed[bound[lo] : bound[hi]] - lo
+            in_table = column[t] >= 0
+            few, whose = t[~in_table], s[~in_table]
+            ends = np.cumsum(size[few])
+            each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[few] - ends + size[few], size[few])
+            cell = np.repeat(whose, size[few]) * self.n + doc[each]
+            if in_table.any():
+                query = np.zeros((hi - lo, len(dense)))
+                query[s[in_table], column[t[in_table]]] = 1
+                score = (query @ table).ravel()
+                np.add.at(score, cell, value[each])
+                cell = np.flatnonzero(score)
+                score = score[cell]
+            else:
+                cell, which = np.unique(cell, return_inverse=True)
+                score = np.bincount(which, weights=value[each], minlength=len(cell))
+            yield seeds[lo + cell // self.n], cell % self.n, score
 
 
 def best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,6 +286,7 @@ def pack(
     vocabulary: str = "word_bpe_49k.json",
     end_id: int = 2,
     length: int = 4096,
+    query_words: int = 32,
     shard_bytes: int = 6 << 20,
     with_ids: bool = False,
 ) -> DataFrame:
@@ -325,7 +299,7 @@ def pack(
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     blobs = ("tokens", "lengths", "terms", "count", "text", "tf")
-    rows = T.StructType([T.StructField("d", T.LongType()), T.StructField("k", kind), T.StructField("ids", T.BinaryType()), T.StructField("shard", T.LongType())])
+    rows = T.StructType([T.StructField("d", T.LongType()), T.StructField("k", kind), T.StructField("ids", T.BinaryType()), T.StructField("shard", T.LongType()), T.StructField("n", T.IntegerType())])
     rows = T.StructType([*rows.fields, *(T.StructField(n, T.BinaryType()) for n in blobs)])
 
     def cut(keys: list, texts: list[str], first: int) -> Iterator[pa.RecordBatch]:
@@ -337,11 +311,11 @@ def pack(
         for lo in range(0, n, 500):
             own = range(lo, min(n, lo + 500))
             columns = [[first + i for i in own], [keys[i] for i in own], [ids[i].tobytes() for i in own]]
-            columns += [[None] * len(own)] * (1 + len(blobs))
+            columns += [[None] * len(own)] * (2 + len(blobs))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
         terms, count, at, tf, size = postings([t.encode("utf-8", "surrogatepass") for t in texts])
-        made = [np.array([len(x) for x in ids], "<i8"), size, terms.astype("<u8"), count.astype("<i4"), at, tf]
-        columns = [[None], [None], [None], [first], *([x.tobytes()] for x in made)]
+        made = [narrow(np.array([len(x) for x in ids])), narrow(size), packed(terms), narrow(count), narrow(at), narrow(tf)]
+        columns = [[None], [None], [None], [first], [len(terms)], *([x] for x in made)]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,15 +337,16 @@ def pack(
 
     cuts = stage(map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, rows), "packing-texts")
     whole = cuts.where("shard is null").select("d", "k", "ids")
-    shards = cuts.where("shard is not null")
+    index = cuts.where("shard is not null").select("shard", "n", *blobs)
 
-    found = sorted((r["shard"], bytes(r["tokens"]), r["words"]) for r in _sized(shards).collect())
+    found = sorted((r["shard"], bytes(r["tokens"]), r["words"]) for r in _sized(index).collect())
     starts = np.array([r[0] for r in found], dtype=np.int64)
-    parts = [np.frombuffer(r[1], "<i8").astype(np.int32) for r in found]
+    parts = [widen(r[1]).astype(np.int32) for r in found]
     offset = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
     tokens = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    n, mean = len(tokens), max(1.0, sum(r[2] for r in found) / max(1, len(tokens)))
-    index = _index(shards)
+    words = sum(r[2] for r in found)
+    n, mean = len(tokens), max(1.0, words / max(1, len(tokens)))
+    queries = stage(_queries(index, 8 * words, n, mean, query_words), "packing-queries")
 
     chains, flushed = Chains(tokens, length), []
 
@@ -389,11 +364,11 @@ def pack(
         names = ("d", "start", "length", "sequence_id", "offset")
         columns[0] = named(columns[0]) if len(columns[0]) else columns[0]
         made = spark.createDataFrame(pa.table({k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)}))
-        flushed.append(stage(made, "packing-pieces"))
+        flushed.append((len(columns[0]), stage(made, "packing-pieces")))
         chains.out = [array("q") for _ in chains.out]
 
     while len((asked := chains.seeds())[0]):
-        chains.take([numbered(x) for x in _search(index, named(asked[0]), asked[1], chains.used, starts, offset, mean)])
+        chains.take([numbered(x) for x in _search(index, queries, named(asked[0]), asked[1], chains.used, starts, offset, mean)])
         if len(chains.out[0]) >= _FLUSH:
             flush()
     chains.end()
@@ -413,7 +388,9 @@ def pack(
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    grouped = reduce(DataFrame.union, flushed).groupBy("d").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("own"))
+    grouped = reduce(DataFrame.union, [f for _, f in flushed]).groupBy("d").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("own"))
+    if sum(m for m, _ in flushed) * 64 <= _BROADCAST:
+        grouped = F.broadcast(grouped)
     return map_batches(whole.join(grouped, "d").select("k", "ids", "own"), pieces, schema)
 
 
@@ -423,139 +400,112 @@ def _sized(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [int(np.frombuffer(x, "<i8").sum()) for x in batch.column("lengths").to_pylist()]
+            words = [int(widen(x).sum()) for x in batch.column("lengths").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("tokens").cast(pa.binary()), pa.array(words, pa.int64())], schema=arrow_schema(schema))
 
     return map_batches(shards.select("shard", "tokens", "lengths"), run, schema)
 
 
-def _index(shards: DataFrame) -> DataFrame:
-    """The shards with the document frequencies of the whole corpus; words of one text only have no postings."""
-    pair = T.StructType([T.StructField("shard", T.LongType()), T.StructField("term", T.LongType()), T.StructField("count", T.IntegerType()), T.StructField("place", T.IntegerType())])
-    made = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("terms", "df", "count", "text", "tf", "lengths"))])
+def _queries(index: DataFrame, size: int, texts: int, mean: float, most: int) -> DataFrame:
+    """(shard, offset, words, df): the strongest words of each text with their document frequencies.
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, terms, count in zip(*(batch.column(c).to_pylist() for c in ("shard", "terms", "count")), strict=True):
-                own = np.frombuffer(terms, "<i8")
-                columns = [np.full(len(own), shard), own, np.frombuffer(count, "<i4"), np.arange(len(own), dtype=np.int32)]
-                for lo in range(0, len(own), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in columns], schema=arrow_schema(pair))
+    Words are counted by ranges of their hashes: a shard sends a range its words and how many texts have each, and
+    gets their sums over all shards.
+    """
+    ranges = ranges_for(size)
+    part = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("terms", T.BinaryType()), T.StructField("count", T.BinaryType())])
+    sums = T.StructType([T.StructField("shard", T.LongType()), T.StructField("range", T.IntegerType()), T.StructField("df", T.BinaryType())])
+    made = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("offset", "words", "df"))])
+    edge = np.array([-(-(r << BITS) // ranges) << (64 - BITS) for r in range(1, ranges)], dtype=np.uint64)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                terms, count = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["count"], "<i4").astype(np.int64)
-                text, tf, size = np.frombuffer(row["text"], "<i4"), np.frombuffer(row["tf"], "<i4"), np.frombuffer(row["lengths"], "<i8")
-                df = np.zeros(len(terms), np.int64)
-                for x in row["seen"] or []:
-                    df[np.frombuffer(x["seen"], "<i4")] = np.frombuffer(x["df"], "<i8")
-                keep = df > 1
-                kept = np.repeat(keep, count)
-                own = [terms[keep], df[keep], count[keep].astype("<i4"), text[kept], tf[kept], size]
-                arrays = [pa.array([row["shard"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in own)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema(made))
-
-    part = T.StructType([T.StructField("shard", T.LongType()), T.StructField("seen", T.BinaryType()), T.StructField("df", T.BinaryType())])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From rows in order of their terms: each shard's own terms that several texts have, and of how many."""
-
-        def made_of(shard: np.ndarray, term: np.ndarray, count: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-            _, run, rows = np.unique(term, return_inverse=True, return_counts=True)
-            df = np.bincount(run, weights=count, minlength=len(rows)).astype(np.int64)[run]
-            order = np.lexsort((place, shard))
-            order = order[df[order] > 1]
-            own, begin = np.unique(shard[order], return_index=True)
-            ends = [*begin[1:].tolist(), len(order)]
-            blobs = [[x[order[a:b]].tobytes() for a, b in zip(begin, ends, strict=True)] for x in (place.astype("<i4"), df)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], schema=arrow_schema(part))
-
-        held, n = [], 0
+            for shard, n, terms, count in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "terms", "count")), strict=True):
+                terms, count = unpack(terms, n), widen(count)
+                bound = np.concatenate(([0], np.searchsorted(terms, edge), [n]))
+                rows = [(r, shard, int(b - a), packed(terms[a:b]), narrow(count[a:b])) for r, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(part), strict=True)], schema=arrow_schema(part))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[tuple]) -> pa.RecordBatch:
+            terms = np.concatenate([unpack(x[3], x[2]) for x in held])
+            _, name = np.unique(terms, return_inverse=True)
+            df = np.bincount(name, weights=np.concatenate([widen(x[4]) for x in held])).astype(np.int64)[name]
+            ends = np.cumsum([x[2] for x in held])
+            rows = [(x[1], x[0], narrow(df[b - x[2] : b])) for x, b in zip(held, ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(sums), strict=True)], schema=arrow_schema(sums))
+
+        held: list[tuple] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= 1_000_000:
-                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-                a = int(np.searchsorted(whole[1], whole[1][-1]))  # the last term may go on
-                if a:
-                    yield from made_of(*(c[:a] for c in whole))
-                held = [[c[a:] for c in whole]]
-                n = len(whole[0]) - a
-        if n:
-            yield from made_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    seen = map_batches(shards.select("shard", "terms", "count"), counts, pair)
-    own = map_batches(seen.repartition("term").sortWithinPartitions("term"), sums, part)
-    own = own.groupBy("shard").agg(F.collect_list(F.struct("seen", "df")).alias("seen"))
-    return stage(map_batches(shards.join(own, "shard", "left").select("shard", "lengths", "terms", "count", "text", "tf", "seen"), weigh, made), "packing-index")
-
-
-def _search(index: DataFrame, seeds: np.ndarray, most: np.ndarray, used: np.ndarray, starts: np.ndarray, offset: np.ndarray, mean: float) -> list[np.ndarray]:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield close(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield close(held)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                df = np.concatenate([widen(x["df"]) for x in sorted(row["sums"], key=lambda x: x["range"])])
+                term, offset = strongest(df, widen(row["count"]), widen(row["text"]), widen(row["tf"]), widen(row["lengths"]), texts, mean, most)
+                terms = unpack(row["terms"], row["n"])
+                arrays = [[row["shard"]], [narrow(offset)], [terms[term].tobytes()], [narrow(df[term])]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, arrow_schema(made), strict=True)], schema=arrow_schema(made))
+
+    dealt = map_batches(index.select("shard", "n", "terms", "count"), send, part).repartition("range").sortWithinPartitions("range")
+    own = map_batches(dealt, add, sums).groupBy("shard").agg(F.collect_list(F.struct("range", "df")).alias("sums"))
+    return map_batches(index.select("shard", "n", "lengths", "terms", "count", "text", "tf").join(own, "shard"), choose, made)
+
+
+def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.ndarray, used: np.ndarray, starts: np.ndarray, offset: np.ndarray, mean: float) -> list[np.ndarray]:
     """The ``most`` unused texts of the whole corpus that are nearest to each seed, best first."""
     context, n = index.sparkSession.sparkContext, len(used)
     wanted = context.broadcast(np.unique(seeds))
-    told = T.StructType([T.StructField("d", T.LongType()), T.StructField("words", T.BinaryType())])
+    told = T.StructType([T.StructField("d", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("df", T.BinaryType())])
+    size_of = dict(zip(starts.tolist(), np.diff(offset).tolist(), strict=True))
+    first_of = dict(zip(starts.tolist(), offset[:-1].tolist(), strict=True))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, terms, count, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "terms", "count", "text")), strict=True):
-                text = np.frombuffer(text, "<i4")
-                last = shard + offset_of[shard]
-                own = wanted.value[(wanted.value >= shard) & (wanted.value < last)] - shard
-                if not len(own) or not len(text):
+            for shard, at, words, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.searchsorted(wanted.value, [shard, shard + size_of[shard]])
+                if a == b:
                     continue
-                flag = np.zeros(offset_of[shard], dtype=bool)
-                flag[own] = True
-                hit = np.flatnonzero(flag[text])
-                hash_ = np.frombuffer(terms, "<u8")[np.searchsorted(np.cumsum(np.frombuffer(count, "<i4")), hit, "right")]
-                order = np.argsort(text[hit], kind="stable")
-                hash_, whose = hash_[order], text[hit][order]
-                ends = np.searchsorted(whose, own, "right")
-                begins = np.searchsorted(whose, own, "left")
-                data = [hash_[a:b].tobytes() for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own + shard, pa.int64()), pa.array(data, pa.binary())], schema=arrow_schema(told))
-
-    sizes = np.diff(offset)
-    offset_of = dict(zip(starts.tolist(), sizes.tolist(), strict=True))
-    got = {r["d"]: bytes(r["words"]) for r in map_batches(index.select("shard", "terms", "count", "text"), words, told).collect()}
-    query = [np.frombuffer(got.get(int(s), b""), "<u8") for s in seeds]
+                own, at, words, df = wanted.value[a:b], widen(at), np.frombuffer(words, "<u8"), widen(df)
+                rows = [(d, words[at[d - shard] : at[d - shard + 1]].tobytes(), df[at[d - shard] : at[d - shard + 1]].tobytes()) for d in own.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow_schema(told), strict=True)], schema=arrow_schema(told))
+
+    got = {r["d"]: (bytes(r["words"]), bytes(r["df"])) for r in map_batches(queries.select("shard", "offset", "words", "df"), ask, told).collect()}
+    query = [np.frombuffer(got.get(int(s), (b"", b""))[0], "<u8") for s in seeds]
+    df = [np.frombuffer(got.get(int(s), (b"", b""))[1], "<i8") for s in seeds]
     ends = np.concatenate(([0], np.cumsum([len(q) for q in query])))
-    names, word = np.unique(np.concatenate(query), return_inverse=True)
-    asked = context.broadcast((names, word.astype(np.int32), ends, np.packbits(used)))
-    first_of = dict(zip(starts.tolist(), offset[:-1].tolist(), strict=True))
+    names, at, word = np.unique(np.concatenate(query), return_index=True, return_inverse=True)
+    weight = idf(n, np.concatenate(df)[at])
+    asked = context.broadcast((names, weight, word.astype(np.int32), ends, np.packbits(used)))
     listed = T.StructType([T.StructField("seed", T.LongType()), T.StructField("d", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def rows(seed, doc, score) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.float64())], schema=arrow_schema(listed))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, word, ends, flags = asked.value
+        names, weight, word, ends, flags = asked.value
         flags = np.unpackbits(flags)
         least, own = np.zeros(len(ends) - 1), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for batch in batches:
             for row in batch.to_pylist():
                 at = first_of[row["shard"]]
-                taken = flags[at : at + offset_of[row["shard"]]].astype(bool)
-                if taken.all():
+                taken = flags[at : at + size_of[row["shard"]]].astype(bool)
+                if taken.all() or not row["n"] or not len(names):
                     continue
-                kinds = (("terms", "<u8"), ("df", "<i8"), ("count", "<i4"), ("text", "<i4"), ("tf", "<i4"), ("lengths", "<i8"))
-                shard = Shard(*(np.frombuffer(row[c], kind) for c, kind in kinds), taken, n, mean)
-                step = max(1, _CELLS // shard.n)
-                place = shard.places(names)[word]
+                shard = Shard(unpack(row["terms"], row["n"]), *(widen(row[c]) for c in ("count", "text", "tf", "lengths")), taken, mean)
                 parts = [own]
-                for lo in range(0, len(least), step):
-                    hi = min(len(least), lo + step)
-                    score = shard.scores(place[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
-                    floor = least[lo:hi].copy()
-                    for k in np.unique(most[lo:hi][floor == 0]):
-                        if k < shard.n:
-                            own_k = np.flatnonzero((most[lo:hi] == k) & (floor == 0))
-                            floor[own_k] = np.partition(score[own_k], shard.n - k, axis=1)[:, shard.n - k]
-                    s, d = np.nonzero((score >= floor[:, None] - 1e-6) & (score > 0))
-                    parts.append((s + lo, shard.left[d] + row["shard"], np.round(score[s, d], 6)))
+                for s, d, score in shard.scores(names, weight, word, ends):
+                    score = np.round(score, 6)
+                    keep = (score >= least[s]) & (score > 0)
+                    parts.append((s[keep], shard.left[d[keep]] + row["shard"], score[keep]))
                 own = best(*(np.concatenate(c) for c in zip(*parts, strict=True)), most)
                 full = np.bincount(own[0], minlength=len(least)) == most
                 last = np.searchsorted(own[0], np.arange(len(least)), "right") - 1
@@ -568,7 +518,7 @@ def _search(index: DataFrame, seeds: np.ndarray, most: np.ndarray, used: np.ndar
             own = best(*(np.concatenate((a, b.to_numpy())) for a, b in zip(own, batch.columns, strict=True)), most)
         yield rows(*own)
 
-    lists = map_batches(map_batches(index, search, listed).repartition("seed"), merge, listed).toArrow()
+    lists = map_batches(map_batches(index.select("shard", "n", "terms", "count", "text", "tf", "lengths"), search, listed).repartition("seed"), merge, listed).toArrow()
     seed, doc, score = (lists.column(c).to_numpy() for c in ("seed", "d", "score"))
     seed, doc, _ = best(seed, doc, score, most)
     wanted.destroy()
