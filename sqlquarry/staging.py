@@ -53,12 +53,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table is read again with its own schema, so an empty one keeps its columns.
+    The table is read again with its own schema, so an empty one keeps its columns.  ``by`` names a column of few
+    values, whose rows get a folder for each.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("maxConcurrentOutputFileWriters", 8).partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
