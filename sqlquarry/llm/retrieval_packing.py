@@ -1,7 +1,7 @@
 """Packing of token sequences by lexical retrieval.
 
-A seed text asks with its ``query_words`` strongest words (those that add most to its own BM25 score), and every unused
-text of the corpus that has one of them is scored.  The texts of an input partition are cut to index shards of at most
+A seed text asks with its strongest words: those that add most to its own BM25 score, up to ``query_words`` and no more
+than make up ``query_share`` of that score.  Every unused text of the corpus that has one of them is scored.  The texts of an input partition are cut to index shards of at most
 ``shard_bytes``, each with its postings; document frequencies, the number of texts and their mean length are those of
 the whole corpus.  All seeds of a round meet every shard, and their best lists are merged.
 
@@ -14,7 +14,7 @@ order of each seed's own, so that the seeds of one group of copies don't all ask
 left, the windows still open are joined one after the other, so every window is full but the last, and that one is
 cut to sequences whose lengths are powers of two, which need no padding.
 
-Words that few texts of a shard have are scored posting by posting, others by a product of matrices, so a group of
+Words are 52 bits of their hashes.  Words that few texts of a shard have are scored posting by posting, others by a product of matrices, so a group of
 copies whose words a third of all texts have costs no list of pairs.  The driver holds a length and a flag for each
 text and sends a round's queries, at most ``_CHAINS`` of ``query_words`` words; a task holds one shard and a few best
 texts of each seed.
@@ -39,14 +39,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import arrow_schema, map_batches, small_batches, stage
-from ._meet import BITS, pack as packed, ranges_for, unpack
+from ._meet import BITS, ORDINAL, pack as packed, ranges_for, unpack
 from ._text import Words, mix
 from ._tokens import tokenizer
 
-_CHAINS, _NEAR, _MOST, _FLUSH = 1 << 16, 32, 2048, 500_000
+_ROUNDS, _CHAINS, _NEAR, _MOST, _FLUSH = 8, 1 << 16, 8, 2048, 500_000
 #: Words that more than one in so many texts of a shard have are scored by a product of matrices.
 _DENSE = 64
 _CELLS = 400_000
+#: Scores that a task gathers before it keeps each seed's best.
+_HELD = 500_000
+#: Groups of seeds whose lists are merged by one task each.
+_GROUPS = 64
 #: Pieces up to so many bytes go to all executors, more are joined.
 _BROADCAST = 32 << 20
 
@@ -73,12 +77,18 @@ def powers(window: list[tuple[int, int, int]], length: int) -> list[list[tuple[i
 
 
 def postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as hashes, ascending; the number of texts of each; the text and frequency of each posting; lengths."""
+    """Words as 52 bits of their hashes, ascending; the number of texts of each; the text and frequency of each
+    posting; lengths.  There are at most 2 ** ORDINAL texts."""
     w = Words(texts)
-    n, length = len(texts), np.diff(w.offset)
-    terms, term = np.unique(w.hash, return_inverse=True)
-    pair, tf = np.unique(term.astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
-    return terms, np.bincount(pair // max(1, n), minlength=len(terms)), pair % max(1, n), tf, length
+    length = np.diff(w.offset)
+    keys = (w.hash >> np.uint64(64 - BITS) << np.uint64(ORDINAL)) | np.repeat(np.arange(len(texts), dtype=np.uint64), length)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    tf = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    terms = keys >> np.uint64(ORDINAL)
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(keys) else first
+    return terms[first], np.diff(np.append(first, len(keys))), (keys & np.uint64((1 << ORDINAL) - 1)).astype(np.int64), tf, length
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -100,19 +110,23 @@ def saturation(tf: np.ndarray, size: np.ndarray, mean: float, k1: float = 1.2, b
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
 
 
-def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, texts: int, mean: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The postings, by text, of each text's ``most`` words that add most to its own score, and where each text's begin.
+def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, texts: int, mean: float, most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The words, by text, that each text asks with, and where each text's begin.
 
-    Words of one text only find nothing and are left out; equal ones go by their place.
+    They are the words that add most to its own score, up to ``most``, and no more than make up ``share`` of it.
+    Words of one text only find nothing and are left out; equal ones go by their hash.
     """
     term = np.repeat(np.arange(len(df)), count)
     found = np.flatnonzero(df[term] > 1)
     weight = idf(texts, df)[term[found]] * saturation(tf[found], size[text[found]], mean)
     order = np.lexsort((-weight, text[found]))
-    whose = text[found][order]
-    rank = np.arange(len(order)) - np.searchsorted(whose, whose)
-    kept = found[order[rank < most]]
-    return term[kept], np.searchsorted(text[kept], np.arange(len(size) + 1))
+    whose, weight = text[found][order], weight[order]
+    begin = np.searchsorted(whose, whose)
+    total = np.bincount(whose, weights=weight, minlength=len(size))
+    before = np.concatenate(([0.0], np.cumsum(weight)))
+    before = before[:-1] - before[begin]
+    kept = (np.arange(len(order)) - begin < most) & (before < share * total[whose] - 1e-6)
+    return term[found[order[kept]]], np.searchsorted(whose[kept], np.arange(len(size) + 1))
 
 
 class Shard:
@@ -164,16 +178,13 @@ class Shard:
             ends = np.cumsum(size[few])
             each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[few] - ends + size[few], size[few])
             cell = np.repeat(whose, size[few]) * self.n + doc[each]
+            score = np.bincount(cell, weights=value[each], minlength=(hi - lo) * self.n).astype(np.float64, copy=False)
             if in_table.any():
                 query = np.zeros((hi - lo, len(dense)))
                 query[s[in_table], column[t[in_table]]] = 1
-                score = (query @ table).ravel()
-                np.add.at(score, cell, value[each])
-                cell = np.flatnonzero(score)
-                score = score[cell]
-            else:
-                cell, which = np.unique(cell, return_inverse=True)
-                score = np.bincount(which, weights=value[each], minlength=len(cell))
+                score += (query @ table).ravel()
+            cell = np.flatnonzero(score)
+            score = score[cell]
             yield seeds[lo + cell // self.n], cell % self.n, score
 
 
@@ -197,7 +208,7 @@ class Chains:
         windows = -(-int(tokens.sum()) // length)
         self.open: list[dict] = []
         self.out = [array("q") for _ in range(5)]
-        for _ in range(min(_CHAINS, max(1, windows // 16), len(tokens))):
+        for _ in range(min(_CHAINS, max(1, windows // _ROUNDS), len(tokens))):
             own = {"window": [], "room": length, "seed": None, "most": _NEAR}
             self.open.append(own)
             self._place(own, self._next(), 0)
@@ -286,7 +297,8 @@ def pack(
     vocabulary: str = "word_bpe_49k.json",
     end_id: int = 2,
     length: int = 4096,
-    query_words: int = 32,
+    query_words: int = 16,
+    query_share: float = 0.5,
     shard_bytes: int = 6 << 20,
     with_ids: bool = False,
 ) -> DataFrame:
@@ -300,7 +312,7 @@ def pack(
 
     blobs = ("tokens", "lengths", "terms", "count", "text", "tf")
     rows = T.StructType([T.StructField("d", T.LongType()), T.StructField("k", kind), T.StructField("ids", T.BinaryType()), T.StructField("shard", T.LongType()), T.StructField("n", T.IntegerType())])
-    rows = T.StructType([*rows.fields, *(T.StructField(n, T.BinaryType()) for n in blobs)])
+    rows = T.StructType([*rows.fields, *(T.StructField(n, T.BinaryType()) for n in blobs), T.StructField("kind", T.StringType())])
 
     def cut(keys: list, texts: list[str], first: int) -> Iterator[pa.RecordBatch]:
         """A row for each text, and one for the shard."""
@@ -311,11 +323,11 @@ def pack(
         for lo in range(0, n, 500):
             own = range(lo, min(n, lo + 500))
             columns = [[first + i for i in own], [keys[i] for i in own], [ids[i].tobytes() for i in own]]
-            columns += [[None] * len(own)] * (2 + len(blobs))
+            columns += [[None] * len(own)] * (2 + len(blobs)) + [["text"] * len(own)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
         terms, count, at, tf, size = postings([t.encode("utf-8", "surrogatepass") for t in texts])
         made = [narrow(np.array([len(x) for x in ids])), narrow(size), packed(terms), narrow(count), narrow(at), narrow(tf)]
-        columns = [[None], [None], [None], [first], [len(terms)], *([x] for x in made)]
+        columns = [[None], [None], [None], [first], [len(terms)], *([x] for x in made), ["shard"]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +337,7 @@ def pack(
         held = 0
         for batch in batches:
             for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if texts and held + len(t or "") > shard_bytes:
+                if texts and (held + len(t or "") > shard_bytes or len(texts) == 1 << ORDINAL):
                     yield from cut(keys, texts, first)
                     first += len(keys)
                     keys, texts, held = [], [], 0
@@ -335,9 +347,9 @@ def pack(
         if texts:
             yield from cut(keys, texts, first)
 
-    cuts = stage(map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, rows), "packing-texts")
-    whole = cuts.where("shard is null").select("d", "k", "ids")
-    index = cuts.where("shard is not null").select("shard", "n", *blobs)
+    cuts = stage(map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, rows), "packing-texts", by="kind")
+    whole = cuts.where("kind = 'text'").select("d", "k", "ids")
+    index = cuts.where("kind = 'shard'").select("shard", "n", *blobs)
 
     found = sorted((r["shard"], bytes(r["tokens"]), r["words"]) for r in _sized(index).collect())
     starts = np.array([r[0] for r in found], dtype=np.int64)
@@ -346,7 +358,7 @@ def pack(
     tokens = np.concatenate(parts) if parts else np.empty(0, np.int32)
     words = sum(r[2] for r in found)
     n, mean = len(tokens), max(1.0, words / max(1, len(tokens)))
-    queries = stage(_queries(index, 8 * words, n, mean, query_words), "packing-queries")
+    queries = stage(_queries(index, 8 * words, n, mean, query_words, query_share).coalesce(max(2, len(starts) // 16)), "packing-queries")
 
     chains, flushed = Chains(tokens, length), []
 
@@ -406,7 +418,7 @@ def _sized(shards: DataFrame) -> DataFrame:
     return map_batches(shards.select("shard", "tokens", "lengths"), run, schema)
 
 
-def _queries(index: DataFrame, size: int, texts: int, mean: float, most: int) -> DataFrame:
+def _queries(index: DataFrame, size: int, texts: int, mean: float, most: int, share: float) -> DataFrame:
     """(shard, offset, words, df): the strongest words of each text with their document frequencies.
 
     Words are counted by ranges of their hashes: a shard sends a range its words and how many texts have each, and
@@ -416,7 +428,7 @@ def _queries(index: DataFrame, size: int, texts: int, mean: float, most: int) ->
     part = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("shard", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("terms", T.BinaryType()), T.StructField("count", T.BinaryType())])
     sums = T.StructType([T.StructField("shard", T.LongType()), T.StructField("range", T.IntegerType()), T.StructField("df", T.BinaryType())])
     made = T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in ("offset", "words", "df"))])
-    edge = np.array([-(-(r << BITS) // ranges) << (64 - BITS) for r in range(1, ranges)], dtype=np.uint64)
+    edge = np.array([-(-(r << BITS) // ranges) for r in range(1, ranges)], dtype=np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,7 +462,7 @@ def _queries(index: DataFrame, size: int, texts: int, mean: float, most: int) ->
         for batch in batches:
             for row in batch.to_pylist():
                 df = np.concatenate([widen(x["df"]) for x in sorted(row["sums"], key=lambda x: x["range"])])
-                term, offset = strongest(df, widen(row["count"]), widen(row["text"]), widen(row["tf"]), widen(row["lengths"]), texts, mean, most)
+                term, offset = strongest(df, widen(row["count"]), widen(row["text"]), widen(row["tf"]), widen(row["lengths"]), texts, mean, most, share)
                 terms = unpack(row["terms"], row["n"])
                 arrays = [[row["shard"]], [narrow(offset)], [terms[term].tobytes()], [narrow(df[term])]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, arrow_schema(made), strict=True)], schema=arrow_schema(made))
@@ -485,41 +497,55 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
     names, at, word = np.unique(np.concatenate(query), return_index=True, return_inverse=True)
     weight = idf(n, np.concatenate(df)[at])
     asked = context.broadcast((names, weight, word.astype(np.int32), ends, np.packbits(used)))
-    listed = T.StructType([T.StructField("seed", T.LongType()), T.StructField("d", T.LongType()), T.StructField("score", T.DoubleType())])
+    listed = T.StructType([T.StructField("group", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("seed", "d", "score"))])
+    kinds = ("<i4", "<i8", "<f8")
 
-    def rows(seed, doc, score) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.float64())], schema=arrow_schema(listed))
+    def row(group: int, own: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(own, kinds, strict=True))], schema=arrow_schema(listed))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weight, word, ends, flags = asked.value
         flags = np.unpackbits(flags)
         least, own = np.zeros(len(ends) - 1), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        parts = [own]
+
+        def keep() -> tuple:
+            own = best(*(np.concatenate(c) for c in zip(*parts, strict=True)), most)
+            full = np.bincount(own[0], minlength=len(least)) == most
+            last = np.searchsorted(own[0], np.arange(len(least)), "right") - 1
+            least[:] = np.where(full, own[2][last] if len(own[2]) else 0.0, 0.0)
+            return own
+
         for batch in batches:
-            for row in batch.to_pylist():
-                at = first_of[row["shard"]]
-                taken = flags[at : at + size_of[row["shard"]]].astype(bool)
-                if taken.all() or not row["n"] or not len(names):
+            for row_ in batch.to_pylist():
+                at = first_of[row_["shard"]]
+                taken = flags[at : at + size_of[row_["shard"]]].astype(bool)
+                if taken.all() or not row_["n"] or not len(names):
                     continue
-                shard = Shard(unpack(row["terms"], row["n"]), *(widen(row[c]) for c in ("count", "text", "tf", "lengths")), taken, mean)
-                parts = [own]
+                shard = Shard(unpack(row_["terms"], row_["n"]), *(widen(row_[c]) for c in ("count", "text", "tf", "lengths")), taken, mean)
                 for s, d, score in shard.scores(names, weight, word, ends):
                     score = np.round(score, 6)
-                    keep = (score >= least[s]) & (score > 0)
-                    parts.append((s[keep], shard.left[d[keep]] + row["shard"], score[keep]))
-                own = best(*(np.concatenate(c) for c in zip(*parts, strict=True)), most)
-                full = np.bincount(own[0], minlength=len(least)) == most
-                last = np.searchsorted(own[0], np.arange(len(least)), "right") - 1
-                least = np.where(full, own[2][last] if len(own[2]) else 0.0, 0.0)
-        yield rows(*own)
+                    kept = (score >= least[s]) & (score > 0)
+                    parts.append((s[kept], shard.left[d[kept]] + row_["shard"], score[kept]))
+                if sum(len(x[0]) for x in parts) > _HELD:
+                    parts = [keep()]
+        own = keep()
+        for group in range(_GROUPS):
+            some = own[0] % _GROUPS == group
+            if some.any():
+                yield row(group, tuple(x[some] for x in own))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        own: dict[int, tuple] = {}
         for batch in batches:
-            own = best(*(np.concatenate((a, b.to_numpy())) for a, b in zip(own, batch.columns, strict=True)), most)
-        yield rows(*own)
-
-    lists = map_batches(map_batches(index.select("shard", "n", "terms", "count", "text", "tf", "lengths"), search, listed).repartition("seed"), merge, listed).toArrow()
-    seed, doc, score = (lists.column(c).to_numpy() for c in ("seed", "d", "score"))
+            for group, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                more = tuple(np.frombuffer(x, k) for x, k in zip(blobs, kinds, strict=True))
+                own[group] = best(*(np.concatenate(c) for c in zip(own[group], more, strict=True)), most) if group in own else more
+        for group, found in own.items():
+            yield row(group, found)
+
+    lists = map_batches(map_batches(index.select("shard", "n", "terms", "count", "text", "tf", "lengths"), search, listed).repartition("group"), merge, listed).collect()
+    seed, doc, score = (np.concatenate([np.empty(0, k), *(np.frombuffer(r[c], k) for r in lists)]) for c, k in zip(("seed", "d", "score"), kinds, strict=True))
     seed, doc, _ = best(seed, doc, score, most)
     wanted.destroy()
     asked.destroy()

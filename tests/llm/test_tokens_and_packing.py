@@ -99,8 +99,13 @@ def corpus_scores(texts, seed, query_words, k1=1.2, b=0.75):
         return np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(own) / avg))
 
     strong = sorted((t for t in df if df[t] > 1), key=lambda t: -weight(t, docs[seed]))
-    tied = len(strong) > query_words and weight(strong[query_words - 1], docs[seed]) - weight(strong[query_words], docs[seed]) < 1e-9
-    return None if tied else np.array([sum(weight(t, own) for t in strong[:query_words]) for own in docs])
+    total, before, asked = sum(weight(t, docs[seed]) for t in strong), 0.0, []
+    for t in strong[:query_words]:
+        if before < 0.5 * total - 1e-6:
+            asked.append(t)
+        before += weight(t, docs[seed])
+    tied = len(strong) > len(asked) and weight(asked[-1], docs[seed]) - weight(strong[len(asked)], docs[seed]) < 1e-9
+    return None if tied else np.array([sum(weight(t, own) for t in asked) for own in docs])
 
 
 @pytest.mark.parametrize(("shard_bytes", "query_words", "dense"), [(300, 32, 64), (6 << 20, 32, 64), (900, 5, 1), (900, 5, 10**6)])
