@@ -308,10 +308,10 @@ def new_tables_anti(spark: SparkSession, sf: str) -> DataFrame:
     return relational.without(table(spark, sf, "customer").select("c_custkey"), known, {"c_custkey": "o_custkey"})
 
 
-@query("SELECT concat('u', c_custkey) AS url FROM customer WHERE concat('u', c_custkey) NOT IN (SELECT concat('u', o_custkey) FROM orders)")
+@query("SELECT concat('u', c_custkey) AS url FROM customer WHERE concat('u', c_custkey) NOT IN (SELECT concat('u', o_custkey) FROM orders WHERE o_custkey % 3 = 0)")
 def pending_urls(spark: SparkSession, sf: str) -> DataFrame:
     listed = table(spark, sf, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("url"))
-    return relational.pending(listed, table(spark, sf, "orders").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("repo_url")))
+    return relational.pending(listed, table(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("repo_url")))
 
 
 @query("""SELECT l_orderkey, string_agg(concat(l_linenumber, ':', l_partkey), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY 1""")
@@ -539,6 +539,31 @@ def extract_sql_from_code(spark: SparkSession, sf: str) -> DataFrame:
     return strings.extract_sql(files).select("file_path", "name", "type", "sql", "line")
 
 
+#: Ending and code of one statement in each language, on the second line, after a comment with another one.
+_LANGUAGES = (
+    (".js", "const q = `select a from t where id = {}`;"),
+    (".ts", "run('select a from t where id = {}');"),
+    (".java", 'String q = "select a " + "from t where id = {}";'),
+    (".kt", 'val q = """select a from t where id = {}"""'),
+    (".go", "q := `select a from t where id = {}`"),
+    (".cpp", 'auto q = R"(select a from t where id = {})";'),
+    (".c", 'char *q = "select a " "from t where id = {}";'),
+    (".cs", 'var q = @"select a from t where id = {}";'),
+)
+
+
+@query("""SELECT concat('f', o_orderkey, ['.js', '.ts', '.java', '.kt', '.go', '.cpp', '.c', '.cs'][1 + o_orderkey % 8]) AS file_path, 'query_1' AS name, 'SELECT' AS type,
+ concat('select a from t where id = ', o_orderkey) AS sql, 2::BIGINT AS line FROM orders""")
+def extract_sql_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    at = (F.col("o_orderkey") % len(_LANGUAGES)).cast("int") + 1
+    code = F.element_at(F.array(*(F.lit(c) for _, c in _LANGUAGES)), at)
+    content = F.concat(F.lit('// "insert into log ( id ) values ( 1 )"\n'), F.replace(code, F.lit("{}"), key), F.lit("\n"))
+    files = spread(table(spark, sf, "orders").select("o_orderkey"))
+    files = files.select(F.concat(F.lit("f"), key, F.element_at(F.array(*(F.lit(e) for e, _ in _LANGUAGES)), at)).alias("file_path"), content.alias("content"))
+    return strings.extract_sql(files).select("file_path", "name", "type", "sql", "line")
+
+
 @query("""SELECT o_orderkey AS query_id, unnest(['o_orderkey', 'o_custkey', 'o_custkey', 'o_totalprice']) AS name, unnest(['SELECT', 'JOIN', 'WHERE', 'ORDER BY']) AS operator_type,
  unnest([NULL, '=', '>', NULL]) AS expression, unnest([NULL, 'c.c_custkey', o_custkey::VARCHAR, NULL]) AS other_operand FROM orders
 UNION ALL SELECT o_orderkey, 'c_custkey', 'JOIN', '=', 'o.o_custkey' FROM orders""")
