@@ -306,11 +306,11 @@ def with_digest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("s8", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
 
 
-def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
+def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 100, digests: bool = True) -> DataFrame:
     """What to remove, one row for each different (id, text).
 
     (id, sha, s8, copies, n_bytes, spans, n_removed, kept_sha256): the first of ``copies`` loses ``spans``, the others
-    all bytes if there are ``length``.
+    all bytes if there are ``length``.  Without ``digests`` there is no ``kept_sha256``, and texts are moved once less.
     """
     small_batches(docs.sparkSession)
     rows = _keyed(docs, key, text)
@@ -322,7 +322,8 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     candidates = stage(found.select("id", "s8", "text", "hashes").dropDuplicates(["id", "s8"]), "candidates")
     cuts = _repeats(_fragments(candidates, length), length).groupBy("id", "s8").agg(F.collect_list("blob").alias("blobs"))
     cuts = cuts.select(F.col("id").alias("i"), F.col("s8").alias("s"), "blobs")
-    own = candidates.drop("hashes").join(cuts, (F.coalesce("id", F.lit(_LAST)) == F.col("i")) & (F.col("s8") == F.col("s")))
+    at = (F.coalesce("id", F.lit(_LAST)) == F.col("i")) & (F.col("s8") == F.col("s"))
+    own = candidates.drop("hashes").join(cuts, at).select("i", "s", "blobs", "text") if digests else cuts
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("s", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
@@ -330,16 +331,17 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
         out = arrow_schema(schema)
         for batch in batches:
             spans, removed, kept = [], [], []
-            for raw, blobs in zip(utf8(batch.column("text")), batch.column("blobs").to_pylist(), strict=True):
+            texts = utf8(batch.column("text")) if digests else [None] * batch.num_rows
+            for raw, blobs in zip(texts, batch.column("blobs").to_pylist(), strict=True):
                 own = _spans(np.frombuffer(b"".join(blobs), dtype="<i4").reshape(-1, 2)).tolist()
                 spans.append([{"start": a, "end": b} for a, b in own])
                 removed.append(sum(b - a for a, b in own))
-                kept.append(hashlib.sha256(cut_bytes(raw, own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("s8"), pa.array(spans, out.field(2).type), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
+                kept.append(hashlib.sha256(cut_bytes(raw, own)).hexdigest() if digests else None)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("s"), pa.array(spans, out.field(2).type), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
 
-    done = map_batches(own.select("id", "s8", "text", "blobs"), merge, schema)
-    out = base.join(done, F.col("id").eqNullSafe(F.col("i")) & (F.col("s8") == F.col("s")), "left")
-    return out.select("id", "sha", "s8", "copies", "n_bytes", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    out = base.join(map_batches(own, merge, schema), at, "left")
+    found = out.select("id", "sha", "s8", "copies", "n_bytes", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return found if digests else found.drop("kept_sha256")
 
 
 def cut_bytes(raw: bytes, spans: list) -> bytes:
@@ -369,7 +371,7 @@ def remove(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
     A character goes if all its bytes do.  Of equal rows one stays.
     """
     small_batches(docs.sparkSession)
-    found = repeats(docs, key=key, text=text, length=length)
+    found = repeats(docs, key=key, text=text, length=length, digests=False)
     plan = found.select(F.col("id").alias("i"), F.col("sha").alias("digest"), "spans", "copies", "n_bytes")
     rows = with_digest(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     rows = rows.select("row", "id", "sha").join(plan, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("digest")))
