@@ -14,8 +14,9 @@ order of each seed's own, so that the seeds of one group of copies don't all ask
 left, the windows still open are joined one after the other, so every window is full but the last, and that one is
 cut to sequences whose lengths are powers of two, which need no padding.
 
-Words are 52 bits of their hashes.  Words that few texts of a shard have are scored posting by posting, others by a product of matrices, so a group of
-copies whose words a third of all texts have costs no list of pairs.  The driver holds a length and a flag for each
+Words are 52 bits of their hashes.  Seeds whose words few texts of a shard have are scored posting by posting, others in a
+cell for each text, of which only the seed's best leave the shard, so a group of copies whose words a third of all texts
+have costs no list of pairs.  The driver holds a length and a flag for each
 text and sends a round's queries, at most ``_CHAINS`` of ``query_words`` words; a task holds one shard and a few best
 texts of each seed.
 
@@ -44,8 +45,8 @@ from ._text import Words, mix
 from ._tokens import tokenizer
 
 _ROUNDS, _CHAINS, _NEAR, _MOST, _FLUSH = 8, 1 << 16, 8, 2048, 500_000
-#: Words that more than one in so many texts of a shard have are scored by a product of matrices.
-_DENSE = 64
+#: Words that more than one in so many texts of a shard have are added as rows, with a cell for each text.
+_DENSE = 16
 _CELLS = 400_000
 #: Scores that a task gathers before it keeps each seed's best.
 _HELD = 500_000
@@ -138,17 +139,22 @@ class Shard:
         self.text, self.tf, self.size, self.used, self.mean = text, tf, size, used, mean
         self.number = np.cumsum(~used) - 1
 
-    def scores(self, words: np.ndarray, weight: np.ndarray, word: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(seed, number among the unused, score) of all pairs above 0, seed after seed.
+    def scores(self, words: np.ndarray, weight: np.ndarray, who: np.ndarray, bound: np.ndarray, most: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(seed, number among the unused, score) of every pair above 0 that may be among its seed's best.
 
-        ``words`` are the ascending hashes of all queries and ``weight`` their IDF; the words of seed ``i`` are those
-        numbered ``word[offset[i]:offset[i + 1]]``.
+        ``words`` are the ascending hashes of all queries and ``weight`` their IDF; the seeds that ask with word ``i``
+        are ``who[bound[i]:bound[i + 1]]``, ascending.  A seed wants ``most`` texts of at least the score ``least``.
         """
-        at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        here = np.flatnonzero(self.terms[at] == words)
-        count = self.count[at[here]]
-        ends = np.cumsum(count)
-        each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[at[here]] - ends, count)
+        if len(words) < len(self.terms):
+            at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+            here = np.flatnonzero(self.terms[at] == words)
+            at = at[here]
+        else:
+            here = np.minimum(np.searchsorted(words, self.terms), len(words) - 1)
+            at = np.flatnonzero(words[here] == self.terms)
+            here = here[at]
+        count = self.count[at]
+        each = _ranges(self.ends[at] - count, count)
         own = np.repeat(np.arange(len(here)), count)
         free = ~self.used[self.text[each]]
         each, own = each[free], own[free]
@@ -156,18 +162,46 @@ class Shard:
         doc = self.number[self.text[each]]
         size = np.bincount(own, minlength=len(here))
         first = np.cumsum(size) - size
-        place = np.full(len(words), -1)
-        place[here[size > 0]] = np.flatnonzero(size)
         column = np.full(len(here), -1)
         dense = np.flatnonzero(size * _DENSE > self.n)
         column[dense] = np.arange(len(dense))
         table = np.zeros((len(dense), self.n))
         many = column[own] >= 0
         table[column[own[many]], doc[many]] = value[many]
-        asked = np.flatnonzero(place[word] >= 0)
-        seed = np.searchsorted(offset, asked, "right") - 1
-        term = place[word[asked]]
-        seeds, seed = np.unique(seed, return_inverse=True)
+
+        asks = np.where(size > 0, bound[here + 1] - bound[here], 0)
+        seed, term = who[_ranges(bound[here], asks)], np.repeat(np.arange(len(here)), asks)
+        order = np.argsort(seed, kind="stable")
+        seeds, seed = np.unique(seed[order], return_inverse=True)
+        term = term[order]
+        hits = np.bincount(seed, weights=size[term], minlength=len(seeds))
+        full = hits * 8 > self.n
+        full[seed[column[term] >= 0]] = True
+        yield from self._few(seeds, seed[~full[seed]], term[~full[seed]], first, size, doc, value)
+        yield from self._many(seeds, seed[full[seed]], term[full[seed]], first, size, doc, value, column, table, most, least)
+
+    def _few(self, seeds, seed, term, first, size, doc, value) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores of seeds with few postings, by sorting these."""
+        done = np.cumsum(size[term])
+        lo = 0
+        while lo < len(seed):
+            hi = int(np.searchsorted(done, (done[lo - 1] if lo else 0) + _CELLS, "right"))
+            hi = int(np.searchsorted(seed, seed[max(lo, hi - 1)], "right"))
+            t = term[lo:hi]
+            each = _ranges(first[t], size[t])
+            cell = np.repeat(seed[lo:hi], size[t]) * self.n + doc[each]
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            new = np.append(True, cell[1:] != cell[:-1])
+            score = np.bincount(np.cumsum(new) - 1, weights=value[each][order])
+            cell = cell[new]
+            yield seeds[cell // self.n], cell % self.n, score
+            lo = hi
+
+    def _many(self, seeds, seed, term, first, size, doc, value, column, table, most, least) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Scores of the others, in a cell for each text; those below as many texts as a seed wants are left out."""
+        name, seed = np.unique(seed, return_inverse=True)
+        seeds = seeds[name]
         bound = np.searchsorted(seed, np.arange(len(seeds) + 1))
         step = max(1, _CELLS // max(1, self.n))
         for lo in range(0, len(seeds), step):
@@ -175,17 +209,24 @@ class Shard:
             t, s = term[bound[lo] : bound[hi]], seed[bound[lo] : bound[hi]] - lo
             in_table = column[t] >= 0
             few, whose = t[~in_table], s[~in_table]
-            ends = np.cumsum(size[few])
-            each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[few] - ends + size[few], size[few])
-            cell = np.repeat(whose, size[few]) * self.n + doc[each]
-            score = np.bincount(cell, weights=value[each], minlength=(hi - lo) * self.n).astype(np.float64, copy=False)
-            if in_table.any():
-                query = np.zeros((hi - lo, len(dense)))
-                query[s[in_table], column[t[in_table]]] = 1
-                score += (query @ table).ravel()
-            cell = np.flatnonzero(score)
-            score = score[cell]
-            yield seeds[lo + cell // self.n], cell % self.n, score
+            cell = np.repeat(whose, size[few]) * self.n + doc[each := _ranges(first[few], size[few])]
+            score = np.bincount(cell, weights=value[each], minlength=(hi - lo) * self.n).astype(np.float64, copy=False).reshape(hi - lo, self.n)
+            rows, columns = s[in_table], column[t[in_table]]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            for k in range(int(place.max(initial=-1)) + 1):
+                score[rows[place == k]] += table[columns[place == k]]
+            wanted = int(most[seeds[lo:hi]].max())
+            floor = least[seeds[lo:hi]]
+            if wanted < self.n:
+                floor = np.maximum(floor, np.partition(score, self.n - wanted, axis=1)[:, self.n - wanted])
+            row, cell = np.nonzero((score > 0) & (score >= floor[:, None] - 1e-5))
+            yield seeds[lo + row], cell, score[row, cell]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i], ..., first[i] + size[i] - 1`` for every ``i``."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
 def best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -496,7 +537,10 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
     ends = np.concatenate(([0], np.cumsum([len(q) for q in query])))
     names, at, word = np.unique(np.concatenate(query), return_index=True, return_inverse=True)
     weight = idf(n, np.concatenate(df)[at])
-    asked = context.broadcast((names, weight, word.astype(np.int32), ends, np.packbits(used)))
+    order = np.argsort(word, kind="stable")
+    who = (np.searchsorted(ends, order, "right") - 1).astype(np.int32)
+    bound = np.searchsorted(word[order], np.arange(len(names) + 1))
+    asked = context.broadcast((names, weight, who, bound, np.packbits(used)))
     listed = T.StructType([T.StructField("group", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("seed", "d", "score"))])
     kinds = ("<i4", "<i8", "<f8")
 
@@ -504,9 +548,9 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
         return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(own, kinds, strict=True))], schema=arrow_schema(listed))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, weight, word, ends, flags = asked.value
+        names, weight, who, bound, flags = asked.value
         flags = np.unpackbits(flags)
-        least, own = np.zeros(len(ends) - 1), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        least, own = np.zeros(len(most)), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         parts = [own]
 
         def keep() -> tuple:
@@ -523,7 +567,7 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
                 if taken.all() or not row_["n"] or not len(names):
                     continue
                 shard = Shard(unpack(row_["terms"], row_["n"]), *(widen(row_[c]) for c in ("count", "text", "tf", "lengths")), taken, mean)
-                for s, d, score in shard.scores(names, weight, word, ends):
+                for s, d, score in shard.scores(names, weight, who, bound, most, least):
                     score = np.round(score, 6)
                     kept = (score >= least[s]) & (score > 0)
                     parts.append((s[kept], shard.left[d[kept]] + row_["shard"], score[kept]))
