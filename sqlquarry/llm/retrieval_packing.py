@@ -48,6 +48,8 @@ _ROUNDS, _CHAINS, _NEAR, _MOST, _FLUSH = 8, 1 << 16, 8, 2048, 500_000
 #: Words that more than one in so many texts of a shard have are added as rows, with a cell for each text.
 _DENSE = 16
 _CELLS = 400_000
+#: Weights are told apart so finely before the strongest are sorted.
+_LEVELS = 256
 #: Scores that a task gathers before it keeps each seed's best.
 _HELD = 500_000
 #: Groups of seeds whose lists are merged by one task each.
@@ -119,17 +121,27 @@ def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarra
     """
     term = np.repeat(np.arange(len(df)), count)
     found = np.flatnonzero(df[term] > 1)
-    weight = idf(texts, df)[term[found]] * saturation(tf[found], size[text[found]], mean)
+    whose = text[found]
+    weight = idf(texts, df)[term[found]] * saturation(tf[found], size[whose], mean)
+    total = np.bincount(whose, weights=weight, minlength=len(size))
+    level = (weight * (_LEVELS - 1) / weight.max(initial=1e-9)).astype(np.int64)
+    least = _level_of(whose, level, len(size), most)
+    found, weight = (x[level >= least[whose]] for x in (found, weight))
     order = np.lexsort((-weight, text[found]))
     whose, weight = text[found][order], weight[order]
     begin = np.searchsorted(whose, whose)
-    total = np.bincount(whose, weights=weight, minlength=len(size))
     before = np.concatenate(([0.0], np.cumsum(weight)))
     before = before[:-1] - before[begin]
     kept = (np.arange(len(order)) - begin < most) & (before < share * total[whose] - 1e-6)
     return term[found[order[kept]]], np.searchsorted(whose[kept], np.arange(len(size) + 1))
 
 
+def _level_of(text: np.ndarray, level: np.ndarray, texts: int, most: int) -> np.ndarray:
+    """The highest level from which up each text has ``most`` postings, 0 if it has fewer."""
+    above = np.bincount(text * _LEVELS + level, minlength=texts * _LEVELS).reshape(texts, _LEVELS)[:, ::-1].cumsum(axis=1)
+    return np.maximum(0, _LEVELS - 1 - (above < most).sum(axis=1))
+
+
 class Shard:
     """The postings of an index shard, of its unused texts only."""
 
