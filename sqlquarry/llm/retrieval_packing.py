@@ -48,8 +48,8 @@ _ROUNDS, _CHAINS, _NEAR, _MOST, _FLUSH = 8, 1 << 16, 8, 2048, 500_000
 #: Words that more than one in so many texts of a shard have are added as rows, with a cell for each text.
 _DENSE = 16
 _CELLS = 400_000
-#: Weights are told apart so finely before the strongest are sorted.
-_LEVELS = 256
+#: Words' weights and texts' scores are told apart so finely before the best are sorted.
+_LEVELS, _STEPS = 256, 64
 #: Scores that a task gathers before it keeps each seed's best.
 _HELD = 500_000
 #: Groups of seeds whose lists are merged by one task each.
@@ -125,7 +125,7 @@ def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarra
     weight = idf(texts, df)[term[found]] * saturation(tf[found], size[whose], mean)
     total = np.bincount(whose, weights=weight, minlength=len(size))
     level = (weight * (_LEVELS - 1) / weight.max(initial=1e-9)).astype(np.int64)
-    least = _level_of(whose, level, len(size), most)
+    least = _level_of(whose, level, _LEVELS, np.full(len(size), most))
     found, weight = (x[level >= least[whose]] for x in (found, weight))
     order = np.lexsort((-weight, text[found]))
     whose, weight = text[found][order], weight[order]
@@ -136,10 +136,10 @@ def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarra
     return term[found[order[kept]]], np.searchsorted(whose[kept], np.arange(len(size) + 1))
 
 
-def _level_of(text: np.ndarray, level: np.ndarray, texts: int, most: int) -> np.ndarray:
-    """The highest level from which up each text has ``most`` postings, 0 if it has fewer."""
-    above = np.bincount(text * _LEVELS + level, minlength=texts * _LEVELS).reshape(texts, _LEVELS)[:, ::-1].cumsum(axis=1)
-    return np.maximum(0, _LEVELS - 1 - (above < most).sum(axis=1))
+def _level_of(own: np.ndarray, level: np.ndarray, levels: int, most: np.ndarray) -> np.ndarray:
+    """The highest level from which up each ``i`` owns ``most[i]``, 0 if it has fewer."""
+    above = np.bincount(own * levels + level, minlength=len(most) * levels).reshape(len(most), levels)[:, ::-1].cumsum(axis=1)
+    return np.maximum(0, levels - 1 - (above < most[:, None]).sum(axis=1))
 
 
 class Shard:
@@ -243,6 +243,12 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``most[i]`` best texts of each seed ``i``, best first."""
+    if len(seed):
+        top = np.zeros(len(most))
+        np.maximum.at(top, seed, score)
+        level = (score * (_STEPS - 1) / top[seed]).astype(np.int64)
+        near = level >= _level_of(seed, level, _STEPS, most)[seed]
+        seed, doc, score = seed[near], doc[near], score[near]
     tie = mix(doc.astype(np.uint64) ^ mix(seed.astype(np.uint64) + np.uint64(1)))
     order = np.lexsort((tie, -score, seed))
     seed, doc, score = seed[order], doc[order], score[order]
