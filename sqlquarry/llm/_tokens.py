@@ -16,6 +16,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 _KEEP = 600_000
+#: Longer pieces hardly come again and are not kept, which bounds the kept ones in bytes.
+_LONGEST = 64
 _LOADED: dict[str, "PieceTokenizer"] = {}
 #: Pieces whose normal form and lower case are plain: printable ASCII and precomposed Latin letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
@@ -39,6 +41,12 @@ def tokenizer(name: str) -> "PieceTokenizer":
     return _LOADED[name]
 
 
+def forget() -> None:
+    """Drop the kept pieces at a task's end: idle workers stay, and each would hold its own."""
+    for made in _LOADED.values():
+        made.cache = _Ids(made)
+
+
 class _Ids(dict):
     def __init__(self, owner: "PieceTokenizer"):
         super().__init__({"": b""})
@@ -55,7 +63,8 @@ class _Ids(dict):
             found = self[piece[:-1]] + self[piece[-1:]] if len(piece) > 1 else owner.encode(piece)
         else:
             found = owner.encode(piece)
-        self[piece] = found
+        if len(piece) <= _LONGEST:
+            self[piece] = found
         return found
 
 

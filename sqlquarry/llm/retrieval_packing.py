@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from ._common import arrow_schema, map_batches, small_batches, stage
 from ._meet import BITS, ORDINAL, pack as packed, ranges_for, unpack
 from ._text import Words, mix
-from ._tokens import tokenizer
+from ._tokens import forget, tokenizer
 
 _ROUNDS, _CHAINS, _NEAR, _MOST, _FLUSH = 8, 1 << 16, 8, 2048, 500_000
 #: Words that more than one in so many texts of a shard have are added as rows, with a cell for each text.
@@ -405,6 +405,7 @@ def pack(
                 held += len(t or "")
         if texts:
             yield from cut(keys, texts, first)
+        forget()
 
     cuts = stage(map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, rows), "packing-texts", by="kind")
     whole = cuts.where("kind = 'text'").select("d", "k", "ids")
@@ -445,13 +446,14 @@ def pack(
     chains.end()
     flush()
 
+    staged = id_kind(tokenizer(vocabulary), end_id).str
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
         for batch in batches:
             columns: list[list] = [[] for _ in schema.fields]
-            kind = id_kind(tokenizer(vocabulary), end_id)
             for k, ids, own in zip(*(batch.column(c).to_pylist() for c in ("k", "ids", "own")), strict=True):
-                ids = np.frombuffer(ids, kind)
+                ids = np.frombuffer(ids, staged)
                 for p in own:
                     raw = ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()
                     values = [k, p["start"], p["length"], zlib.crc32(raw), len(ids), p["sequence_id"], p["offset"], raw]
