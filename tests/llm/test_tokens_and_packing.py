@@ -181,3 +181,30 @@ def test_binary_output_round_trip(docs, spark):
     for r in docs.collect():
         assert sum((p for _, p in sorted(parts[r["doc_id"]])), []) == plain(r["text"])
     assert binary_output.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("dense", [1, 16, 10_000])
+def test_pruned_lists_against_all_scores(monkeypatch, dense):
+    monkeypatch.setattr(retrieval_packing, "_DENSE", dense)
+    monkeypatch.setattr(retrieval_packing, "_CELLS", 50)
+    rng = np.random.default_rng(dense)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.4, 12) if w < 60).encode() for _ in range(90)] + [b"", b"w1 w1 w2"] * 9
+    terms, count, text, tf, size = retrieval_packing.postings(texts)
+    used = rng.random(len(texts)) < 0.3
+    shard = retrieval_packing.Shard(terms, count, text, tf, size, used, 8.0)
+    asks = [rng.choice(len(terms), k, replace=False) for k in rng.integers(0, 9, 40)]
+    word = np.concatenate(asks)
+    seed = np.repeat(np.arange(40), [len(a) for a in asks])
+    order = np.argsort(word, kind="stable")
+    weight, most = rng.random(len(terms)) + 0.1, rng.integers(1, 9, 40)
+    bound = np.searchsorted(word[order], np.arange(len(terms) + 1))
+    found = [np.concatenate(c) for c in zip(*shard.scores(terms, weight, seed[order], bound, most, np.zeros(40)), strict=True)]
+    seeds, docs, scores = retrieval_packing.best(found[0], found[1], np.round(found[2], 6), most)
+
+    value = np.zeros((len(terms), len(texts)))
+    value[np.repeat(np.arange(len(terms)), count), text] = retrieval_packing.saturation(tf, size[text], 8.0)
+    for s in range(40):
+        every = np.round((value[asks[s]] * weight[asks[s]][:, None]).sum(axis=0)[~used], 6)
+        want = np.sort(every[every > 0])[::-1][: most[s]]
+        assert np.allclose(scores[seeds == s], want, atol=2e-6)
+        assert np.allclose(every[docs[seeds == s]], want, atol=2e-6)
