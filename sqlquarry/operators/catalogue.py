@@ -96,9 +96,9 @@ def type_counts(queries: DataFrame) -> DataFrame:
     return queries.groupBy("type").agg(F.count("*").alias("count")).orderBy(F.desc("count"), F.asc("type"))
 
 
-def join_types(usage: DataFrame, columns: DataFrame, queries: DataFrame, base: str = "Float") -> DataFrame:
-    """Original types of columns of a base type that joins compare, with their number and repositories."""
-    own = columns.where(F.col("column_base_type") == base).select(F.col("id").alias("column_id"), "column_type_original", "column_base_type")
+def join_types(usage: DataFrame, columns: DataFrame, queries: DataFrame, base: str | None = "Float") -> DataFrame:
+    """Original types of columns of a base type (None: of any) that joins compare, with their number and repositories."""
+    own = columns.where(F.lit(True) if base is None else F.col("column_base_type") == base).select(F.col("id").alias("column_id"), "column_type_original", "column_base_type")
     rows = usage.where("operator_type = 'JOIN'").join(own, "column_id").join(queries.select(F.col("id").alias("query_id"), "repo_id"), "query_id")
     return rows.groupBy("column_type_original").agg(F.any_value("column_base_type", True).alias("column_base_type"), F.count("*").alias("cnt"), F.array_sort(F.collect_set("repo_id")).alias("repos")).orderBy(F.desc("cnt"), F.asc("column_type_original"))
 
