@@ -7,6 +7,10 @@ Jaccard similarity.  Texts that share a whole band are candidates, and a candida
 Jaccard similarity, computed from the whole sets, is at least ``threshold``.  Classes are the connected components of
 the links.
 
+With ``counts``, a pair whose plain counts are as similar is linked, too, and draws samples of them.  Near copies of one
+text lower the IDF of what they share, not that of the words edited in one copy only: the larger their group and the
+corpus, the more copies the weights alone leave out.
+
 How it stays bounded:
 
 * Document frequencies are counted by hash ranges and come back to the texts (see ``_meet``).  Only shared shingles
@@ -109,13 +113,29 @@ def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.
     return float(common / (a[2] + b[2] - common))
 
 
-def _pack(own: np.ndarray, weight: np.ndarray) -> bytes:
-    return zlib.compress(weight.astype("<f4").tobytes(), 1) + own.astype("<u8").tobytes()
+Sets = list[tuple[np.ndarray, np.ndarray, float]]
+
+
+def _pack(own: np.ndarray, weight: np.ndarray, tf: np.ndarray, count: int) -> bytes:
+    counts = np.append(tf, count).astype("<u4")
+    return zlib.compress(weight.astype("<f4").tobytes() + counts.tobytes(), 1) + own.astype("<u8").tobytes()
+
 
+def _unpack(blob: bytes, n: int, total: float, counts: bool) -> Sets:
+    """A text's weighted set, and with ``counts`` that of its plain counts."""
+    raw, own = zlib.decompress(blob[: len(blob) - 8 * n]), np.frombuffer(blob[len(blob) - 8 * n :], dtype="<u8")
+    tf = np.frombuffer(raw, "<u4", offset=4 * n)
+    return [(own, np.frombuffer(raw, "<f4", n).astype(np.float64), total), (own, tf[:-1], float(tf[-1]))][: 1 + counts]
 
-def _unpack(blob: bytes, n: int, total: float) -> tuple[np.ndarray, np.ndarray, float]:
-    weight = np.frombuffer(zlib.decompress(blob[: len(blob) - 8 * n]), dtype="<f4").astype(np.float64)
-    return np.frombuffer(blob[len(blob) - 8 * n :], dtype="<u8"), weight, total
+
+def _alike(a: Sets, b: Sets, threshold: float) -> bool:
+    near = lambda x, y, t: min(x[2], y[2]) >= t * max(x[2], y[2]) * (1 - 1e-9) and similarity(x, y) >= t
+    return any(near(x, y, t) for x, y, t in zip(a, b, _thresholds(threshold), strict=False))
+
+
+def _thresholds(threshold: float) -> tuple[float, float]:
+    """Of the weights and of counts, whose similarity can be the threshold itself."""
+    return threshold, threshold * (1 - 1e-12)
 
 
 def _digest(words: np.ndarray) -> bytes:
@@ -145,12 +165,12 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def signatures(docs: DataFrame, sampler: Sampler, *, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def signatures(docs: DataFrame, sampler: Sampler, *, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, counts: bool = False) -> DataFrame:
     """(id, node, bands, n, total, grams) of every row.
 
     ``node`` is a digest of the text's words, null for a text without words.  The others are null where no text can
     be similar enough, and for further copies in one block: band numbers, and the weighted set as the number of
-    shared shingles, the weight of all, and the shared ones packed.
+    shared shingles, the weight of all, and the shared ones packed with their weights and counts.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -178,11 +198,13 @@ def signatures(docs: DataFrame, sampler: Sampler, *, key: str = "doc_id", text:
                 weight = tf * idf(texts, df)
                 alone = n - int(tf.sum())
                 total = float(weight.sum()) + alone * single
-                if weight.sum() >= threshold * total * (1 - 1e-9):
+                kinds = [(weight, single)] if weight.sum() >= threshold * total * (1 - 1e-9) else []
+                kinds += [(tf, 1.0)] if counts and n - alone >= threshold * n * (1 - 1e-9) else []
+                if kinds:
                     named = int.from_bytes(node[:8], "little")
                     names = np.concatenate((mix(own), mix(np.arange(alone, dtype=np.uint64) + np.uint64(named))))
-                    bands = sampler.bands_of(names, np.concatenate((weight, np.full(alone, single))))
-                    row = (i, node, bands.view(np.int64), len(own), total, _pack(own, weight))
+                    bands = [sampler.bands_of(mix(names) if w is tf else names, np.concatenate((w, np.full(alone, each)))) for w, each in kinds]
+                    row = (i, node, np.concatenate(bands).view(np.int64), len(own), total, _pack(own, weight, tf, n))
                 seen.add(node)
             rows.append(row)
             if len(rows) == 500:
@@ -244,7 +266,7 @@ def _link_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=arrow_schema(_LINK))
 
 
-def _stars(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _stars(pairs: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
     """(a, b): those ``pairs`` (node, hub) that are similar enough; a hub's nodes go in groups of ``STAR``."""
     count = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
     salted = pairs.join(count, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("salt"))
@@ -257,8 +279,8 @@ def _stars(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             found: list[tuple[bytes, bytes]] = []
             for hub, salt, kind, node, n, total, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not kind:
-                    now, centre = (hub, salt), _unpack(grams, n, total)
-                elif now == (hub, salt) and min(total, centre[2]) >= threshold * max(total, centre[2]) * (1 - 1e-9) and similarity(centre, _unpack(grams, n, total)) >= threshold:
+                    now, centre = (hub, salt), _unpack(grams, n, total, counts)
+                elif now == (hub, salt) and _alike(centre, _unpack(grams, n, total, counts), threshold):
                     found.append((node, hub))
             if found:
                 yield _link_batch(found)
@@ -266,7 +288,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_batches(hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind"), decide, _LINK)
 
 
-def _rests(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _rests(rows: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
     """(a, b): links between the classes of each component; ``rows`` has (node, class, root)."""
     sized = rows.join(sets.select("node", (F.col("n") + SET_COST).cast("long").alias("size")), "node")
     sums = sized.groupBy("root", "class").agg(F.sum("size").alias("size"))
@@ -287,17 +309,21 @@ def _rests(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             name = {c: k for k, c in enumerate(dict.fromkeys(x[2] for x in held))}
-            if len(name) > 1:
-                links = forest([x[3] for x in held], np.array([x[0] for x in held]), threshold, np.array([name[x[2]] for x in held]))
-                if links:
-                    yield _link_batch([(held[a][1], held[b][1]) for a, b in links])
+            side, label = np.array([x[0] for x in held]), np.array([name[x[2]] for x in held])
+            for kind, least in enumerate(_thresholds(threshold)[: 1 + counts]):
+                if len(np.unique(label)) > 1:
+                    links = forest([x[3][kind] for x in held], side, least, label)
+                    for a, b in links:
+                        label[label == label[b]] = label[a]
+                    if links:
+                        yield _link_batch([(held[a][1], held[b][1]) for a, b in links])
 
         for batch in batches:
             for root, i, j, side, node, own, n, total, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (root, i, j) != now:
                     yield from close()
                     now, held = (root, i, j), []
-                held.append((side, node, own, _unpack(grams, n, total)))
+                held.append((side, node, own, _unpack(grams, n, total, counts)))
         yield from close()
 
     return map_batches(made.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node"), decide, _LINK)
@@ -312,25 +338,28 @@ def classes(
     threshold: float = 0.8,
     bands: int = 13,
     rows: int = 4,
+    counts: bool = False,
 ) -> DataFrame:
     """(id, node, root, class_id) for every row of ``docs``; ``node`` is the digest of the text's words.
 
+    Pairs of similar weights are linked, with ``counts`` those of similar counts, too.
+
     With 13 bands of 4 a pair at a similarity of 0.8 is a candidate with a probability of 0.999.
     """
-    signed = stage(signatures(docs, Sampler(bands, rows), key=key, text=text, shingle=shingle, threshold=threshold), "signed")
+    signed = stage(signatures(docs, Sampler(bands, rows), key=key, text=text, shingle=shingle, threshold=threshold, counts=counts), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     sets = stage(signed.where("bands is not null").select("node", "bands", "n", "total", "grams").dropDuplicates(["node"]), "sets")
     members = sets.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("band", "hub")
     pairs = stage(members.join(hubs, "band").where("node <> hub").select("node", "hub").distinct(), "pairs")
-    stars = components(_stars(pairs, sets, threshold))
+    stars = components(_stars(pairs, sets, threshold, counts))
     # classes that a band still joins, contracted to one node each
     named = lambda c: stars.select(F.col("node").alias(c), F.col("root").alias(f"{c}_class"))
     open_ = pairs.join(named("node"), "node", "left").join(named("hub"), "hub", "left")
     open_ = open_.select(F.coalesce("node_class", "node").alias("a"), F.coalesce("hub_class", "hub").alias("b")).where("a <> b")
     groups = components(open_).select(F.col("node").alias("class"), "root")
     rests = sets.select("node").join(stars.withColumnRenamed("root", "class"), "node", "left").select("node", F.coalesce("class", "node").alias("class")).join(groups, "class")
-    links = _rests(rests, sets, threshold).union(stars.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = _rests(rests, sets, threshold, counts).union(stars.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(links)
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))

@@ -40,7 +40,7 @@ def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select(F.col("id").alias("doc_id"), "class_id")
 
 
