@@ -36,6 +36,42 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of ``data``; at least seven bytes follow the last one."""
+    eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    length = end - start
+    out = mix(length.astype(np.uint64) ^ (eight[start] & _MASK[np.minimum(length, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero((length > 8) & (length <= _LONG))
+    done = 8
+    while len(left):
+        at = start[left] + done
+        out[left] = mix((out[left] ^ (eight[at] & _MASK[np.minimum(length[left] - done, 8)])) * np.uint64(0x9E3779B97F4A7C15))
+        done += 8
+        left = left[length[left] > done]
+    for i in np.flatnonzero(length > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal(data: bytes, start: np.ndarray, length: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each range has the bytes of the range whose number ``other`` gives; seven bytes follow the last one."""
+    if (length != length[other]).any():
+        return False
+    eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    left, done = np.flatnonzero(other != np.arange(len(other))), 0
+    long, left = left[length[left] > _LONG], left[length[left] <= _LONG]
+    for a, b, n in zip(start[long].tolist(), start[other[long]].tolist(), length[long].tolist(), strict=True):
+        if data[a : a + n] != data[b : b + n]:
+            return False
+    while len(left):
+        differ = eight[start[left] + done] ^ eight[start[other[left]] + done]
+        if (differ & _MASK[np.minimum(length[left] - done, 8)]).any():
+            return False
+        done += 8
+        left = left[length[left] > done]
+    return True
+
+
 class Words:
     """The words of several texts.
 
@@ -53,23 +89,7 @@ class Words:
         size = np.fromiter((len(t) + 1 for t in parts), dtype=np.int64, count=len(parts))
         self.base = np.concatenate(([0], np.cumsum(size)))
         self.offset = np.searchsorted(self.start, self.base)
-        self.hash = self._hashes(buf)
-
-    def _hashes(self, buf: np.ndarray) -> np.ndarray:
-        eight = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
-        length = self.end - self.start
-        out = mix(length.astype(np.uint64) ^ (eight[self.start] & _MASK[np.minimum(length, 8)]) * np.uint64(0x9E3779B97F4A7C15))
-        left = np.flatnonzero((length > 8) & (length <= _LONG))
-        done = 8
-        while len(left):
-            at = self.start[left] + done
-            out[left] = mix((out[left] ^ (eight[at] & _MASK[np.minimum(length[left] - done, 8)])) * np.uint64(0x9E3779B97F4A7C15))
-            done += 8
-            left = left[length[left] > done]
-        for i in np.flatnonzero(length > _LONG):
-            own = self.data[self.start[i] : self.end[i]]
-            out[i] = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little")
-        return out
+        self.hash = hashes(self.data, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]

@@ -1,26 +1,37 @@
 """Token ids by a public tokenizer, faster than one call a text.
 
 The vocabularies used here drop white space before their merges and never merge across it, so the ids of a
-text are those of its blank-separated pieces, one after the other.  Pieces repeat, so their ids are kept;
-a piece of common Latin letters goes straight to the tokenizer's BPE model, any other one through the whole
-tokenizer.
+text are those of its blank-separated pieces, one after the other.
+
+Texts of ASCII and common Latin letters are cut to the words that the vocabulary merges in as arrays of bytes, and the
+different words of several texts are merged side by side, one merge of each word at a time.  Equal words are found by
+their hashes and compared byte by byte.  Of any other text, pieces repeat, so their ids are kept; a piece of such letters
+goes straight to the tokenizer's BPE model, the rest through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from ._common import chunks
+from ._text import equal, hashes
+
 _KEEP = 600_000
 #: Longer pieces hardly come again and are not kept, which bounds the kept ones in bytes.
 _LONGEST = 64
+#: Letters of the texts whose words are merged together.
+_TOGETHER = 8 << 20
 _LOADED: dict[str, "PieceTokenizer"] = {}
 #: Pieces whose normal form and lower case are plain: printable ASCII and precomposed Latin letters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
+_PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž \\n\\t\\r]*").fullmatch
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ž]+|[0-9]|[^\\sa-z0-9ß-ž]+").findall
 
 
@@ -34,6 +45,115 @@ def _byte_letters() -> dict[int, str]:
 _LETTER = _byte_letters()
 
 
+_BLANK, _LETTERS, _DIGIT, _SIGN = range(4)
+#: What each byte of a lower-case plain text is part of.
+_KIND = bytes(_BLANK if b <= 32 else _DIGIT if 48 <= b <= 57 else _LETTERS if 97 <= b <= 122 or b >= 128 else _SIGN for b in range(256))
+
+
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words that ``_CUT`` finds in a lower-case plain text begin and end; it ends with three blanks."""
+    buf, kind = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KIND), np.uint8)
+    edge = np.append(True, kind[1:] != kind[:-1]) | (kind == _DIGIT)
+    quote = np.flatnonzero(buf[:-2] == ord("'"))
+    quote = quote[edge[quote] & (kind[quote + 1] == _LETTERS)]
+    one, two = buf[quote + 1], buf[quote + 2]
+    size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 2, 0)
+    size[((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))] = 3
+    quote, size = quote[size > 0], size[size > 0]
+    edge[quote + 1] = False
+    edge[quote + size] = True
+    at = np.flatnonzero(edge)
+    word = np.flatnonzero(kind[at[:-1]] != _BLANK)
+    return at[word], at[word + 1]
+
+
+class Merges:
+    """The merges of a byte-level BPE model, for many words at once.
+
+    ``tables`` hash pairs to their merge's place among all, in the lower 16 bits, with the pair above to tell it from
+    others; each has the pairs that found their place taken in the one before.
+    """
+
+    _NONE, _FREE = np.int32(2**31 - 1), np.uint64(2**64 - 1)
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.first = np.array([vocab[_LETTER[b]] for b in range(256)], dtype=np.int32)
+        self.last = np.array([vocab[_LETTER[b] + end] for b in range(256)], dtype=np.int32)
+        named = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        merged = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(named)}
+        left, right = (np.array(x, dtype=np.int64) for x in zip(*merged, strict=True))
+        rank, made = (np.array(x, dtype=np.int32) for x in zip(*merged.values(), strict=True))
+        self.made = np.zeros(int(rank.max()) + 1, dtype=np.int32)
+        self.made[rank] = made
+        self.size = np.uint64(max(vocab.values()) + 1)
+        if len(self.made) > 1 << 16 or self.size >= 1 << 23:
+            raise KeyError("more merges than places hold")
+        key, self.tables = left.astype(np.uint64) * self.size + right.astype(np.uint64), []
+        while len(key):
+            factor = np.uint64((2 * len(self.tables) + 3) * 0x9E3779B97F4A7C15 & 2**64 - 1)
+            table, slot = np.full(1 << 17, self._FREE), key * factor >> np.uint64(47)
+            table[slot] = entry = key << np.uint64(16) | rank.astype(np.uint64)
+            self.tables.append((table, factor))
+            key, rank = (x[table[slot] != entry] for x in (key, rank))
+        self.begin = self.rank(np.repeat(self.first, 512), np.tile(np.concatenate((self.first, self.last)), 256))
+
+    @classmethod
+    def of(cls, model: dict) -> "Merges | None":
+        """None for a model of another kind."""
+        if model.get("type") != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return None
+        try:
+            return cls(model)
+        except KeyError:  # a byte or a merged token that the vocabulary lacks
+            return None
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair's merge among all."""
+        key = left.astype(np.uint64) * self.size + right.astype(np.uint64)
+        out, rest = np.full(len(key), self._NONE), np.arange(len(key))
+        for table, factor in self.tables:
+            found = table[key * factor >> np.uint64(47)]
+            same = found >> np.uint64(16) == key
+            out[rest[same]] = found[same] & np.uint64(0xFFFF)
+            more = ~same & (found != self._FREE)
+            key, rest = key[more], rest[more]
+        return out
+
+    def run(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of equal length as rows of bytes: (numbers of words, a row of ids for each), every word once.
+
+        Each step merges the first of the pairs of least rank in every word, as the model does.
+        """
+        sym = self.first[letters]
+        sym[:, -1] = self.last[letters[:, -1]]
+        at, width = np.arange(len(letters)), letters.shape[1]
+        pair = letters[:, :-1].astype(np.int32) * 512 + letters[:, 1:]
+        pair[:, -1:] += 256
+        rank = self.begin[pair]
+        while width > 1 and len(at):
+            j = rank.argmin(axis=1)
+            low = rank[np.arange(len(at)), j]
+            if (done := low == self._NONE).any():
+                yield at[done], sym[done]
+                at, sym, rank, j, low = (x[~done] for x in (at, sym, rank, j, low))
+            row, new = np.arange(len(at)), self.made[low]
+            sym[row, j] = new
+            kept = np.ones((len(at), width), dtype=bool)
+            kept[row, j + 1] = False
+            sym = sym[kept].reshape(len(at), width - 1)
+            kept = np.ones((len(at), width - 1), dtype=bool)
+            kept[row, j] = False
+            width -= 1
+            rank = rank[kept].reshape(len(at), width - 1)
+            k = np.flatnonzero(j > 0)
+            rank[k, j[k] - 1] = self.rank(sym[k, j[k] - 1], new[k])
+            k = np.flatnonzero(j < width - 1)
+            rank[k, j[k]] = self.rank(new[k], sym[k, j[k] + 1])
+        if len(at):
+            yield at, sym
+
+
 def tokenizer(name: str) -> "PieceTokenizer":
     """The tokenizer of a vocabulary file, loaded once in each Python worker."""
     if name not in _LOADED:
@@ -81,6 +201,7 @@ class PieceTokenizer:
         probe = "Ça l'été n'a-t-il 2024 (don't) ÿ?!"
         direct = b"".join(map(self.direct, probe.split(" ")))
         self.short = np.frombuffer(direct, self.kind).tolist() == self.whole(probe)
+        self.merges = Merges.of(json.loads(self.plain.to_str())["model"]) if self.short else None
 
     def whole(self, text: str) -> list[int]:
         return self.plain.encode(text, add_special_tokens=False).ids
@@ -99,9 +220,54 @@ class PieceTokenizer:
             return self.direct(piece)
         return np.array(self.whole(piece), dtype=self.kind).tobytes()
 
+    def _plain_ids(self, texts: list[str]) -> list[np.ndarray] | None:
+        """The ids of plain texts; None if two different words have one hash."""
+        parts = [t.lower().encode() for t in texts]
+        data = b" ".join(parts) + b" " * 9
+        start, end = cut(data)
+        length = end - start
+        bits = np.uint64(len(start).bit_length())
+        found = np.sort(hashes(data, start, end) >> bits << bits | np.arange(len(start), dtype=np.uint64))
+        order = (found & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+        found >>= bits
+        new = np.append(True, found[1:] != found[:-1])[: len(order)]
+        named, one = np.empty(len(order), dtype=np.int64), order[new]
+        named[order] = np.cumsum(new) - 1
+        if not equal(data, start, length, one[named]):
+            return None
+        buf, size = np.frombuffer(data, np.uint8), length[one]
+        by_size = np.argsort(size, kind="stable")
+        bound = np.flatnonzero(np.diff(size[by_size], prepend=0, append=0))
+        pool, first, count, held = [np.empty(0, self.kind)], np.empty(len(one), np.int64), np.empty(len(one), np.int64), 0
+        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            own = by_size[a:b]
+            if size[own[0]] > _LONGEST:
+                rows = ((np.array([k]), np.frombuffer(self.word(data[start[one[i]] : end[one[i]]].decode()), self.kind)[None]) for k, i in enumerate(own.tolist()))
+            else:
+                rows = self.merges.run(buf[start[one[own]][:, None] + np.arange(size[own[0]])])
+            for at, ids in rows:
+                pool.append(ids.astype(self.kind).ravel())
+                first[own[at]] = held + np.arange(len(at)) * ids.shape[1]
+                count[own[at]] = ids.shape[1]
+                held += ids.size
+        many = count[named]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        out = np.concatenate(pool)[np.arange(ends[-1]) + np.repeat(first[named] - ends[:-1], many)]
+        base = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        place = ends[np.searchsorted(start, base)]
+        return [out[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned integers."""
+        out: dict[int, np.ndarray] = {}
+        plain = [i for i, t in enumerate(texts) if self.merges and _PLAIN_TEXT(t) and not ("<" in t and any(s in t for s in self.specials))]
+        for lo, hi in chunks([len(texts[i]) for i in plain], _TOGETHER):
+            found = self._plain_ids([texts[i] for i in plain[lo:hi]])
+            out.update(zip(plain[lo:hi], found or [], strict=bool(found)))
         if len(self.cache) > _KEEP:
             self.cache = _Ids(self)
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), dtype=self.kind) for t in texts]
+        for i, t in enumerate(texts):
+            if i not in out:
+                out[i] = np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), dtype=self.kind)
+        return [out[i] for i in range(len(texts))]

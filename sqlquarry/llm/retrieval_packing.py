@@ -100,8 +100,13 @@ def narrow(x: np.ndarray) -> bytes:
     return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
 
+def thin(blob: bytes) -> np.ndarray:
+    """Integers as ``narrow`` wrote them."""
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1)
+
+
 def widen(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    return thin(blob).astype(np.int64)
 
 
 def idf(texts: int, df: np.ndarray) -> np.ndarray:
@@ -157,6 +162,10 @@ class Shard:
         ``words`` are the ascending hashes of all queries and ``weight`` their IDF; the seeds that ask with word ``i``
         are ``who[bound[i]:bound[i + 1]]``, ascending.  A seed wants ``most`` texts of at least the score ``least``.
         """
+        yield from self.meet(words, weight, *by_seed(who, bound), most, least)
+
+    def meet(self, words: np.ndarray, weight: np.ndarray, who: np.ndarray, what: np.ndarray, most: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``scores`` with the seed and the place of the word of each question, ordered by both."""
         if len(words) < len(self.terms):
             at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
             here = np.flatnonzero(self.terms[at] == words)
@@ -170,8 +179,9 @@ class Shard:
         own = np.repeat(np.arange(len(here)), count)
         free = ~self.used[self.text[each]]
         each, own = each[free], own[free]
-        value = weight[here[own]] * saturation(self.tf[each], self.size[self.text[each]], self.mean)
-        doc = self.number[self.text[each]]
+        text = self.text[each]
+        value = weight[here[own]] * saturation(self.tf[each].astype(np.int64), self.size[text], self.mean)
+        doc = self.number[text]
         size = np.bincount(own, minlength=len(here))
         first = np.cumsum(size) - size
         column = np.full(len(here), -1)
@@ -181,11 +191,13 @@ class Shard:
         many = column[own] >= 0
         table[column[own[many]], doc[many]] = value[many]
 
-        asks = np.where(size > 0, bound[here + 1] - bound[here], 0)
-        seed, term = who[_ranges(bound[here], asks)], np.repeat(np.arange(len(here)), asks)
-        order = np.argsort(seed, kind="stable")
-        seeds, seed = np.unique(seed[order], return_inverse=True)
-        term = term[order]
+        place = np.full(len(words), -1)
+        place[here[size > 0]] = np.flatnonzero(size > 0)
+        term = place[what]
+        asked = term >= 0
+        seed, term = who[asked], term[asked]
+        new = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
+        seeds, seed = seed[new], np.cumsum(new) - 1
         hits = np.bincount(seed, weights=size[term], minlength=len(seeds))
         full = hits * 8 > self.n
         full[seed[column[term] >= 0]] = True
@@ -202,8 +214,10 @@ class Shard:
             t = term[lo:hi]
             each = _ranges(first[t], size[t])
             cell = np.repeat(seed[lo:hi], size[t]) * self.n + doc[each]
-            order = np.argsort(cell, kind="stable")
-            cell = cell[order]
+            bits = len(cell).bit_length()
+            cell = np.sort(cell << bits | np.arange(len(cell)))
+            order = cell & (1 << bits) - 1
+            cell >>= bits
             new = np.append(True, cell[1:] != cell[:-1])
             score = np.bincount(np.cumsum(new) - 1, weights=value[each][order])
             cell = cell[new]
@@ -235,6 +249,12 @@ class Shard:
             yield seeds[lo + row], cell, score[row, cell]
 
 
+def by_seed(who: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seed and the word of each question, ordered by both, from the seeds of each word."""
+    order = np.argsort(who, kind="stable")
+    return who[order], np.repeat(np.arange(len(bound) - 1), np.diff(bound))[order]
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers ``first[i], ..., first[i] + size[i] - 1`` for every ``i``."""
     ends = np.cumsum(size)
@@ -451,15 +471,17 @@ def pack(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
         for batch in batches:
-            columns: list[list] = [[] for _ in schema.fields]
-            for k, ids, own in zip(*(batch.column(c).to_pylist() for c in ("k", "ids", "own")), strict=True):
-                ids = np.frombuffer(ids, staged)
-                for p in own:
-                    raw = ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()
-                    values = [k, p["start"], p["length"], zlib.crc32(raw), len(ids), p["sequence_id"], p["offset"], raw]
-                    for column, x in zip(columns, values, strict=False):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            own, ids = batch.column("own"), [np.frombuffer(x, staged).astype("<u4") for x in batch.column("ids").to_pylist()]
+            count = own.value_lengths().to_numpy()
+            start, size, sequence, offset = (c.to_numpy(zero_copy_only=False) for c in own.flatten().flatten())
+            whose = np.repeat(np.arange(len(ids)), count)
+            cut = [ids[i][a : a + n] for i, a, n in zip(whose.tolist(), start.tolist(), size.tolist(), strict=True)]
+            total = np.array([len(x) for x in ids], dtype=np.int64)[whose]
+            columns = [batch.column("k").take(pa.array(whose)), start, size, [zlib.crc32(x) for x in cut], total, sequence, offset]
+            if with_ids:
+                columns.append([x.tobytes() for x in cut])
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(arrays, out, strict=True)], schema=out)
 
     grouped = reduce(DataFrame.union, [f for _, f in flushed]).groupBy("d").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("own"))
     if sum(m for m, _ in flushed) * 64 <= _BROADCAST:
@@ -563,6 +585,7 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
     asked = context.broadcast((names, weight, who, bound, np.packbits(used)))
     listed = T.StructType([T.StructField("group", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("seed", "d", "score"))])
     kinds = ("<i4", "<i8", "<f8")
+    kept_as = {"count": widen, "text": thin, "tf": thin, "lengths": widen}
 
     def row(group: int, own: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(own, kinds, strict=True))], schema=arrow_schema(listed))
@@ -570,6 +593,7 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weight, who, bound, flags = asked.value
         flags = np.unpackbits(flags)
+        who, what = by_seed(who, bound)
         least, own = np.zeros(len(most)), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         parts = [own]
 
@@ -586,12 +610,12 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
                 taken = flags[at : at + size_of[row_["shard"]]].astype(bool)
                 if taken.all() or not row_["n"] or not len(names):
                     continue
-                shard = Shard(unpack(row_["terms"], row_["n"]), *(widen(row_[c]) for c in ("count", "text", "tf", "lengths")), taken, mean)
-                for s, d, score in shard.scores(names, weight, who, bound, most, least):
+                shard = Shard(unpack(row_["terms"], row_["n"]), *(read(row_[c]) for c, read in kept_as.items()), taken, mean)
+                for s, d, score in shard.meet(names, weight, who, what, most, least):
                     score = np.round(score, 6)
                     kept = (score >= least[s]) & (score > 0)
                     parts.append((s[kept], shard.left[d[kept]] + row_["shard"], score[kept]))
-                if sum(len(x[0]) for x in parts) > _HELD:
+                if not least.any() or sum(len(x[0]) for x in parts) > _HELD:
                     parts = [keep()]
         own = keep()
         for group in range(_GROUPS):

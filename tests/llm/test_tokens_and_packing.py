@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from sqlquarry.llm import binary_output, retrieval_packing
+from sqlquarry.llm import _tokens, binary_output, retrieval_packing
 from sqlquarry.llm._text import Words, shingles, words
 from sqlquarry.llm._tokens import tokenizer
 
@@ -28,6 +28,33 @@ def test_ids_match_the_tokenizer(docs):
         assert [*ids.tolist(), 2] == plain(text)
 
 
+def latin_texts():
+    rng = np.random.default_rng(5)
+    parts = ["th", "ing", "É", "ß", "on", "An", "ü", "don't", "'s", "'", "'ve", "'rest", "''ll", "'llé", "42", "***", ".'", "x" * 70, " ", "\n", "\t\r ", ", "]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 60)))) for _ in range(400)]
+    return [*texts, "", " \n", "'", "'s", "a'", "z" * 5000 + " " + "z" * 5000 + "y " + "z" * 5000]
+
+
+def test_plain_words_do_not_go_to_the_tokenizer_one_by_one(monkeypatch):
+    texts = latin_texts()
+    want = [plain(t)[:-1] for t in texts]
+    seen = []
+    word = _tokens.PieceTokenizer.word
+    monkeypatch.setattr(_tokens.PieceTokenizer, "word", lambda self, part: seen.append(part) or word(self, part))
+    monkeypatch.setattr(_tokens.PieceTokenizer, "encode", None)
+    _tokens.forget()
+    assert [x.tolist() for x in tokenizer(VOCAB).ids(texts)] == want
+    assert all(len(p) > 60 for p in seen)
+    for few in ([], [""], [" \n"], ["'"]):
+        assert [x.tolist() for x in tokenizer(VOCAB).ids(few)] == [plain(t)[:-1] for t in few]
+
+
+def test_words_of_one_hash_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(_tokens, "hashes", lambda data, start, end: (end - start).astype(np.uint64) << np.uint64(40))
+    texts = latin_texts()
+    assert [x.tolist() for x in tokenizer(VOCAB).ids(texts)] == [plain(t)[:-1] for t in texts]
+
+
 def test_words_and_hashes(docs):
     texts = [None if r["text"] is None else r["text"].encode() for r in docs.collect()]
     w = Words(texts)
