@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..staging import stage
+from ..staging import discard, stage
 
-__all__ = ["append", "arrow_schema", "chunks", "fresh", "map_batches", "release", "small_batches", "stage", "utf8", "with_fields"]
+__all__ = ["append", "arrow_schema", "chunks", "discard", "fresh", "map_batches", "release", "small_batches", "stage", "utf8", "with_fields"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, chunks, map_batches, small_batches, stage, utf8
+from ._common import arrow_schema, chunks, discard, map_batches, small_batches, stage, utf8
 from ._meet import Shared, meet
 from ._text import Words, mix, shingles
 
@@ -158,7 +158,8 @@ def components(links: DataFrame) -> DataFrame:
         low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
-        edges = stage(small, "edges")
+        read, edges = edges, stage(small, "edges")
+        discard(read, least, large, low)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -347,8 +348,10 @@ def classes(
     With 13 bands of 4 a pair at a similarity of 0.8 is a candidate with a probability of 0.999.
     """
     signed = stage(signatures(docs, Sampler(bands, rows), key=key, text=text, shingle=shingle, threshold=threshold, counts=counts), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     sets = stage(signed.where("bands is not null").select("node", "bands", "n", "total", "grams").dropDuplicates(["node"]), "sets")
+    ids = stage(signed.select("id", "node"), "ids")
+    discard(signed)
+    nodes = ids.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     members = sets.select("node", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("band", "hub")
     pairs = stage(members.join(hubs, "band").where("node <> hub").select("node", "hub").distinct(), "pairs")
@@ -361,10 +364,11 @@ def classes(
     rests = sets.select("node").join(stars.withColumnRenamed("root", "class"), "node", "left").select("node", F.coalesce("class", "node").alias("class")).join(groups, "class")
     links = _rests(rests, sets, threshold, counts).union(stars.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(links)
+    discard(sets, pairs)
     of_node = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))
     found = of_node.select("node", "root").join(least, "root").select("node", "root", "class_id")
-    out = signed.select("id", "node").join(found, "node", "left")
+    out = ids.join(found, "node", "left")
     return out.select("id", "node", F.coalesce("root", "node").alias("root"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_schema, chunks, map_batches, small_batches, stage, utf8
+from ._common import arrow_schema, chunks, discard, map_batches, small_batches, stage, utf8
 from ._meet import Shared, meet
 from ._suffixes import Strings, deep_shallow
 from ._text import mix
@@ -311,15 +311,19 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
 
     (id, sha, s8, copies, n_bytes, spans, n_removed, kept_sha256): the first of ``copies`` loses ``spans``, the others
     all bytes if there are ``length``.  Without ``digests`` there is no ``kept_sha256``, and texts are moved once less.
+    The result is staged, and what it was made from is gone.
     """
     small_batches(docs.sparkSession)
     rows = _keyed(docs, key, text)
     base = rows.select("id", "sha", "s8", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("id", "sha", "s8")
     base = stage(base.agg(F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")), "texts")
+    # the parts of the null-safe join as columns: Spark then sees that its result is dealt for the next step, too
+    known = lambda c: (F.coalesce(c, F.lit(_LAST)).alias("known"), F.isnull(c).alias("void"))
     total = base.agg(F.sum(F.col("n_bytes") * F.col("copies"))).first()[0] or 0
     wanted = _shared_anchors(rows.where(F.octet_length("text") >= length), total, length).dropDuplicates(["i", "digest"])
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("digest")))
-    candidates = stage(found.select("id", "s8", "text", "hashes").dropDuplicates(["id", "s8"]), "candidates")
+    wanted = wanted.select(*known("i"), F.col("digest").alias("sha"), "hashes")
+    found = rows.select(*known("id"), "sha", "id", "s8", "text").join(wanted, ["known", "void", "sha"])
+    candidates = stage(found.dropDuplicates(["known", "void", "sha"]).select("id", "s8", "text", "hashes"), "candidates")
     cuts = _repeats(_fragments(candidates, length), length).groupBy("id", "s8").agg(F.collect_list("blob").alias("blobs"))
     cuts = cuts.select(F.col("id").alias("i"), F.col("s8").alias("s"), "blobs")
     at = (F.coalesce("id", F.lit(_LAST)) == F.col("i")) & (F.col("s8") == F.col("s"))
@@ -341,7 +345,9 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length:
 
     out = base.join(map_batches(own, merge, schema), at, "left")
     found = out.select("id", "sha", "s8", "copies", "n_bytes", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
-    return found if digests else found.drop("kept_sha256")
+    found = stage(found if digests else found.drop("kept_sha256"), "spans")
+    discard(base, candidates)
+    return found
 
 
 def cut_bytes(raw: bytes, spans: list) -> bytes:

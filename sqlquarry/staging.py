@@ -7,6 +7,8 @@ import contextlib
 import re
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,8 +55,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of a query go as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here leave no shuffle files; else those stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, frees shuffle files.
 
     The table is read again with its own schema, so an empty one keeps its columns.  ``by`` names a column of few
     values, whose rows get a folder for each.
@@ -62,5 +83,16 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.option("maxConcurrentOutputFileWriters", 8).partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _cleaned(spark):
+        (writer.option("maxConcurrentOutputFileWriters", 8).partitionBy(by) if by else writer).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables, as ``stage`` returned them, that nothing reads any more; what was staged from them stays."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
