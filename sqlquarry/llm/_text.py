@@ -53,23 +53,33 @@ def hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def equal(data: bytes, start: np.ndarray, length: np.ndarray, other: np.ndarray) -> bool:
-    """Whether each range has the bytes of the range whose number ``other`` gives; seven bytes follow the last one."""
-    if (length != length[other]).any():
-        return False
+def heads(data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each range as a number; seven bytes follow the last one."""
     eight = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    left, done = np.flatnonzero(other != np.arange(len(other))), 0
-    long, left = left[length[left] > _LONG], left[length[left] <= _LONG]
-    for a, b, n in zip(start[long].tolist(), start[other[long]].tolist(), length[long].tolist(), strict=True):
-        if data[a : a + n] != data[b : b + n]:
-            return False
+    return eight[start] & _MASK[np.minimum(length, 8)]
+
+
+def differ(data: bytes, start: np.ndarray, other: bytes | np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which ranges of ``data`` have other bytes than the range as long at ``at`` in ``other``; seven bytes follow the last ones."""
+    out, done = heads(data, start, length) != heads(other, at, length), 8
+    long = np.flatnonzero(length > _LONG)
+    for i, a, b, n in zip(long.tolist(), start[long].tolist(), at[long].tolist(), length[long].tolist(), strict=True):
+        out[i] = bytes(data[a : a + n]) != bytes(other[b : b + n])
+    left = np.flatnonzero((length > 8) & (length <= _LONG))
     while len(left):
-        differ = eight[start[left] + done] ^ eight[start[other[left]] + done]
-        if (differ & _MASK[np.minimum(length[left] - done, 8)]).any():
-            return False
+        out[left] |= heads(data, start[left] + done, length[left] - done) != heads(other, at[left] + done, length[left] - done)
         done += 8
         left = left[length[left] > done]
-    return True
+    return out
+
+
+def same(data: bytes, start: np.ndarray, length: np.ndarray, new: np.ndarray) -> bool:
+    """Whether each range that isn't ``new`` has the bytes of the one before; seven bytes follow the last one."""
+    head = heads(data, start, length)
+    if (((head[1:] != head[:-1]) | (length[1:] != length[:-1])) & ~new[1:]).any():
+        return False
+    long = np.flatnonzero(~new & (length > 8))
+    return not differ(data, start[long], data, start[long - 1], length[long]).any()
 
 
 class Words:

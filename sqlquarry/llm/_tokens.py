@@ -4,8 +4,8 @@ The vocabularies used here drop white space before their merges and never merge
 text are those of its blank-separated pieces, one after the other.
 
 Texts of ASCII and common Latin letters are cut to the words that the vocabulary merges in as arrays of bytes, and the
-different words of several texts are merged side by side, one merge of each word at a time.  Equal words are found by
-their hashes and compared byte by byte.  Of any other text, pieces repeat, so their ids are kept; a piece of such letters
+different words of several texts are merged side by side, one merge of each word at a time.  Words are looked up among
+those merged before by their hashes and compared byte by byte.  Of any other text, pieces repeat, so their ids are kept; a piece of such letters
 goes straight to the tokenizer's BPE model, the rest through the whole tokenizer.
 """
 
@@ -21,11 +21,17 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from ._common import chunks
-from ._text import equal, hashes
+from ._text import differ, hashes, heads, same
 
 _KEEP = 600_000
 #: Longer pieces hardly come again and are not kept, which bounds the kept ones in bytes.
 _LONGEST = 64
+#: Merged words that a worker keeps, some 65 bytes each with their places; with more it begins anew.
+_WORDS = 1 << 20
+#: Bytes up to which words are merged side by side.
+_SIZES = (5, 8, 11, 15, 24, _LONGEST)
+#: Letters of the texts that are cut and looked up together: arrays of these stay in a processor's cache.
+_STEP = 1 << 19
 #: Letters of the texts whose words are merged together.
 _TOGETHER = 8 << 20
 _LOADED: dict[str, "PieceTokenizer"] = {}
@@ -118,25 +124,29 @@ class Merges:
             out[rest[same]] = found[same] & np.uint64(0xFFFF)
             more = ~same & (found != self._FREE)
             key, rest = key[more], rest[more]
+            if not len(key):
+                break
         return out
 
-    def run(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words of equal length as rows of bytes: (numbers of words, a row of ids for each), every word once.
+    def run(self, letters: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words as rows of ``size`` bytes each: (numbers of words, how many ids each has, all ids), every word once.
 
         Each step merges the first of the pairs of least rank in every word, as the model does.
         """
-        sym = self.first[letters]
-        sym[:, -1] = self.last[letters[:, -1]]
         at, width = np.arange(len(letters)), letters.shape[1]
+        sym = self.first[letters]
+        sym[at, size - 1] = self.last[letters[at, size - 1]]
         pair = letters[:, :-1].astype(np.int32) * 512 + letters[:, 1:]
-        pair[:, -1:] += 256
+        many = np.flatnonzero(size > 1)
+        pair[many, size[many] - 2] += 256
         rank = self.begin[pair]
+        rank[np.arange(1, width) >= size[:, None]] = self._NONE
         while width > 1 and len(at):
             j = rank.argmin(axis=1)
             low = rank[np.arange(len(at)), j]
             if (done := low == self._NONE).any():
-                yield at[done], sym[done]
-                at, sym, rank, j, low = (x[~done] for x in (at, sym, rank, j, low))
+                yield at[done], size[done], sym[done][np.arange(width) < size[done, None]]
+                at, sym, rank, j, low, size = (x[~done] for x in (at, sym, rank, j, low, size))
             row, new = np.arange(len(at)), self.made[low]
             sym[row, j] = new
             kept = np.ones((len(at), width), dtype=bool)
@@ -144,14 +154,80 @@ class Merges:
             sym = sym[kept].reshape(len(at), width - 1)
             kept = np.ones((len(at), width - 1), dtype=bool)
             kept[row, j] = False
-            width -= 1
+            width, size = width - 1, size - 1
             rank = rank[kept].reshape(len(at), width - 1)
-            k = np.flatnonzero(j > 0)
-            rank[k, j[k] - 1] = self.rank(sym[k, j[k] - 1], new[k])
-            k = np.flatnonzero(j < width - 1)
-            rank[k, j[k]] = self.rank(new[k], sym[k, j[k] + 1])
+            before, after = np.flatnonzero(j > 0), np.flatnonzero(j < size - 1)
+            b, c = j[before] - 1, j[after]
+            found = self.rank(np.concatenate((sym[before, b], new[after])), np.concatenate((new[before], sym[after, c + 1])))
+            rank[before, b], rank[after, c] = found[: len(b)], found[len(b) :]
         if len(at):
-            yield at, sym
+            yield at, size, sym[np.arange(width) < size[:, None]]
+
+
+def grown(x: np.ndarray, size: int) -> np.ndarray:
+    """``x`` with room for ``size``."""
+    return x if size <= len(x) else np.concatenate((x, np.zeros(max(len(x), size - len(x)), x.dtype)))
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i], ..., first[i] + size[i] - 1`` for every ``i``."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
+
+
+class Kept:
+    """Merged words with their ids, numbered from 1, in a table by hash whose free places have 0.
+
+    Word ``i`` has the bytes of ``text`` from ``start[i]``; ``ids[i]`` is where its ids begin in ``pool``, shifted by
+    eight bits, and how many they are.  The last bit of a hash tells words of more than eight bytes from others.
+    """
+
+    def __init__(self, kind: np.dtype):
+        self.words, self.bytes, self.held = 1, 0, 0
+        self.hash, self.head = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.start, self.length, self.ids = (np.zeros(1, np.int64) for _ in range(3))
+        self.text, self.pool = np.zeros(9, np.uint8), np.zeros(1, kind)
+        self.table = np.zeros(1 << 12, np.int32)
+
+    def find(self, data: bytes, start: np.ndarray, length: np.ndarray, known: np.ndarray) -> np.ndarray | None:
+        """The number of each word, 0 for new ones; None if one has the hash of another."""
+        head, bits = heads(data, start, length), len(self.table).bit_length() - 1
+        place = (known >> np.uint64(64 - bits)).astype(np.int64)
+        number = self.table.take(place)
+        far = np.flatnonzero((self.hash.take(number) != known) & (number > 0))
+        while len(far):
+            place[far] = place[far] + 1 & len(self.table) - 1
+            number[far] = self.table[place[far]]
+            far = far[(self.hash[number[far]] != known[far]) & (number[far] > 0)]
+        if ((self.head.take(number) != head) & (number > 0)).any():
+            return None
+        long = np.flatnonzero((number > 0) & (length > 8))
+        mine = number[long]
+        if (self.length[mine] != length[long]).any() or differ(data, start[long], self.text, self.start[mine], length[long]).any():
+            return None
+        return number
+
+    def add(self, data: bytes, start: np.ndarray, length: np.ndarray, known: np.ndarray, ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        """Keep words that aren't here yet; their ids are those of ``ids`` from ``first``."""
+        a, b = self.words, self.words + len(start)
+        text, more = np.frombuffer(data, np.uint8)[spans(start, length)], ids[spans(first, count)]
+        columns = (("hash", known), ("head", heads(data, start, length)), ("start", self.bytes + np.cumsum(length) - length), ("length", length), ("ids", self.held + np.cumsum(count) - count << 8 | count))
+        for name, x in columns:
+            setattr(self, name, grown(getattr(self, name), b))
+            getattr(self, name)[a:b] = x
+        self.text, self.pool = grown(self.text, self.bytes + len(text) + 9), grown(self.pool, self.held + len(more))
+        self.text[self.bytes : self.bytes + len(text)] = text
+        self.pool[self.held : self.held + len(more)] = more
+        self.words, self.bytes, self.held = b, self.bytes + len(text), self.held + len(more)
+        rest = np.arange(a, b, dtype=np.int32)
+        if 2 * b > len(self.table):
+            self.table, rest = np.zeros(1 << (2 * b).bit_length(), np.int32), np.arange(1, b, dtype=np.int32)
+        place = (self.hash[rest] >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+        while len(rest):
+            free = self.table[place] == 0
+            self.table[place[free]] = rest[free]
+            left = self.table[place] != rest
+            place, rest = place[left] + 1 & len(self.table) - 1, rest[left]
 
 
 def tokenizer(name: str) -> "PieceTokenizer":
@@ -162,7 +238,10 @@ def tokenizer(name: str) -> "PieceTokenizer":
 
 
 def forget() -> None:
-    """Drop the kept pieces at a task's end: idle workers stay, and each would hold its own."""
+    """Drop the kept pieces at a task's end: idle workers stay, and each would hold its own.
+
+    Merged words stay, in arrays that take much less: the next task has most of them again.
+    """
     for made in _LOADED.values():
         made.cache = _Ids(made)
 
@@ -202,6 +281,7 @@ class PieceTokenizer:
         direct = b"".join(map(self.direct, probe.split(" ")))
         self.short = np.frombuffer(direct, self.kind).tolist() == self.whole(probe)
         self.merges = Merges.of(json.loads(self.plain.to_str())["model"]) if self.short else None
+        self.kept = Kept(self.kind)
 
     def whole(self, text: str) -> list[int]:
         return self.plain.encode(text, add_special_tokens=False).ids
@@ -222,40 +302,64 @@ class PieceTokenizer:
 
     def _plain_ids(self, texts: list[str]) -> list[np.ndarray] | None:
         """The ids of plain texts; None if two different words have one hash."""
-        parts = [t.lower().encode() for t in texts]
-        data = b" ".join(parts) + b" " * 9
-        start, end = cut(data)
-        length = end - start
+        kept, steps, missed = self.kept, [], []
+        for lo, hi in chunks([len(t) for t in texts], _STEP):
+            parts = [t.lower().encode() for t in texts[lo:hi]]
+            data = b" ".join(parts) + b" " * 9
+            start, end = cut(data)
+            length = end - start
+            known = hashes(data, start, end) & ~np.uint64(1) | (length > 8)
+            number = kept.find(data, start, length, known)
+            if number is None:
+                return None
+            new = np.flatnonzero(number == 0)
+            steps.append((number, new, np.searchsorted(start, np.cumsum([0, *(len(p) + 1 for p in parts)]))))
+            missed.append((np.frombuffer(data, np.uint8)[spans(start[new], length[new])], length[new], known[new]))
+        if (merged := self._merge(*(np.concatenate(x) for x in zip(*missed, strict=True)))) is None:
+            return None
+        more, firsts, counts = merged
+        pool, out, done = np.concatenate((kept.pool[: kept.held], more)), [], 0
+        for number, new, place in steps:
+            ids = kept.ids.take(number)
+            first, count = ids >> 8, ids & 0xFF
+            first[new], count[new] = (x[done : done + len(new)] for x in (firsts + kept.held, counts))
+            ids, ends = pool.take(spans(first, count)), np.concatenate(([0], np.cumsum(count)))
+            out += [ids[a:b] for a, b in zip(ends[place[:-1]], ends[place[1:]], strict=True)]
+            done += len(new)
+        if kept.words > _WORDS:
+            self.kept = Kept(self.kind)
+        return out
+
+    def _merge(self, text: np.ndarray, length: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Merge words that aren't kept, one after the other in ``text``, and keep them: ids, where each word's begin and
+        how many they are; None if two different words have one hash."""
+        data, start = text.tobytes() + b" " * 9, np.cumsum(length) - length
         bits = np.uint64(len(start).bit_length())
-        found = np.sort(hashes(data, start, end) >> bits << bits | np.arange(len(start), dtype=np.uint64))
+        found = np.sort(known >> bits << bits | np.arange(len(start), dtype=np.uint64))
         order = (found & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
         found >>= bits
         new = np.append(True, found[1:] != found[:-1])[: len(order)]
+        if not same(data, start[order], length[order], new):
+            return None
         named, one = np.empty(len(order), dtype=np.int64), order[new]
         named[order] = np.cumsum(new) - 1
-        if not equal(data, start, length, one[named]):
-            return None
-        buf, size = np.frombuffer(data, np.uint8), length[one]
-        by_size = np.argsort(size, kind="stable")
-        bound = np.flatnonzero(np.diff(size[by_size], prepend=0, append=0))
-        pool, first, count, held = [np.empty(0, self.kind)], np.empty(len(one), np.int64), np.empty(len(one), np.int64), 0
-        for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-            own = by_size[a:b]
-            if size[own[0]] > _LONGEST:
-                rows = ((np.array([k]), np.frombuffer(self.word(data[start[one[i]] : end[one[i]]].decode()), self.kind)[None]) for k, i in enumerate(own.tolist()))
+        size = length[one]
+        buf, pool, held = np.frombuffer(data, np.uint8), [np.empty(0, self.kind)], 0
+        first, count = np.empty(len(one), np.int64), np.empty(len(one), np.int64)
+        for low, high in zip((0, *_SIZES), (*_SIZES, max(int(size.max(initial=0)), _LONGEST)), strict=True):
+            own = np.flatnonzero((size > low) & (size <= high))
+            if low == _LONGEST:
+                made = (np.frombuffer(self.word(data[start[one[i]] : start[one[i]] + size[i]].decode()), self.kind) for i in own.tolist())
+                rows = ((np.array([k]), np.array([len(x)]), x) for k, x in enumerate(made))
             else:
-                rows = self.merges.run(buf[start[one[own]][:, None] + np.arange(size[own[0]])])
-            for at, ids in rows:
-                pool.append(ids.astype(self.kind).ravel())
-                first[own[at]] = held + np.arange(len(at)) * ids.shape[1]
-                count[own[at]] = ids.shape[1]
-                held += ids.size
-        many = count[named]
-        ends = np.concatenate(([0], np.cumsum(many)))
-        out = np.concatenate(pool)[np.arange(ends[-1]) + np.repeat(first[named] - ends[:-1], many)]
-        base = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        place = ends[np.searchsorted(start, base)]
-        return [out[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
+                rows = self.merges.run(buf[np.minimum(start[one[own]][:, None] + np.arange(high), len(buf) - 1)], size[own])
+            for at, many, ids in rows:
+                pool.append(ids.astype(self.kind))
+                first[own[at]], count[own[at]] = held + np.cumsum(many) - many, many
+                held += len(ids)
+        ids, brief = np.concatenate(pool), np.flatnonzero(size <= _LONGEST)
+        self.kept.add(data, start[one[brief]], size[brief], known[one[brief]], ids, first[brief], count[brief])
+        return ids, first[named], count[named]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned integers."""

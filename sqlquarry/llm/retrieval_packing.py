@@ -50,6 +50,7 @@ _DENSE = 16
 _CELLS = 400_000
 #: Words' weights and texts' scores are told apart so finely before the best are sorted.
 _LEVELS, _STEPS = 256, 64
+_TINY = np.nextafter(0.0, 1.0)
 #: Scores that a task gathers before it keeps each seed's best.
 _HELD = 500_000
 #: Groups of seeds whose lists are merged by one task each.
@@ -109,13 +110,50 @@ def widen(blob: bytes) -> np.ndarray:
     return thin(blob).astype(np.int64)
 
 
+def slim(x: np.ndarray) -> bytes:
+    """Integers from 0, most of them below 256, in a byte each; larger ones follow with their places."""
+    large = np.flatnonzero(x > 255)
+    rest = np.concatenate((large, x[large])).astype("<i8").tobytes()
+    return len(x).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + rest
+
+
+def slimmed(blob: bytes) -> np.ndarray:
+    """Integers as ``slim`` wrote them."""
+    n = int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(blob, np.uint8, n, 8)
+    if len(blob) > 8 + n:
+        large, value = np.frombuffer(blob, "<i8", offset=8 + n).reshape(2, -1)
+        out = out.astype(np.int64)
+        out[large] = value
+    return out
+
+
 def idf(texts: int, df: np.ndarray) -> np.ndarray:
     """Positive for every word."""
     return np.log1p((texts - df + 0.5) / (df + 0.5))
 
 
+def damping(size: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    """What a text's length adds below the line."""
+    return k1 * (1 - b + b * size / mean)
+
+
+def damped(tf: np.ndarray, damp: np.ndarray, k1: float = 1.2) -> np.ndarray:
+    return tf * (k1 + 1) / (tf + damp)
+
+
 def saturation(tf: np.ndarray, size: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+    return damped(tf, damping(size, mean, k1, b), k1)
+
+
+def common(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the equal ones of two ascending lists of different hashes is in both: sorting them together takes a
+    fraction of the time of a search for each."""
+    both = np.concatenate((left << np.uint64(1), right << np.uint64(1) | np.uint64(1)))
+    both.sort(kind="stable")
+    met = np.flatnonzero(both[1:] ^ both[:-1] == 1)
+    here = np.cumsum(both & np.uint64(1), dtype=np.int64)[met]
+    return met - here, here
 
 
 def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, texts: int, mean: float, most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +165,7 @@ def strongest(df: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarra
     term = np.repeat(np.arange(len(df)), count)
     found = np.flatnonzero(df[term] > 1)
     whose = text[found]
-    weight = idf(texts, df)[term[found]] * saturation(tf[found], size[whose], mean)
+    weight = idf(texts, df)[term[found]] * damped(tf[found], damping(size, mean)[whose])
     total = np.bincount(whose, weights=weight, minlength=len(size))
     level = (weight * (_LEVELS - 1) / weight.max(initial=1e-9)).astype(np.int64)
     least = _level_of(whose, level, _LEVELS, np.full(len(size), most))
@@ -153,7 +191,7 @@ class Shard:
     def __init__(self, terms: np.ndarray, count: np.ndarray, text: np.ndarray, tf: np.ndarray, size: np.ndarray, used: np.ndarray, mean: float):
         self.left = np.flatnonzero(~used)
         self.n, self.terms, self.ends, self.count = len(self.left), terms, np.cumsum(count), count
-        self.text, self.tf, self.size, self.used, self.mean = text, tf, size, used, mean
+        self.text, self.tf, self.damp, self.used = text, tf, damping(size, mean), used
         self.number = np.cumsum(~used) - 1
 
     def scores(self, words: np.ndarray, weight: np.ndarray, who: np.ndarray, bound: np.ndarray, most: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,21 +204,14 @@ class Shard:
 
     def meet(self, words: np.ndarray, weight: np.ndarray, who: np.ndarray, what: np.ndarray, most: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``scores`` with the seed and the place of the word of each question, ordered by both."""
-        if len(words) < len(self.terms):
-            at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-            here = np.flatnonzero(self.terms[at] == words)
-            at = at[here]
-        else:
-            here = np.minimum(np.searchsorted(words, self.terms), len(words) - 1)
-            at = np.flatnonzero(words[here] == self.terms)
-            here = here[at]
+        at, here = common(self.terms, words)
         count = self.count[at]
         each = _ranges(self.ends[at] - count, count)
         own = np.repeat(np.arange(len(here)), count)
         free = ~self.used[self.text[each]]
         each, own = each[free], own[free]
         text = self.text[each]
-        value = weight[here[own]] * saturation(self.tf[each].astype(np.int64), self.size[text], self.mean)
+        value = weight[here[own]] * damped(self.tf[each].astype(np.int64), self.damp[text])
         doc = self.number[text]
         size = np.bincount(own, minlength=len(here))
         first = np.cumsum(size) - size
@@ -221,11 +252,13 @@ class Shard:
             new = np.append(True, cell[1:] != cell[:-1])
             score = np.bincount(np.cumsum(new) - 1, weights=value[each][order])
             cell = cell[new]
-            yield seeds[cell // self.n], cell % self.n, score
+            row = cell // self.n
+            yield seeds[row], cell - row * self.n, score
             lo = hi
 
     def _many(self, seeds, seed, term, first, size, doc, value, column, table, most, least) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Scores of the others, in a cell for each text; those below as many texts as a seed wants are left out."""
+        """Scores of the others, in a cell for each text; those below ``least``, or below as many texts as a seed without
+        one wants, are left out."""
         name, seed = np.unique(seed, return_inverse=True)
         seeds = seeds[name]
         bound = np.searchsorted(seed, np.arange(len(seeds) + 1))
@@ -243,9 +276,10 @@ class Shard:
                 score[rows[place == k]] += table[columns[place == k]]
             wanted = int(most[seeds[lo:hi]].max())
             floor = least[seeds[lo:hi]]
-            if wanted < self.n:
-                floor = np.maximum(floor, np.partition(score, self.n - wanted, axis=1)[:, self.n - wanted])
-            row, cell = np.nonzero((score > 0) & (score >= floor[:, None] - 1e-5))
+            bare = np.flatnonzero(floor == 0)
+            if wanted < self.n and len(bare):
+                floor[bare] = np.partition(score[bare], self.n - wanted, axis=1)[:, self.n - wanted]
+            row, cell = np.nonzero(score >= np.maximum(floor - 1e-5, _TINY)[:, None])
             yield seeds[lo + row], cell, score[row, cell]
 
 
@@ -264,10 +298,12 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 def best(seed: np.ndarray, doc: np.ndarray, score: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``most[i]`` best texts of each seed ``i``, best first."""
     if len(seed):
-        top = np.zeros(len(most))
-        np.maximum.at(top, seed, score)
-        level = (score * (_STEPS - 1) / top[seed]).astype(np.int64)
-        near = level >= _level_of(seed, level, _STEPS, most)[seed]
+        here = np.zeros(len(most), dtype=bool)
+        here[seed] = True
+        own, top = (np.cumsum(here) - 1)[seed], np.zeros(int(here.sum()))
+        np.maximum.at(top, own, score)
+        level = (score * (_STEPS - 1) / top[own]).astype(np.int64)
+        near = level >= _level_of(own, level, _STEPS, most[here])[own]
         seed, doc, score = seed[near], doc[near], score[near]
     tie = mix(doc.astype(np.uint64) ^ mix(seed.astype(np.uint64) + np.uint64(1)))
     order = np.lexsort((tie, -score, seed))
@@ -405,7 +441,7 @@ def pack(
             columns += [[None] * len(own)] * (2 + len(blobs)) + [["text"] * len(own)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
         terms, count, at, tf, size = postings([t.encode("utf-8", "surrogatepass") for t in texts])
-        made = [narrow(np.array([len(x) for x in ids])), narrow(size), packed(terms), narrow(count), narrow(at), narrow(tf)]
+        made = [narrow(np.array([len(x) for x in ids])), narrow(size), packed(terms), narrow(count), narrow(at), slim(tf)]
         columns = [[None], [None], [None], [first], [len(terms)], *([x] for x in made), ["shard"]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
@@ -545,7 +581,7 @@ def _queries(index: DataFrame, size: int, texts: int, mean: float, most: int, sh
         for batch in batches:
             for row in batch.to_pylist():
                 df = np.concatenate([widen(x["df"]) for x in sorted(row["sums"], key=lambda x: x["range"])])
-                term, offset = strongest(df, widen(row["count"]), widen(row["text"]), widen(row["tf"]), widen(row["lengths"]), texts, mean, most, share)
+                term, offset = strongest(df, widen(row["count"]), widen(row["text"]), slimmed(row["tf"]).astype(np.int64), widen(row["lengths"]), texts, mean, most, share)
                 terms = unpack(row["terms"], row["n"])
                 arrays = [[row["shard"]], [narrow(offset)], [terms[term].tobytes()], [narrow(df[term])]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, arrow_schema(made), strict=True)], schema=arrow_schema(made))
@@ -585,7 +621,7 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
     asked = context.broadcast((names, weight, who, bound, np.packbits(used)))
     listed = T.StructType([T.StructField("group", T.IntegerType()), *(T.StructField(x, T.BinaryType()) for x in ("seed", "d", "score"))])
     kinds = ("<i4", "<i8", "<f8")
-    kept_as = {"count": widen, "text": thin, "tf": thin, "lengths": widen}
+    kept_as = {"count": widen, "text": thin, "tf": slimmed, "lengths": widen}
 
     def row(group: int, own: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(own, kinds, strict=True))], schema=arrow_schema(listed))
@@ -624,13 +660,22 @@ def _search(index: DataFrame, queries: DataFrame, seeds: np.ndarray, most: np.nd
                 yield row(group, tuple(x[some] for x in own))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, tuple] = {}
+        own: dict[int, list[tuple]] = {}
+        held, limit = 0, _HELD
+
+        def keep(parts: list[tuple]) -> tuple:
+            return best(*(np.concatenate(c) for c in zip(*parts, strict=True)), most) if len(parts) > 1 else parts[0]
+
         for batch in batches:
             for group, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                more = tuple(np.frombuffer(x, k) for x, k in zip(blobs, kinds, strict=True))
-                own[group] = best(*(np.concatenate(c) for c in zip(own[group], more, strict=True)), most) if group in own else more
-        for group, found in own.items():
-            yield row(group, found)
+                own.setdefault(group, []).append(tuple(np.frombuffer(x, k) for x, k in zip(blobs, kinds, strict=True)))
+                held += len(own[group][-1][0])
+                if held > limit:
+                    own = {g: [keep(parts)] for g, parts in own.items()}
+                    held = sum(len(x[0]) for (x,) in own.values())
+                    limit = max(_HELD, 2 * held)
+        for group, parts in own.items():
+            yield row(group, keep(parts))
 
     lists = map_batches(map_batches(index.select("shard", "n", "terms", "count", "text", "tf", "lengths"), search, listed).repartition("group"), merge, listed).collect()
     seed, doc, score = (np.concatenate([np.empty(0, k), *(np.frombuffer(r[c], k) for r in lists)]) for c, k in zip(("seed", "d", "score"), kinds, strict=True))

@@ -235,3 +235,45 @@ def test_pruned_lists_against_all_scores(monkeypatch, dense):
         want = np.sort(every[every > 0])[::-1][: most[s]]
         assert np.allclose(scores[seeds == s], want, atol=2e-6)
         assert np.allclose(every[docs[seeds == s]], want, atol=2e-6)
+
+
+def test_words_are_merged_once_over_many_calls(monkeypatch):
+    texts = [*latin_texts(), *(f"{a}{b}ung {b}tion{a} x" for a in "abcdefghijklm" for b in ("re", "ß", "xyzzyxyzzyx"))]
+    want = [plain(t)[:-1] for t in texts]
+    rows, run = [], _tokens.Merges.run
+    monkeypatch.setattr(_tokens.Merges, "run", lambda self, letters, *more: rows.append(len(letters)) or run(self, letters, *more))
+    monkeypatch.setattr(_tokens, "_LOADED", {})
+    for step in (1 << 19, 200):  # the second time in many small steps
+        monkeypatch.setattr(_tokens, "_STEP", step, raising=False)
+        assert [x.tolist() for x in tokenizer(VOCAB).ids(texts)] == want
+        _tokens.forget()
+        if step == 1 << 19:
+            rows.clear()
+    assert sum(rows) == 0
+    monkeypatch.setattr(_tokens, "_WORDS", 10)  # begins anew
+    assert [x.tolist() for x in tokenizer(VOCAB).ids([*texts, "neverseenbefore"])][:-1] == want
+    assert tokenizer(VOCAB).kept.words == 1
+    assert [x.tolist() for x in tokenizer(VOCAB).ids(texts)] == want
+
+
+def test_best_counts_levels_of_its_own_seeds_only(monkeypatch):
+    """A merge holds one group of seeds, so its work must not grow with those of all groups."""
+    asked, level_of = [], retrieval_packing._level_of
+    monkeypatch.setattr(retrieval_packing, "_level_of", lambda own, level, levels, most: asked.append(len(most)) or level_of(own, level, levels, most))
+    rng = np.random.default_rng(1)
+    seed, doc, score = np.repeat(np.arange(3, 3 + 64 * 5, 64), 20), rng.permutation(100), rng.integers(1, 9, 100) / 8
+    most = np.full(100_000, 4)
+    got = retrieval_packing.best(seed, doc, score, most)
+    assert asked == [5]
+    for s in np.unique(seed):
+        assert sorted(got[2][got[0] == s].tolist(), reverse=True) == np.sort(score[seed == s])[::-1][:4].tolist()
+
+
+def test_slim_integers_and_common_hashes():
+    rng = np.random.default_rng(2)
+    for x in (np.empty(0, np.int64), np.array([0, 255, 256, 1 << 40]), rng.integers(0, 300, 500)):
+        assert retrieval_packing.slimmed(retrieval_packing.slim(x)).tolist() == x.tolist()
+    a, b = (np.unique(rng.integers(0, 400, 200)).astype(np.uint64) << np.uint64(43) for _ in range(2))
+    for x, y in ((a, b), (b[:0], a), (a, a[-1:])):
+        at, here = retrieval_packing.common(x, y)
+        assert x[at].tolist() == y[here].tolist() == np.intersect1d(x, y).tolist()
